@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import pii, secret_scan, simhash
+from hitweave.llm import bpe, pii, secret_scan, simhash
 from hitweave.session import table
 
 
@@ -16,6 +16,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": _documents(pii.op1_pii),
+    "op2_bpe": _documents(bpe.op2_bpe),
     "op3_simhash": _documents(simhash.op3_simhash),
     "op7_secrets": _documents(secret_scan.op7_secrets),
 }
