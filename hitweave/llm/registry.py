@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import bpe, pii, secret_scan, simhash
+from hitweave.llm import bpe, packing, pii, secret_scan, simhash
 from hitweave.session import table
 
 
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": _documents(bpe.op2_bpe),
     "op3_simhash": _documents(simhash.op3_simhash),
     "op7_secrets": _documents(secret_scan.op7_secrets),
+    "op10_packing": _documents(packing.op10_packing),
 }
 SQL: dict[str, str] = {}
