@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import bpe, packing, pii, secret_scan, simhash
+from hitweave.llm import bpe, packing, pii, secret_scan, sharding, simhash, vafile
 from hitweave.session import table
 
 
@@ -18,7 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": _documents(pii.op1_pii),
     "op2_bpe": _documents(bpe.op2_bpe),
     "op3_simhash": _documents(simhash.op3_simhash),
+    "op6_topk": lambda spark, sf_dir: vafile.op6_topk(table(spark, sf_dir, "embeddings")),
     "op7_secrets": _documents(secret_scan.op7_secrets),
+    "op8_sharding": _documents(sharding.op8_sharding),
     "op10_packing": _documents(packing.op10_packing),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_topk": vafile.OP6_SQL}
