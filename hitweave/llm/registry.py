@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import bpe, packing, pii, secret_scan, sharding, simhash, vafile
+from hitweave.llm import bpe, hilbert_ann, packing, pii, secret_scan, sharding, simhash, vafile
 from hitweave.session import table
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_topk": lambda spark, sf_dir: vafile.op6_topk(table(spark, sf_dir, "embeddings")),
     "op7_secrets": _documents(secret_scan.op7_secrets),
     "op8_sharding": _documents(sharding.op8_sharding),
+    "op9_ann": lambda spark, sf_dir: hilbert_ann.op9_ann(table(spark, sf_dir, "embeddings")),
     "op10_packing": _documents(packing.op10_packing),
 }
 SQL: dict[str, str] = {"op6_topk": vafile.OP6_SQL}

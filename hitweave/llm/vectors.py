@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 QUERY_EVERY = 20
 
 
-def valid_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", zero: bool = True) -> DataFrame:
-    """(vec_id, v array<double>) of the rows that take part.
+def valid_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", zero: bool = True, double: bool = True) -> DataFrame:
+    """(vec_id, v) of the rows that take part; v is array<double>, or as it was unless `double`.
 
     Rows with a null id, a null vector or a null or non-finite component do not, nor
     do vectors shorter than the longest one or, unless `zero`, zero vectors.
     """
-    v = F.transform(F.col(embedding), lambda x: x.cast("double"))
+    v = F.transform(F.col(embedding), lambda x: x.cast("double")) if double else F.col(embedding)
     rows = embeddings.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").where(finite)
@@ -26,9 +26,10 @@ def valid_vectors(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str
     return rows.where(F.size("v") == wide)
 
 
-def matrix(table: pa.Table, column: str = "v") -> np.ndarray:
+def matrix(table: pa.Table | pa.RecordBatch, column: str = "v") -> np.ndarray:
     """[rows, dimension] of a list column."""
-    lists = table[column].combine_chunks()
+    lists = table[column]
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
