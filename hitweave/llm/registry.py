@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import bpe, hilbert_ann, packing, pii, secret_scan, sharding, simhash, vafile
+import corpus_pipeline
+from hitweave.llm import bpe, hilbert_ann, packing, pii, quality, secret_scan, sharding, simhash, toxicity, vafile
 from hitweave.session import table
 
 
@@ -14,14 +15,21 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def _labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": _documents(pii.op1_pii),
     "op2_bpe": _documents(bpe.op2_bpe),
     "op3_simhash": _documents(simhash.op3_simhash),
+    "op4_toxicity": _labelled(toxicity.op4_toxicity),
+    "op5_quality": _labelled(quality.op5_quality),
     "op6_topk": lambda spark, sf_dir: vafile.op6_topk(table(spark, sf_dir, "embeddings")),
     "op7_secrets": _documents(secret_scan.op7_secrets),
     "op8_sharding": _documents(sharding.op8_sharding),
     "op9_ann": lambda spark, sf_dir: hilbert_ann.op9_ann(table(spark, sf_dir, "embeddings")),
     "op10_packing": _documents(packing.op10_packing),
+    "pipeline": corpus_pipeline.run,
 }
 SQL: dict[str, str] = {"op6_topk": vafile.OP6_SQL}

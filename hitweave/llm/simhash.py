@@ -256,6 +256,17 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     return sig.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_first(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The row with the smallest doc_id of each near-duplicate class; rows without an id stay.
+
+    Of rows that repeat an id that is kept, all stay. Columns pass through unchanged.
+    Only ids are joined; those to drop are joined out of the documents.
+    """
+    found = near_duplicates(documents, doc_id, text)
+    losers = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__hw_loser")).distinct())
+    return documents.join(losers, F.col(doc_id) == F.col("__hw_loser"), "left_anti")
+
+
 def op3_simhash(documents: DataFrame) -> DataFrame:
     """Per document its fingerprint in hexadecimal and its component."""
     return near_duplicates(documents).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
