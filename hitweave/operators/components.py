@@ -40,8 +40,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", w
         up_a = parent.select(*keys, F.col("node").alias("a"), F.col("to").alias("pa"))
         up_b = parent.select(*keys, F.col("node").alias("b"), F.col("to").alias("pb"))
         step = live.join(up_a, [*keys, "a"], "left").select(*keys, F.coalesce("pa", "a").alias("a"), "b")
-        step = _tidy(step, keys)
-        step = step.join(up_b, [*keys, "b"], "left").select(*keys, "a", F.coalesce("pb", "b").alias("b"))
+        step = step.distinct().join(up_b, [*keys, "b"], "left").select(*keys, "a", F.coalesce("pb", "b").alias("b"))
         live = cut(_tidy(step, keys))
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
