@@ -68,17 +68,18 @@ def mlp(df: DataFrame, column: str, layers: list[dict], out: str) -> DataFrame:
     @F.pandas_udf("array<double>")
     def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for series in parts:
-            there = series.notna()
-            result = pd.Series([None] * len(series), index=series.index, dtype=object)
-            if there.any():
-                x = np.stack(series[there].to_numpy())
+            there = np.flatnonzero(series.notna())
+            result = np.full(len(series), None, dtype=object)
+            if len(there):
+                x = np.stack(series.iloc[there].to_numpy())
                 for weight, bias, norm, act in arrays:
                     x = x @ weight.T + bias
                     if norm:
                         x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5)
                     x = ACTIVATIONS[act](x)
-                result[there] = list(x)
-            yield result
+                for i, row in zip(there, x, strict=True):
+                    result[i] = row
+            yield pd.Series(result)
 
     return df.withColumn(out, apply(column))
 

@@ -198,7 +198,7 @@ def walk_components(edges: DataFrame, components: DataFrame, walk: str = "lookba
             found = dp_walk(listed)
         else:
             found = [(p, None) for p in greedy_walk(listed, walk, allow_node_reuse)]
-        return pd.DataFrame({"event_id": key[0], "component": key[1], "ord": range(len(found)), "hits": [p for p, _ in found], "score": pd.Series([s for _, s in found], dtype="float64")})
+        return pd.DataFrame({"event_id": key[0], "component": key[1], "ord": range(len(found)), "hits": pd.Series([p for p, _ in found], dtype=object), "score": pd.Series([s for _, s in found], dtype="float64")})
 
     labelled = edges.join(components.select("event_id", F.col("node").alias("src"), "component"), ["event_id", "src"])
     return labelled.select("event_id", "component", "src", "dst", "score").groupBy("event_id", "component").applyInPandas(run, SCHEMA)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -509,7 +510,7 @@ def demo_weights(config: PipelineConfig, size: int = 4) -> dict:
         "target": [layer(4, 8, 1)],
         "filter": [layer(4, 2 * n, 2, "Tanh"), layer(1, 4, 3)],
         "node_encoder": [layer(size, g, 4, "Tanh")],
-        "edge_encoder": [layer(size, 6, 5, "Tanh")],
+        "edge_encoder": [layer(size, 6 if "eta" in config.gnn.features else 2 * size, 5, "Tanh")],
         "rounds": [([layer(size, 3 * size, 6, "Tanh")], [layer(size, 3 * size, 7, "Tanh")])] * 2,
         "decoder": [layer(1, size, 8)],
         "size": size,
@@ -519,7 +520,7 @@ def demo_weights(config: PipelineConfig, size: int = 4) -> dict:
 def _preset(name: str, preset: str) -> None:
     def run(spark, sf_dir):
         """Hits in events of about ten, features by a hash of the embedding."""
-        config = PRESETS[preset]
+        config = replace(PRESETS[preset], r_max=0.6, filter_cut=0.01)  # untrained weights put few hits close together
         base = X.hits_e(spark, sf_dir)
         columns = list(dict.fromkeys([*config.embedding.features, *config.gnn.features]))
         made = [(F.get("v", F.lit(i % 64)) * (1 + i // 64)).cast("float").alias(c) for i, c in enumerate(columns)]

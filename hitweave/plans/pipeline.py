@@ -66,9 +66,11 @@ def run(hits: DataFrame, weights: dict, config: PipelineConfig) -> DataFrame:
     filtered = cut(E.large_enough(E.score_cut(filtered, config.filter_cut, strict=config.strict_filter)).select("event_id", "src", "dst"))
     if "rounds" in weights:
         gnn = H.stage_input(large, config.gnn)
-        featured = E.with_features(filtered, gnn)
         x = nn.mlp(gnn.withColumn("__x", F.array(*(F.col(c) for c in config.gnn.features))), "__x", weights["node_encoder"], "x").select("event_id", "hit_id", "x")
-        e = featured.withColumn("__e", F.array("dr", "dphi", "dz", "deta", "phislope", "rphislope"))
+        if "eta" in config.gnn.features:
+            e = E.with_features(filtered, gnn).withColumn("__e", F.array("dr", "dphi", "dz", "deta", "phislope", "rphislope"))
+        else:  # without edge features, the encoded ends stand in
+            e = E.gathered(filtered, x, ["x"]).withColumn("__e", F.concat("s_x", "d_x"))
         e = nn.mlp(e, "__e", weights["edge_encoder"], "e").select("event_id", "src", "dst", "e")
         scored = nn.interaction_gnn(x, e, weights["rounds"], weights["decoder"], weights["size"])
     else:
