@@ -11,6 +11,7 @@ import bisect
 import hashlib
 import os
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ CAPACITY = 4096
 END = 1
 #: Pieces of equal length that are ranked together.
 RANKED = 200
-MAX_WORDS = 400_000
+MAX_WORDS = 500_000
 _SIMPLE = 0x180
 
 
@@ -62,7 +63,8 @@ class WordTokenizer:
                 new = set(words)
             new = list(new)
             for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(coded.ids, dtype="<u4").tobytes()
+                ids = coded.ids
+                known[word] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, words))
 
 
