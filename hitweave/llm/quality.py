@@ -25,7 +25,7 @@ SAMPLE_EACH = 3000
 BUCKETS, SIZE, ONES, WINDOW = 1 << 13, 32, 4, 2
 HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 60, 64, 0.02, 9
 LEAST = 0.3
-MAX_WORDS, STRETCH = 300_000, 200_000
+MAX_WORDS, STRETCH = 200_000, 200_000
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 
 
