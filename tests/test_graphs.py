@@ -44,6 +44,14 @@ def test_components(spark, kind):
     assert got == union_find(edges)
 
 
+@pytest.mark.parametrize("kind", ["path", "band"])
+def test_components_of_rising_ids(spark, kind):
+    width = 1 if kind == "path" else 10
+    edges = [(i, i + k) for i in range(3000) for k in range(1, width + 1) if i + k < 3000]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == dict.fromkeys(range(3000), 0)
+
+
 def test_components_stay_within_events(spark):
     df = spark.createDataFrame([(1, 1, 2), (2, 2, 3), (2, 3, 4)], "event_id long, src long, dst long")
     got = {(r["event_id"], r["node"], r["component"]) for r in tracks.components(df).collect()}
