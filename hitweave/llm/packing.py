@@ -37,14 +37,17 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer whose words do not depend on each other.
 
     Texts of Latin letters are split here, and the tokenizer is asked once for each
-    different word; others go to the tokenizer whole. Special tokens in a text are
-    ordinary text.
+    different word; others, and those that hold an added token's literal, go to the
+    tokenizer whole. Special tokens in a text are ordinary text with `special_as_text`,
+    else, as the library has it by default, their own ids.
     """
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, special_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(data.decode())
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or r"(?!)")
         kind = lambda k: "".join(f"\\u{c:04x}" for c in range(_SIMPLE) if unicodedata.category(chr(c))[0] == k)
         letters, numbers, space = kind("L"), kind("N"), "\\t-\\r \\x85\\xa0"
         self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+")
@@ -53,7 +56,7 @@ class WordTokenizer:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text.isascii() and self.other.search(text):
+        if self.added.search(text) or not text.isascii() and self.other.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = self.words.findall(text.lower())
         known = self.known
@@ -75,7 +78,7 @@ def _tokenizer(data: bytes) -> WordTokenizer:
     key = hashlib.sha256(data).digest()
     if key not in _tokenizers:
         _tokenizers.clear()
-        _tokenizers[key] = WordTokenizer(data)
+        _tokenizers[key] = WordTokenizer(data, special_as_text=False)
     return _tokenizers[key]
 
 

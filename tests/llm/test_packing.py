@@ -79,3 +79,15 @@ def test_documents(spark):
     assert len(by_seq) <= first_fit_decreasing([r["length"] for r in rows], 4096) + 1
     assert packing.op10_packing(df.limit(0)).count() == 0
     assert sum(len(r["ids"]) for r in packing.sequences(df.where("doc_id < 40")).collect()) == sum(r["length"] for r in rows if r["doc_id"] < 40)
+
+
+def test_special_tokens_in_documents(spark):
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|><|endoftext|>Y", "<|ENDOFTEXT|> a", "中 <|startoftext|> É", "<|endoftext |> no"]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert 49407 in want[0] and 49406 in want[1]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in packing.pieces_of(df, ids=True).collect()}
+    assert [list(got[i]["ids"]) for i in range(len(texts))] == want
+    crcs = {r["doc_id"]: (r["start"], r["length"], r["ids_crc32"]) for r in packing.op10_packing(df).collect()}
+    assert crcs == {i: (0, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for i, ids in enumerate(want)}
