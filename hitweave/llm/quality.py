@@ -81,24 +81,25 @@ def context_vectors(documents: DataFrame, text: str = "text") -> np.ndarray:
     Each task adds up its own rows; the cluster adds those up. Only the table, of fixed
     size, comes to the driver.
     """
-    index = index_vectors()
+    index = np.vstack([index_vectors(), np.zeros((1, SIZE), np.float32)])
+    gap = np.full(WINDOW, BUCKETS, np.uint16)  # of the zero vector: no text is context of another
     names = [f"c{i}" for i in range(SIZE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sums = Tokens(), np.zeros((BUCKETS, SIZE))
+        tokens, sums = Tokens(), np.zeros((BUCKETS + 1, SIZE))
         for batch in batches:
             waiting, n = [], 0
             for t in batch.column(0):
                 ids = tokens(t.as_py())
                 if len(ids):
-                    waiting.append(ids)
+                    waiting += [ids, gap]
                     n += len(ids)
                 if n >= STRETCH:
                     _add_contexts(sums, index, np.concatenate(waiting))
                     waiting, n = [], 0
             if waiting:
                 _add_contexts(sums, index, np.concatenate(waiting))
-        used = np.flatnonzero(sums.any(axis=1))
+        used = np.flatnonzero(sums[:BUCKETS].any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(sums[used, i]) for i in range(SIZE))], names=["bucket", *names])
 
     partial = documents.select(text).mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in names))

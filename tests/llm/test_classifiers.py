@@ -84,3 +84,19 @@ def test_context_sums_equal_brute_force():
         quality._add_contexts(got, index, ids)
         quality.STRETCH = old
         assert np.allclose(got, want)
+
+
+def test_contexts_do_not_cross_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 40, n)) for n in rng.integers(1, 7, 200)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    tokens, index = quality.Tokens(), quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.SIZE))
+    for ids in map(tokens, texts):
+        for t in range(len(ids)):
+            for o in (-2, -1, 1, 2):
+                if 0 <= t + o < len(ids):
+                    want[ids[t]] += index[ids[t + o]]
+    want = (want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    assert (quality.context_vectors(df.coalesce(1)) == want).all()
+    assert (quality.context_vectors(df.orderBy("text").repartition(7)) == want).all()
