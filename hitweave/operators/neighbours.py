@@ -1,30 +1,151 @@
-"""Fixed-radius nearest-neighbour joins, exact, on a grid of cells."""
+"""Fixed-radius nearest-neighbour joins, exact, by pivots and blocks.
+
+Each event has a few pivots, database points chosen by a hash. Every point belongs to
+its nearest pivot; a cell knows the radius of the ball that holds its points. By the
+triangle inequality a query point can only be near points of a cell whose ball is
+within r_max of it, so a query goes to those cells alone. Cells with many points are
+dealt out in blocks of bounded size, queries in parts, and a pair of block and part is
+one matrix product.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.functions.scalars import squared_distance
+from hitweave.session import cut
+
+#: Points a pivot, most pivots of an event, and the sizes of what meets in one task.
+POINTS_A_PIVOT, PIVOTS, ROWS, QUERIES = 256, 64, 4096, 4096
+_CHUNK = 256
+
+
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """[rows, dimension] of a list column whose lists are of one length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def within(queries: np.ndarray, rows: np.ndarray, r_max: float, k_max: int | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, squared distance) of the pairs within r_max, the k_max nearest rows of each query if asked.
+
+    The product only proposes pairs, with room for its rounding; distances that decide
+    are sums of squared differences.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    square = (rows * rows).sum(axis=1)
+    for at in range(0, len(queries), _CHUNK):
+        part = queries[at : at + _CHUNK]
+        own = (part * part).sum(axis=1)
+        room = 1e-12 * (own.max(initial=0.0) + square.max(initial=0.0) + 1)
+        q, r = np.nonzero(own[:, None] + square[None, :] - 2 * (part @ rows.T) <= r_max * r_max + room * part.shape[1])
+        d2 = np.zeros(len(q))
+        for begin in range(0, len(q), 1 << 17):
+            piece = slice(begin, begin + (1 << 17))
+            gap = part[q[piece]] - rows[r[piece]]
+            d2[piece] = np.add.accumulate(gap * gap, axis=1)[:, -1] if gap.shape[1] else 0.0
+        inside = d2 <= r_max * r_max
+        q, r, d2 = q[inside], r[inside], d2[inside]
+        if k_max is not None and len(q):
+            order = np.lexsort((ids[r], d2, q))
+            q, r, d2 = q[order], r[order], d2[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            q, r, d2 = q[place < k_max], r[place < k_max], d2[place < k_max]
+        found.append((q + at, r, d2))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+def _pivots(database: DataFrame) -> DataFrame:
+    """(event_id, pivots): up to PIVOTS database points of each event, one for each POINTS_A_PIVOT, by a hash of their id.
+
+    A bounded choice that only shapes the cells; every point is in one of them. The
+    first point of each of PIVOTS slots is found before the shuffle.
+    """
+    draw = F.xxhash64("event_id", "hit_id")
+    slots = database.groupBy("event_id", F.pmod(draw, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "v")).alias("first"), F.count("*").alias("n"))
+    some = F.slice(F.array_sort(F.collect_list("first")), F.lit(1), F.ceil(F.sum("n") / POINTS_A_PIVOT).cast("int"))
+    return slots.groupBy("event_id").agg(F.transform(some, lambda p: p["v"]).alias("pivots"))
+
+
+def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(((points[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
+
+
+def _by_event(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row numbers, points, pivots) of each event in a batch; its pivots are in each of its rows."""
+    events = batch.column("event_id").to_numpy(zero_copy_only=False)
+    for event in np.unique(events):
+        at = np.flatnonzero(events == event)
+        pivots = batch.column("pivots")[int(at[0])]
+        if pivots.is_valid:
+            yield at, matrix(batch.column("v").take(pa.array(at))), np.array(pivots.as_py(), dtype=float)
+
 
+def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cell, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+        for at, points, pivots in _by_event(batch):
+            for begin in range(0, len(at), 1024):
+                d = _distances(points[begin : begin + 1024], pivots)
+                cell[at[begin : begin + 1024]], far[at[begin : begin + 1024]] = d.argmin(axis=1), d.min(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("hit_id"), batch.column("v"), pa.array(cell), pa.array(far)], names=["event_id", "dst", "w", "cell", "far"])
 
-def radius_join(query: DataFrame, database: DataFrame, r_max: float, k_max: int | None = None, dims: int = 2, loops: bool = False) -> DataFrame:
+
+def _routed(r_max: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for at, points, pivots in _by_event(batch):
+                balls = np.full(len(pivots), -np.inf)
+                for b in batch.column("balls")[int(at[0])].as_py():
+                    balls[b["cell"]] = b["far"]
+                for begin in range(0, len(at), 1024):
+                    d = _distances(points[begin : begin + 1024], pivots)
+                    near = d <= (r_max + balls) * (1 + 1e-9) + 1e-9
+                    for i, row in zip(at[begin : begin + 1024].tolist(), near, strict=True):
+                        cells[i] = np.flatnonzero(row).tolist()
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("hit_id"), batch.column("v"), pa.array(cells, pa.list_(pa.int32()))], names=["event_id", "src", "v", "cells"])
+
+    return run
+
+
+def radius_join(query: DataFrame, database: DataFrame, r_max: float, k_max: int | None = None, loops: bool = False) -> DataFrame:
     """(event_id, src, dst, d2): for each query point the k_max nearest database points within r_max.
 
-    Both sides are (event_id, hit_id, v array<double>). The boundary counts as inside,
-    ties go to the smaller hit_id, and, as in the original, a point itself takes one
-    of the k_max places before loops are dropped. Points that are near differ by r_max
-    at most in every coordinate, so cells of that size in the first `dims` coordinates
-    make an equi-join of neighbouring cells exact: no cross join, and a large event is
-    dealt out over its cells.
+    Both sides are (event_id, hit_id, v array<double>), the vectors of an event of one
+    length. The boundary counts as inside, ties go to the smaller hit_id, and, as in
+    the original, a point itself takes one of the k_max places before loops are
+    dropped. Rows with a null in any of the three columns take no part. What one task
+    holds is bounded by ROWS and QUERIES; nothing that grows with an event is
+    broadcast or sent to the driver.
     """
-    cell = lambda i: F.floor(F.get("v", F.lit(i)) / F.lit(float(r_max)))
-    cells = [f"__c{i}" for i in range(dims)]
-    db = database.select("event_id", F.col("hit_id").alias("dst"), F.col("v").alias("__w"), *(cell(i).alias(c) for i, c in enumerate(cells)))
-    q = query.select("event_id", F.col("hit_id").alias("src"), "v", *(cell(i).alias(c) for i, c in enumerate(cells)))
-    for c in cells:
-        q = q.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
-    found = q.join(db, ["event_id", *cells]).select("event_id", "src", "dst", squared_distance(F.col("v"), F.col("__w")).alias("d2")).where(F.col("d2") <= r_max * r_max)
+    query, database = (df.select(F.col("event_id").cast("long").alias("event_id"), F.col("hit_id").cast("long").alias("hit_id"), F.col("v").cast("array<double>").alias("v")).dropna() for df in (query, database))
+    pivots = cut(_pivots(database))
+    rows = cut(database.join(pivots, "event_id").mapInArrow(_celled, "event_id long, dst long, w array<double>, cell int, far double"))
+    cells = cut(rows.groupBy("event_id", "cell").agg(F.max("far").alias("far"), F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")))
+    parts = query.groupBy("event_id").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
+    balls = cells.groupBy("event_id").agg(F.collect_list(F.struct("cell", "far")).alias("balls"))  # PIVOTS at most
+    routed = query.join(pivots.join(balls, "event_id"), "event_id").mapInArrow(_routed(r_max), "event_id long, src long, v array<double>, cells array<int>")
+    routed = routed.select("event_id", "src", "v", F.explode("cells").alias("cell"))
+    sizes = cells.select("event_id", "cell", "blocks").join(parts, "event_id")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = routed.join(sizes, ["event_id", "cell"]).withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int")).withColumn("block", spread("blocks"))
+    right = rows.join(sizes, ["event_id", "cell"]).withColumn("block", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int")).withColumn("part", spread("parts"))
+    keys = ("event_id", "cell", "block", "part")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        src, dst = (t[c].to_numpy() if t.num_rows else np.zeros(0, np.int64) for t, c in ((a, "src"), (b, "dst")))
+        q, r, d2 = within(matrix(a["v"]), matrix(b["w"]), r_max, k_max, dst) if len(src) and len(dst) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        event = (a if a.num_rows else b)["event_id"][0].as_py()
+        return pa.table({"event_id": pa.array(np.full(len(q), event), pa.int64()), "src": pa.array(src[q], pa.int64()), "dst": pa.array(dst[r], pa.int64()), "d2": pa.array(d2, pa.float64())})
+
+    found = left.select(*keys, "src", "v").groupBy(*keys).cogroup(right.select(*keys, "dst", "w").groupBy(*keys)).applyInArrow(meet, "event_id long, src long, dst long, d2 double")
     if k_max is not None:
         nearest = Window.partitionBy("event_id", "src").orderBy("d2", "dst")
         found = found.withColumn("__k", F.row_number().over(nearest)).where(F.col("__k") <= k_max).drop("__k")

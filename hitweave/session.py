@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,15 +17,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder that reliable checkpoints go to.
 
     A cluster names it in `spark.checkpoint.dir`; it has to be shared by driver and
-    executors. Only where neither that setting nor an earlier call names one (tests,
-    one-machine runs) a temporary folder is taken.
+    executors. Only where neither that setting nor an earlier call names one and all
+    runs in one process (a local master: tests, one-machine runs), a temporary folder
+    is taken; on a cluster a missing setting is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="hitweave-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="hitweave-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, for a table that is written and read again."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in shared storage and forget how it was made.
 
