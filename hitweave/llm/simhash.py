@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitweave.operators.components import connected_components
@@ -210,14 +210,18 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 
 def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the SimHash of each row's text as a signed long. Null texts count as empty."""
+    """(doc_id, text_hash, fp): the SimHash of each row's text as a signed long. Null texts count as empty.
+
+    text_hash is Spark's 64-bit hash of the text; with the id it tells rows apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            values = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = F.col(f"`{text}`")
+    return documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(own).alias("text_hash"), own.alias("text")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def near_links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
@@ -236,6 +240,15 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Dat
     return dealt.mapInArrow(lambda batches: _links(batches, radius), "a long, b long")
 
 
+def _classes(documents: DataFrame, doc_id: str, text: str, radius: int, words: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, least, component): each fingerprint's smallest doc_id and its class, named by a fingerprint."""
+    sig = cut(fingerprints(documents, doc_id, text, words))
+    distinct = cut(sig.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = cut(connected_components(near_links(distinct, radius, hot), "a", "b"))
+    member = distinct.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    return sig, cut(member)
+
+
 def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS, hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id) for each row: the class of near-duplicates that it is in.
 
@@ -243,28 +256,38 @@ def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     component_id is the smallest doc_id that can be reached, the own one included.
     Null and empty texts have fingerprint 0 and are linked like others. Rows with a
     null doc_id keep it and never name a component, unless nothing else is in it
-    (null). Repeated rows stay repeated. Other columns are not read, so their names
-    cannot clash. An empty table gives an empty table.
+    (null). Repeated rows stay repeated; a doc_id with several texts has a row, with a
+    class of its own, for each. Other columns are not read, so their names cannot
+    clash. An empty table gives an empty table.
     """
-    sig = cut(fingerprints(documents, doc_id, text, words))
-    distinct = cut(sig.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = cut(connected_components(near_links(distinct, radius, hot), "a", "b"))
-    member = distinct.join(labels.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    member = cut(member)
+    sig, member = _classes(documents, doc_id, text, radius, words, hot)
     least = cut(member.groupBy("component").agg(F.min("least").alias("component_id")))
     named = cut(member.join(least, "component").select("fp", "component_id"))
     return sig.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_first(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The row with the smallest doc_id of each near-duplicate class; rows without an id stay.
+def keep_first(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, words: int = WORDS, hot: int = HOT) -> DataFrame:
+    """One row of each near-duplicate class: that with the smallest doc_id.
 
-    Of rows that repeat an id that is kept, all stay. Columns pass through unchanged.
-    Only ids are joined; those to drop are joined out of the documents.
+    Rows, not ids, are decided on. A null id comes after all others; of several texts
+    with the id that is kept, that of the smallest fingerprint stays, and of rows with
+    the same id and text the first by a hash of the whole row. Null and empty texts
+    are one class. Columns pass through unchanged; names with the prefix `__hw_` are
+    reserved. An empty table stays empty. Only ids and hashes are joined, and whole
+    rows move once.
     """
-    found = near_duplicates(documents, doc_id, text)
-    losers = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__hw_loser")).distinct())
-    return documents.join(losers, F.col(doc_id) == F.col("__hw_loser"), "left_anti")
+    sig, member = _classes(documents, doc_id, text, radius, words, hot)
+    row = F.struct(F.col("doc_id").isNull().alias("n"), F.coalesce("doc_id", F.lit(0)).alias("d"), "fp", F.col("text_hash").alias("t"))
+    first = sig.groupBy("fp").agg(F.min(row).alias("row"))  # combined before the shuffle, so large groups of copies are one row
+    winners = cut(first.join(member, "fp").groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.n").alias("__hw_n"), F.col("row.d").alias("__hw_d"), F.col("row.t").alias("__hw_t")))
+    names = documents.columns
+    key = F.col(f"`{doc_id}`").cast("long")
+    source = documents.select("*", key.isNull().alias("__hw_n"), F.coalesce(key, F.lit(0)).alias("__hw_d"), F.xxhash64(F.col(f"`{text}`")).alias("__hw_t"))
+    keys = ["__hw_n", "__hw_d", "__hw_t"]
+    plain = [F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()]
+    # repeats of a row are cut to one before the shuffle, and the join has the same keys
+    one = source.withColumn("__hw_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(*plain)))).where("__hw_k = 1")
+    return one.join(winners, keys, "left_semi").select(*(F.col(f"`{c}`") for c in names))
 
 
 def op3_simhash(documents: DataFrame) -> DataFrame:

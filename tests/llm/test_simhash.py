@@ -5,6 +5,7 @@ import numpy as np
 import xxhash
 
 from hitweave.llm import simhash
+from hitweave.operators.components import connected_components
 
 
 def brute_fingerprint(text):
@@ -61,8 +62,6 @@ def test_hot_keys_lose_no_links(spark):
     flips = [int(start) ^ sum(1 << int(b) for b in rng.choice(20, k, replace=False)) for k in rng.integers(0, 7, 400)]
     flips = sorted({x - (1 << 64) if x >= 1 << 63 else x for x in flips})
     df = spark.createDataFrame([(x,) for x in flips], "fp long")
-    from hitweave.operators.components import connected_components
-
     def classes(hot):
         rows = connected_components(simhash.near_links(df, hot=hot), "a", "b").collect()
         return {(r["node"], r["component"]) for r in rows}
@@ -92,3 +91,53 @@ def test_odd_tables(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.op3_simhash(df).collect()), key=str)
     assert got == sorted([(None, 7), (None, None), (7, 7), (7, 7)], key=str)
     assert simhash.op3_simhash(df.limit(0)).count() == 0
+
+
+def test_keep_first_drops_rows_not_ids(spark):
+    a, b, c = "one two three four five six", "quite another text of seven words here", "a third one that nothing else is like"
+    rows = [(1, a, 1.0), (5, a, 2.0), (5, b, 3.0), (None, b, 4.0), (None, c, 5.0), (None, c, 5.0), (7, None, 6.0), (3, "", 7.0), (8, a, 8.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `x.y` double")
+    got = sorted(((r[0], r[1]) for r in simhash.keep_first(df).collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (None, c), (3, "")], key=str)
+    assert simhash.keep_first(df).columns == df.columns
+    assert simhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_keep_first_equals_brute_force(spark):
+    rng = random.Random(12)
+    texts = [t for t in corpus(rng) if t]
+    rows = [(rng.choice([None, *range(30)]), rng.choice(texts)) for _ in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    named = dict(enumerate(sorted({t for _, t in rows})))
+    label = {named[i]: c for i, (_, c) in brute_components(list(named.items())).items()}
+    least = {}
+    for key, text in rows:
+        order = (key is None, key or 0)
+        least[label[text]] = min(least.get(label[text], order), order)
+    got = [(r["doc_id"], r["text"]) for r in simhash.keep_first(df).collect()]
+    assert len(got) == len({label[t] for _, t in got}) == len(least)
+    assert {label[t]: (k is None, k or 0) for k, t in got} == least
+    assert set(got) <= set(rows)
+
+
+def test_chain_of_rising_fingerprints(spark):
+    """Fingerprints that differ in four bits from the next one only: one class, however long the chain."""
+    values, x = [], 0
+    for i in range(1500):
+        x ^= 15 << (4 * (i % 16)) if i % 17 else 0x0101010100000000
+        values.append(x)
+    values = sorted({v - (1 << 64) if v >= 1 << 63 else v for v in values})
+    found = connected_components(simhash.near_links(spark.createDataFrame([(v,) for v in values], "fp long")), "a", "b").collect()
+    parent = {v: v for v in values}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= 4:
+                p, q = root(a), root(b)
+                parent[max(p, q)] = min(p, q)
+    assert {(r["node"], r["component"]) for r in found} == {(v, root(v)) for v in values if sum(root(w) == root(v) for w in values) > 1}
