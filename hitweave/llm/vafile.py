@@ -1,93 +1,176 @@
 """Exact top-k search by vector-approximation files.
 
-Vectors and queries meet in pairs of blocks of bounded size. In a pair, the cells of
-the quantised vectors give bounds of every score; exact vectors are then read in the
-order of their upper bounds until the k-th best is certain. The pairs' lists are merged
-by a ranking over k rows of each.
+The file holds a cell number of one byte for each component: vectors are cut into
+equally wide cells between the smallest and the largest value of that component. It is
+made once, an eighth of the size of the vectors, and scanned in pairs of blocks, rows
+by queries, of bounded size; the cells give a lower and an upper bound of every score,
+and only rows whose upper bound reaches the k-th lower bound leave a block. Then exact
+vectors are read by a join, in the order of the bounds and in two waves: the k rows
+with the highest bounds of each query first, which makes its k-th score so far known,
+and then the rows whose bound is not below that score. After these the k-th result is
+certain.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.llm.vectors import QUERY_EVERY, matrix, ranked, valid_vectors
+from hitweave.llm.vectors import QUERY_EVERY, by_dimension, codes, matrix, query_vectors, ranked, valid_vectors
+from hitweave.session import cut
 
 K = 20
 SCALE = 64
-CELLS = 16
-ROWS, QUERIES = 8192, 1024
-_CHUNK, _READ = 64, 128
+CELLS = 256
+#: Rows and queries of a pair of blocks.
+ROWS, QUERIES = 1 << 15, 1 << 12
+_CHUNK = 128
+
+
+def extent(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The smallest and largest value of each component, by dimension; tasks send one row for each dimension they saw."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for dim, at in by_dimension(batch):
+                x = matrix(batch.column("v").take(pa.array(at)))
+                low, high = seen.get(dim, (np.full(dim, np.inf), np.full(dim, -np.inf)))
+                seen[dim] = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
+        rows = [(d, i, low[i], high[i]) for d, (low, high) in seen.items() for i in range(d)]
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["dim", "i", "low", "high"])
+
+    bounds = vectors.select("v", "dim").mapInArrow(run, "dim int, i int, low double, high double")
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {0: (np.zeros(0), np.zeros(0))}
+    for r in bounds.groupBy("dim", "i").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect():  # a row for each component
+        low, high = out.setdefault(r["dim"], (np.zeros(r["dim"]), np.zeros(r["dim"])))
+        low[r["i"]], high[r["i"]] = r["low"], r["high"]
+    return out
+
+
+def cell_numbers(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """[n, d] bytes: the cell that each component is in."""
+    width = np.where(high > low, (high - low) / CELLS, 1.0)
+    return np.clip((x - low) / width, 0, CELLS - 1).astype(np.uint8)
+
 
+def bounds_of(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[queries, rows] scores of the cells' centres, and how far each query's exact scores can be from them.
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of a block for each query, and more only where the last one ties."""
-    low, high = rows.min(axis=0), rows.max(axis=0)
+    The centre of a cell is linear in its number, so looking up the parts of a score
+    for all cells is one product with the bytes. The slack covers half a cell, and the
+    rounding of the product in single precision and of the cell borders.
+    """
     width = np.where(high > low, (high - low) / CELLS, 1.0)
-    cells = np.minimum((rows - low) / width, CELLS - 1).astype(np.uint8)  # the approximation file
-    centres = low + (cells + 0.5) * width
-    out = []
+    slope, start = queries * width, queries @ (low + width / 2)
+    middle = (slope.astype(np.float32) @ cells.T.astype(np.float32, copy=False)).astype(np.float64) + start[:, None]
+    size = np.abs(slope).sum(axis=1) * CELLS + np.abs(queries) @ (np.abs(low) + width)
+    return middle, np.abs(queries) @ (width / 2) * (1 + 1e-6) + size * (queries.shape[1] + 4) * 2.0**-23 + 1e-30
+
+
+def scan(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarray, row_ids: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+    """(query id, row place, upper bound, lower bound) of what may be among the k best rows of a block."""
+    out, cells = [], cells.astype(np.float32)
     for at in range(0, len(queries), _CHUNK):
-        part = queries[at : at + _CHUNK]
-        middle = part @ centres.T
-        slack = np.abs(part) @ (width / 2) * (1 + 1e-9) + 1e-6 * (1 + np.abs(middle).max(axis=1))
-        middle[query_ids[at : at + _CHUNK, None] == row_ids[None, :]] = -np.inf
-        sure = np.partition(middle, -k, axis=1)[:, -k] - slack if len(rows) > k else np.full(len(part), -np.inf)
-        for i, query in enumerate(part):
-            upper = middle[i] + slack[i]
-            candidates = np.flatnonzero((upper >= sure[i]) & (upper > -np.inf))
-            candidates = candidates[np.argsort(-upper[candidates], kind="stable")]
-            got: list[np.ndarray] = []
-            kth, n = -np.inf, 0
-            for start in range(0, len(candidates), _READ):
-                if n >= k and upper[candidates[start]] < kth:
-                    break
-                read = candidates[start : start + _READ]
-                got.append(rows[read] @ query)
-                n += len(read)
-                if n >= k:
-                    kth = np.partition(np.concatenate(got), -k)[-k]
-            if n:
-                scores, ids = np.concatenate(got), row_ids[candidates[:n]]
-                best = np.lexsort((ids, -scores))[:k]
-                out.append((np.full(len(best), query_ids[at + i]), ids[best], scores[best]))
-    if not out:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        ids = query_ids[at : at + _CHUNK]
+        middle, slack = bounds_of(queries[at : at + _CHUNK], cells, low, high)
+        middle[ids[:, None] == row_ids[None, :]] = -np.inf
+        sure = np.partition(middle, -k, axis=1)[:, -k] - slack if len(cells) > k else np.full(len(ids), -np.inf)
+        q, r = np.nonzero((middle + slack[:, None] >= sure[:, None]) & (middle > -np.inf))
+        out.append((ids[q], r, middle[q, r] + slack[q], middle[q, r] - slack[q]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _exact(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(query_id, vec_id, row, score) of pairs, their exact vectors read by a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = np.zeros(batch.num_rows, batch.column("v").type.value_type.to_pandas_dtype())
+            for _, at in by_dimension(batch):
+                score[at] = np.einsum("ij,ij->i", *(matrix(batch.column(c).take(pa.array(at))) for c in ("q", "v")))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("query_id", "vec_id", "row")), pa.array(score)], names=["query_id", "vec_id", "row", "score"])
+
+    kind = vectors.schema["v"].dataType.elementType.simpleString()
+    both = pairs.join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(vectors.select("row", "v", "dim"), "row")
+    return both.select("query_id", "vec_id", "row", "q", "v", "dim").mapInArrow(run, f"query_id long, vec_id long, row long, score {kind}")
+
+
+def _few_copies(vectors: DataFrame, k: int) -> DataFrame:
+    """Of rows with equal vectors, whose scores are equal, those that can be among the first k: the smallest k + 1 ids, k rows of each.
+
+    Each task keeps as many before the shuffle, so a very common vector is a few rows.
+    """
+    same = Window.partitionBy("v", "vec_id").orderBy("vec_id")
+    rows = vectors.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k)
+    return rows.withColumn("copy", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1).drop("copy")
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, rows: int = ROWS, query_rows: int = QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of `vectors` with the highest inner product for each row of `queries`.
 
-    Both are (vec_id, v array<double>) of one dimension, as `valid_vectors` makes them.
-    Ties go to the smaller vec_id; a row is never its own neighbour; where there are
-    fewer rows than k, all are returned. A vec_id that occurs twice is one query but
-    two candidates. Empty tables give an empty table.
+    Both are (vec_id, v, dim), as `valid_vectors` and `query_vectors` make them; v is
+    an array of long, whose scores are exact as long as they fit a long, or of double.
+    A query meets the rows of its own dimension. Ties go to the smaller vec_id; a row
+    is never its own neighbour; where there are fewer rows than k, all are returned. A
+    vec_id that occurs twice is two candidates, also where its rows are equal. Empty
+    tables give an empty table.
     """
-    n, m = vectors.count(), queries.count()
-    row_blocks, query_blocks = max(1, -(-n // rows)), max(1, -(-m // query_rows))
+    vectors = cut(_few_copies(vectors, k).withColumn("row", F.monotonically_increasing_id()))  # numbers of a written table: the same whenever it is read
+    queries = cut(queries)
+    grid = extent(vectors)
+    counts = vectors.agg(F.count("*").alias("n")).first()["n"], queries.count()
+    row_blocks, query_blocks = max(1, -(-counts[0] // rows)), max(1, -(-counts[1] // query_rows))
+
+    def approximate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [b""] * batch.num_rows
+            for dim, at in by_dimension(batch):
+                numbers = cell_numbers(matrix(batch.column("v").take(pa.array(at))), *grid[dim])
+                for i, row in zip(at.tolist(), numbers, strict=True):
+                    cells[i] = row.tobytes()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "dim")), pa.array(cells, pa.binary())], names=["row", "vec_id", "dim", "cells"])
+
+    file = cut(vectors.select("row", "vec_id", "dim", "v").mapInArrow(approximate, "row long, vec_id long, dim int, cells binary"))
     copies = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
-    left = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(row_blocks)).cast("int").alias("row_block"), copies(query_blocks, "query_block"))
-    right = queries.select("vec_id", "v", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(query_blocks)).cast("int").alias("query_block"), copies(row_blocks, "row_block"))
+    left = file.select("row", "vec_id", "dim", "cells", F.pmod(F.xxhash64("row"), F.lit(row_blocks)).cast("int").alias("row_block"), copies(query_blocks, "query_block"))
+    right = queries.select("vec_id", "dim", F.transform("v", lambda x: x.cast("double")).alias("v"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"), copies(row_blocks, "row_block"))
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        columns: tuple = (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
+        found: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+        row = vec = np.zeros(0, np.int64)
         if a.num_rows and b.num_rows:
-            ids, first = np.unique(b["vec_id"].to_numpy(), return_index=True)
-            columns = search_block(matrix(b)[first], ids, matrix(a), a["vec_id"].to_numpy(), k)
-        return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
-
-    keys = ("query_block", "row_block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    return ranked(found, k)
+            dim, row, vec = a["dim"][0].as_py(), a["row"].to_numpy(), a["vec_id"].to_numpy()
+            found = scan(matrix(b["v"]), b["vec_id"].to_numpy(), codes(a["cells"], dim), vec, *grid[dim], k)
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(vec[found[1]], pa.int64()), "row": pa.array(row[found[1]], pa.int64()), "upper": pa.array(found[2]), "lower": pa.array(found[3])})
+
+    keys = ("dim", "query_block", "row_block")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, row long, upper double, lower double")
+    # bounds of a query have one width, so the order by upper bounds is that by lower bounds
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "row"))
+    sure = F.max(F.when(F.col("place") == k, F.col("lower"))).over(Window.partitionBy("query_id"))
+    bounded = cut(found.withColumn("place", place).withColumn("sure", sure).where("sure IS NULL OR upper >= sure").drop("lower", "sure"))
+    first = cut(_exact(bounded.where(F.col("place") <= k), queries, vectors))
+    kth = first.groupBy("query_id").agg(F.min("score").alias("kth"))
+    second = bounded.where(F.col("place") > k).join(kth, "query_id").where(F.col("upper") >= F.col("kth").cast("double"))  # the slack covers this rounding too
+    both = first.unionByName(_exact(second, queries, vectors))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_topk(embeddings: DataFrame) -> DataFrame:
-    """Each 20th row's 20 best rows by the integer inner product of floor(64 x)."""
-    vectors = valid_vectors(embeddings).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE).cast("double")))
-    found = top_k(vectors, vectors.where(F.col("vec_id") % QUERY_EVERY == 0))
+    """Each 20th row's 20 best rows by the integer inner product of floor(64 x).
+
+    An id's several vectors are as many candidates; as a query it is the least of them.
+    Vectors are compared with those of their own length.
+    """
+    vectors = valid_vectors(embeddings).withColumn("v", F.transform("v", lambda x: F.floor(x * SCALE)))
+    found = top_k(vectors, query_vectors(vectors, QUERY_EVERY))
     return found.withColumn("score", F.col("score").cast("long"))
 
 
@@ -95,10 +178,10 @@ OP6_SQL = """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS u FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-), w AS (SELECT * FROM v WHERE len(u) = (SELECT max(len(u)) FROM v)),
+), q AS (SELECT vec_id, min(u) AS u FROM v WHERE vec_id % 20 = 0 GROUP BY vec_id),
 p AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.u, c.u)::BIGINT AS score
-    FROM w q JOIN w c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.u) = len(c.u)
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """

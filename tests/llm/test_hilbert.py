@@ -1,5 +1,5 @@
 import numpy as np
-from test_vectors_and_shards import frame, good, vectors
+from test_vectors_and_shards import brute, frame, good, lists, ragged, vectors
 
 from hitweave.llm import hilbert_ann
 
@@ -12,38 +12,37 @@ def test_curve_visits_neighbouring_cells():
         assert (np.abs(np.diff(grid[np.argsort(index)], axis=0)).sum(axis=1) == 1).all()
 
 
-def brute(rows, k=20):
-    x = good(rows, False)
-    ids = np.array(sorted(x))
-    m = np.stack([x[i] for i in ids])
-    want = {}
-    for q in ids[ids % 20 == 0]:
-        s = (m * x[q]).sum(axis=1)
-        order = [j for j in np.lexsort((ids, -s)) if ids[j] != q][:k]
-        want[q] = [(ids[j], s[j]) for j in order]
-    return want
-
-
-def test_small_tables_are_searched_whole(spark):
+def test_scores_are_exact_and_ties_go_to_smaller_ids(spark):
     rows = vectors(700)
-    got = {}
-    for r in hilbert_ann.op9_ann(frame(spark, rows)).orderBy("query_id", "rank").collect():
-        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    want = brute(rows)
-    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
-    assert all(abs(a[1] - b[1]) < 1e-12 for q in want for a, b in zip(got[q], want[q], strict=True))
+    got, want = lists(hilbert_ann.op9_ann(frame(spark, rows))), brute(good(rows, False), once=True)
+    assert set(got) == set(want)
+    x = dict(good(rows, False))
+    for q, found in got.items():
+        assert len(found) == 20 and len({i for i, _ in found}) == 20 and q not in {i for i, _ in found}
+        assert all(abs(s - x[i] @ x[q]) < 1e-12 for i, s in found)
+        assert [(i, s) for i, s in found] == sorted(found, key=lambda p: (-p[1], p[0]))
+    assert np.mean([np.mean([s >= want[q][-1][1] - 1e-12 for _, s in got[q]]) for q in want]) >= 0.9
     assert hilbert_ann.op9_ann(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(hilbert_ann, "LEAST_ROWS", 64)
+def test_ragged_rows_and_repeated_ids(spark):
+    """So few rows are one range each curve, so all are found."""
+    want = brute(good(ragged(), False), once=True)
+    got = lists(hilbert_ann.op9_ann(frame(spark, ragged())))
+    assert {q: [i for i, _ in x] for q, x in got.items()} == {q: [i for i, _ in x] for q, x in want.items() if x}
+
+
+def test_small_chunks_change_nothing(spark, monkeypatch):
+    rows = vectors(700)
+    whole = lists(hilbert_ann.op9_ann(frame(spark, rows)))
     monkeypatch.setattr(hilbert_ann, "ROWS", 50)
-    monkeypatch.setattr(hilbert_ann, "QUERIES", 10)
+    monkeypatch.setattr(hilbert_ann, "QUERIES", 3)
+    assert lists(hilbert_ann.op9_ann(frame(spark, rows))) == whole
+
+
+def test_recall(spark):
     rows = vectors(3200, 64, 3)
-    got = {}
-    for r in hilbert_ann.op9_ann(frame(spark, rows)).collect():
-        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
-    want = brute(rows)
+    got, want = lists(hilbert_ann.op9_ann(frame(spark, rows))), brute(good(rows, False), once=True)
     assert all(len(v) == 20 for v in got.values()) and set(got) == set(want)
-    recall = np.mean([np.mean([s >= want[q][-1][1] - 1e-12 for s in got[q].values()]) for q in want])
+    recall = np.mean([np.mean([s >= want[q][-1][1] - 1e-12 for _, s in got[q]]) for q in want])
     assert recall >= 0.9, recall

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from hitweave.llm import sharding, vafile
 
@@ -20,28 +21,69 @@ def frame(spark, rows):
 
 
 def good(rows, zero):
-    d = max(len(v) for _, v in rows if v)
-    return {i: np.array(v, dtype=np.float64) for i, v in rows if i is not None and v and len(v) == d and None not in v and np.isfinite(v).all() and (zero or any(v))}
+    """(id, vector) of the rows that take part."""
+    return [(i, np.array(v, dtype=np.float64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all() and (zero or any(v))]
+
+
+def brute(rows, k=20, once=False):
+    """For each query id its k best rows of the same length; with `once` an id counts once, by its best row."""
+    want = {}
+    queries = {}
+    for i, v in rows:
+        if i % 20 == 0 and (i not in queries or v.tolist() < queries[i].tolist()):
+            queries[i] = v
+    for q, u in queries.items():
+        scores = [(-(v * u).sum(), i) for i, v in rows if i != q and len(v) == len(u)]
+        if once:
+            best = {}
+            for s, i in scores:
+                best[i] = min(s, best.get(i, s))
+            scores = [(s, i) for i, s in best.items()]
+        want[q] = [(i, -s) for s, i in sorted(scores)[:k]]
+    return want
+
+
+def lists(found):
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(got[r["query_id"]])
+    return got
+
+
+def ragged():
+    """Vectors of three lengths, ids with several vectors, equal rows."""
+    rng = np.random.default_rng(5)
+    rows = [(i, ((rng.normal(size=2) * 64).round() / 64).tolist()) for i in range(41)] + [(20, [1.0, 2.0, 3.0]), (41, [3.0, 2.0, 1.0]), (42, [1.0, 1.0, 1.0])]
+    return rows + [(0, [0.5, -0.25]), (0, [0.25, 3.0]), (7, [2.0, 2.0]), (7, [2.0, 2.0]), (7, [-2.0, 1.0]), (60, [])]
 
 
 def test_exact_top_k(spark):
     rows = vectors(700)
-    x = {i: np.floor(64 * v) for i, v in good(rows, True).items()}
-    want = {}
-    for q in x:
-        if q % 20 == 0:
-            order = sorted((-int(v @ x[q]), i) for i, v in x.items() if i != q)[:20]
-            want |= {(q, r + 1): (i, -s) for r, (s, i) in enumerate(order)}
-    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vafile.op6_topk(frame(spark, rows)).collect()}
-    assert got == want
-    prepared = vafile.valid_vectors(frame(spark, rows)).selectExpr("vec_id", "transform(v, x -> cast(floor(64 * x) as double)) v")
-    small = vafile.top_k(prepared, prepared.where("vec_id % 20 = 0"), rows=100, query_rows=10)
-    assert {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in small.collect()} == want
+    want = {q: [(i, int(s)) for i, s in x] for q, x in brute([(i, np.floor(64 * v)) for i, v in good(rows, True)]).items()}
+    assert lists(vafile.op6_topk(frame(spark, rows))) == {q: x for q, x in want.items() if x}
+    prepared = vafile.valid_vectors(frame(spark, rows)).withColumn("v", F.transform("v", lambda x: F.floor(x * 64)))
+    small = vafile.top_k(prepared, vafile.query_vectors(prepared), rows=100, query_rows=10)
+    assert lists(small) == {q: x for q, x in want.items() if x}
     few = frame(spark, rows[:5])
     assert vafile.op6_topk(few).count() == 4
     assert vafile.op6_topk(few.limit(0)).count() == 0
 
 
+def test_exact_top_k_of_ragged_rows_and_repeated_ids(spark):
+    want = {q: [(i, int(s)) for i, s in x] for q, x in brute([(i, np.floor(64 * v)) for i, v in good(ragged(), True)]).items()}
+    got = lists(vafile.op6_topk(frame(spark, ragged())))
+    assert got == {q: x for q, x in want.items() if x} and {0, 20, 40} <= set(got)
+
+
+def test_cells_bound_scores():
+    rng = np.random.default_rng(3)
+    rows, queries = rng.normal(size=(500, 9)) * 50, rng.normal(size=(40, 9)) * 1e4
+    low, high = rows.min(axis=0), rows.max(axis=0)
+    middle, slack = vafile.bounds_of(queries, vafile.cell_numbers(rows, low, high), low, high)
+    assert (np.abs(queries @ rows.T - middle) <= slack[:, None]).all()
+
+
 def test_shards(spark):
     texts = [None, "", "é"] + [f"text {i % 50}" for i in range(3000)]
     df = spark.createDataFrame([(i if i != 7 else None, t, i) for i, t in enumerate(texts)], "doc_id long, text string, slot int")
