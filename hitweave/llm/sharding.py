@@ -11,13 +11,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from hitweave.session import cut, shared_folder
 
 SHARDS = 40
 SEED = 7
 #: Bytes of text in a bucket, about.
 BUCKET_BYTES = 8 << 20
+#: Buckets that a task of the second pass has, about.
+TASK_BUCKETS = 2
 OVERHEAD = 16
 
 
@@ -32,6 +37,24 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return np.random.default_rng(seed).permutation(n)
 
 
+def _dealt(records: DataFrame, size: Column, seed: int, bucket_bytes: int) -> DataFrame:
+    """Adds __hw_tie, which deals rows over buckets: a hash of all columns and, where equal rows would fill a bucket, their number.
+
+    Such rows are counted before the shuffle, kept once and made again with numbers,
+    so the dealing is the same in every run.
+    """
+    plain = [F.col(f"`{c}`") for c in records.columns]
+    tied = records.withColumn("__hw_tie", F.xxhash64(*plain, F.lit(seed)))
+    heavy = tied.groupBy("__hw_tie").agg(F.count("*").alias("n"), F.max(size).alias("size")).where((F.col("n") > 1) & (F.col("n") * F.col("size") > bucket_bytes))
+    heavy = cut(heavy.select("__hw_tie"))  # one row for each bucket of bytes at most
+    if heavy.isEmpty():
+        return tied
+    light = tied.join(heavy, "__hw_tie", "left_anti")
+    again = tied.join(heavy, "__hw_tie", "left_semi").groupBy(*plain, "__hw_tie").agg(F.count("*").alias("__hw_n"))
+    again = again.withColumn("__hw_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__hw_n")))).withColumn("__hw_tie", F.xxhash64("__hw_tie", "__hw_i"))
+    return light.select(*plain, "__hw_tie").unionByName(again.select(*plain, "__hw_tie"))
+
+
 def external_shuffle(records: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Adds shard, bucket and slot to whole records, moved and shuffled.
 
@@ -40,42 +63,63 @@ def external_shuffle(records: DataFrame, key: str = "doc_id", text: str = "text"
     shuffled stream. The result is the same in every run; rows that are equal in all
     columns may change places.
 
+    Whole records move once. What goes before is a count of each bucket's rows, which
+    meets the bucket by its key, so nothing is broadcast or sent to the driver.
+
     A null key is a key like others, a null text has no bytes, repeated rows stay
-    repeated. Columns named shard, bucket or slot are replaced. An empty table gives
-    an empty table. One key's rows share a shard, as they must, but are dealt over
-    its buckets by all their columns.
+    repeated. Columns named shard, bucket or slot are replaced, names with the prefix
+    `__hw_` are reserved, and columns of maps are not taken. An empty table gives an
+    empty table. One key's rows share a shard, as they must, but are dealt over its
+    buckets, by all their columns and, if they are equal, by number.
     """
     records = records.drop("shard", "bucket", "slot")
-    columns = records.columns
-    total = records.agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD)).first()[0] or 0
+    columns = [F.col(f"`{c}`") for c in records.columns]
+    own = F.col(f"`{key}`")
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + OVERHEAD
+    total = records.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    tied = F.xxhash64(*(F.col(f"`{c}`") for c in columns), F.lit(seed))
-    placed = records.withColumn("shard", shard_of(F.col(key), shards, seed)).withColumn("bucket", F.pmod(tied, F.lit(buckets)).cast("int"))
+    tasks = max(1, -(-total // (TASK_BUCKETS * bucket_bytes)))
+    placed = _dealt(records, size, seed, bucket_bytes).withColumn("shard", shard_of(own, shards, seed)).withColumn("bucket", F.pmod("__hw_tie", F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = placed.groupBy("shard", "bucket").count().select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__hw_first"))
+    firsts = placed.groupBy("shard", "bucket").count().select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
 
-    def mix(table: pa.Table) -> pa.Table:
+    def mix(table: pa.Table, first: pa.Table) -> pa.Table:
         table = table.sort_by([("__hw_key", "ascending"), ("__hw_tie", "ascending")])
-        n, where = table.num_rows, (table["shard"][0].as_py(), table["bucket"][0].as_py())
-        table = table.take(pa.array(fisher_yates(n, [seed, *where]))).drop_columns(["__hw_key", "__hw_tie"])
-        return table.append_column("__hw_slot", pa.array(np.arange(n), pa.int64()))
+        where = (table["shard"][0].as_py(), table["bucket"][0].as_py())
+        table = table.take(pa.array(fisher_yates(table.num_rows, [seed, *where]))).drop_columns(["__hw_key", "__hw_tie"])
+        return table.append_column("slot", pa.array(np.arange(table.num_rows) + first["first"][0].as_py(), pa.int64()))
 
-    keyed = placed.withColumns({"__hw_key": F.xxhash64(key, F.lit(seed)), "__hw_tie": tied})
-    schema = placed.schema.add("__hw_slot", "long")
-    mixed = keyed.groupBy("shard", "bucket").applyInArrow(mix, schema)
-    return mixed.join(firsts, ["shard", "bucket"]).select(*(F.col(f"`{c}`") for c in columns), "shard", "bucket", (F.col("__hw_first") + F.col("__hw_slot")).alias("slot"))
+    keyed = placed.select(*columns, "shard", "bucket", F.xxhash64(own, F.lit(seed)).alias("__hw_key"), "__hw_tie").repartition(tasks, "shard", "bucket")
+    schema = placed.select(*columns, "shard", "bucket").schema.add("slot", "long")
+    groups = keyed.groupBy("shard", "bucket").cogroup(firsts.repartition(tasks, "s", "b").groupBy("s", "b"))
+    return groups.applyInArrow(mix, schema)
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Writes one folder for each shard; its files, by bucket, hold the records in slot order."""
-    (shuffled.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard").parquet(path))
+    """Writes a folder for each shard and in it one for each bucket, whose file holds the records in slot order.
+
+    Tasks write the buckets that they have shuffled; nothing moves again. Reading a
+    shard's buckets one after the other gives the shuffled stream.
+    """
+    shuffled.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard", "bucket").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The records of all shards, with shard, bucket and slot; `schema` is that of the shuffled records."""
+    return spark.read.schema(schema).parquet(path)
 
 
 def op8_sharding(documents: DataFrame) -> DataFrame:
-    """Every document's shard and slot, by the law of keys, and its shard with one more."""
-    whole = documents.select("doc_id", "text")
+    """Every document's shard and slot, by the law of keys, and its shard with one more.
+
+    The shards are written to the shared folder; the rows are those of the files.
+    """
+    spark = documents.sparkSession
+    path = shared_folder(spark, "shards")
+    shuffled = external_shuffle(documents.select("doc_id", "text"))
+    write_shards(shuffled, path)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return external_shuffle(whole).select(
+    return read_shards(spark, path, shuffled.schema).select(
         "doc_id",
         (F.length(data) + OVERHEAD).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),

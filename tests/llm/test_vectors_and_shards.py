@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from hitweave.llm import sharding, vafile
@@ -101,6 +102,38 @@ def test_shards(spark):
     assert sharding.op8_sharding(df.limit(0)).count() == 0
 
 
+def test_shards_and_slots_equal_brute_force(spark):
+    """Every shard and slot computed anew from the law: highest draw, bucket by hash, Fisher-Yates of the sorted bucket."""
+    rows = [(i % 700 if i % 50 else None, f"text {i % 90}" * (i % 7) or None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = df.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(7)).alias("tie"), F.xxhash64("doc_id", F.lit(7)).alias("key"), *(F.xxhash64("doc_id", F.lit(s), F.lit(7)).alias(f"d{s}") for s in range(3))).collect()
+    size = sum(len((r["text"] or "").encode()) + 16 for r in hashes)
+    buckets = -(-size // (3 * 2000))
+    groups = {}
+    for r in hashes:
+        shard = max(range(3), key=lambda s: (r[f"d{s}"], s))
+        groups.setdefault((shard, r["tie"] % buckets), []).append((r["key"], r["tie"], r["doc_id"], r["text"]))
+    want, place = [], [0, 0, 0]
+    for (shard, bucket), group in sorted(groups.items()):
+        group.sort(key=lambda g: g[:2])
+        for j in np.random.default_rng([7, shard, bucket]).permutation(len(group)):
+            want.append((shard, place[shard], bucket, *group[j][2:]))
+            place[shard] += 1
+    got = sharding.external_shuffle(df, shards=3, bucket_bytes=2000)
+    assert sorted((r["shard"], r["slot"], r["bucket"], r["doc_id"], r["text"]) for r in got.collect()) == sorted(want)
+
+
+def test_equal_rows_are_dealt_over_buckets(spark):
+    df = spark.createDataFrame([(5, "same")] * 3000 + [(i, "other") for i in range(100)], "doc_id long, text string")
+    rows = sharding.external_shuffle(df, shards=2, bucket_bytes=2000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in df.collect())
+    groups = Counter((r["shard"], r["bucket"]) for r in rows)
+    assert max(groups.values()) < 300 and len({s for s, _ in groups}) == 2
+    for shard in (0, 1):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_shuffle_is_repeatable_mixes_and_keeps_columns(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i}", i % 3) for i in range(2000)], "doc_id long, text string, bucket int").withColumnRenamed("bucket", "kept")
     one = sharding.external_shuffle(df, shards=2, bucket_bytes=4000)
@@ -112,4 +145,7 @@ def test_shuffle_is_repeatable_mixes_and_keeps_columns(spark, tmp_path):
     order = [r[2] for r in rows if r[0] == 0]
     assert abs(np.corrcoef(order, range(len(order)))[0, 1]) < 0.15
     sharding.write_shards(one, str(tmp_path / "shards"))
-    assert spark.read.parquet(str(tmp_path / "shards")).count() == 2000
+    assert key(sharding.read_shards(spark, str(tmp_path / "shards"), one.schema)) == rows
+    for file in (tmp_path / "shards").rglob("*.parquet"):
+        slots = pq.read_table(file, columns=["slot"], partitioning=None)["slot"].to_pylist()
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
