@@ -5,8 +5,9 @@ stands before it; so reading a byte extends the encodings of the prefixes that s
 matter, those whose rest could still become a longer token. The transducer's state is
 that set: for each live prefix its last token and the place of its rest in the token
 trie. States are numbered and their transitions compiled when first met. Reading a byte
-gives the token that ends there; tokens are emitted where only one live prefix is left,
-which no later byte can undo, and at the end of a word.
+gives the token that ends there. Whatever follows, the encoding goes through one of the
+live prefixes; so after every LOOKAHEAD bytes the tokens that all of their encodings
+begin with are emitted, and what is held back stays short however long the word is.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 #: States, words and pairs that are kept before a cache starts anew.
 MAX_STATES, MAX_WORDS, MAX_PAIRS = 400_000, 300_000, 500_000
-#: Bytes after which a settled stretch is emitted within a word.
+#: Bytes after which the settled tokens are emitted within a word.
 LOOKAHEAD = 64
+#: Decoded pieces of (state, token) that are kept.
+MAX_PIECES = 500_000
 _SIMPLE = 0x250
 
 
@@ -71,6 +74,7 @@ class Transducer:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.trie: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
         for token, rank in ranks.items():
             if len(token) == 1 or self._half(rank):
                 self._insert(token, rank)
@@ -84,6 +88,7 @@ class Transducer:
                 self.trie[node][byte] = len(self.trie)
                 self.trie.append({})
                 self.token_at.append(-1)
+                self.depth.append(self.depth[node] + 1)
             node = self.trie[node][byte]
         self.token_at[node] = rank
 
@@ -161,7 +166,7 @@ class Transducer:
         return move
 
     def _emit(self, ended: list[int]) -> list[int]:
-        """The tokens of a settled stretch, from those that end at each of its bytes."""
+        """The tokens of a stretch, from those that end at each of its bytes."""
         out, at, words = [], len(ended), self.words
         while at:
             token = ended[at - 1]
@@ -170,6 +175,34 @@ class Transducer:
         out.reverse()
         return out
 
+    def _settled(self, state: int, ended: list[int]) -> int:
+        """Up to where the encodings of all live prefixes are the same.
+
+        Each prefix goes back token by token; the one that is furthest takes the next
+        step, until all have met.
+        """
+        at = {len(ended) - self.depth[node] for _, node in self._states[state]}
+        while len(at) > 1:
+            top = max(at)
+            at.remove(top)
+            at.add(top - len(self.words[ended[top - 1]]))
+        return at.pop()
+
+    def stream(self, word: Iterable[int]) -> Iterator[list[int]]:
+        """Tokens of a word of bytes as soon as they are settled, in parts."""
+        ended: list[int] = []
+        state, moves, due = 0, self._moves, LOOKAHEAD
+        for byte in word:
+            state, token = moves[state].get(byte) or self._compile(state, byte)
+            ended.append(token)
+            if len(ended) >= due:
+                settled = self._settled(state, ended)
+                if settled:
+                    yield self._emit(ended[:settled])
+                    del ended[:settled]
+                due = len(ended) + LOOKAHEAD
+        yield self._emit(ended)
+
     def encode(self, word: bytes) -> list[int]:
         """Token ids of one word. A word that is itself a token is that token."""
         whole = self.ranks.get(word)
@@ -177,51 +210,102 @@ class Transducer:
             return [whole]
         if len(self._states) >= MAX_STATES:
             self._clear()
-        out: list[int] = []
-        ended: list[int] = []
-        state, moves = 0, self._moves
-        for byte in word:
-            state, token = moves[state].get(byte) or self._compile(state, byte)
-            ended.append(token)
-            if len(ended) >= LOOKAHEAD and len(self._states[state]) == 1:
-                out += self._emit(ended)
-                ended = []
-        return out + self._emit(ended)
+        return [token for part in self.stream(word) for token in part]
 
 
-class StreamingDecoder:
-    """Bytes of tokens to text; holds back an unfinished UTF-8 character at the end of each part.
+class Utf8:
+    """UTF-8 as a byte automaton (Unicode, table 3-7).
 
-    The state is the number of continuation bytes that are still due, with the bounds
-    of the next one. Bytes that no valid text has become U+FFFD at once.
+    A state is (bytes still due, least and greatest next byte, value so far); START
+    waits for a character. A byte that cannot follow ends what was begun, which becomes
+    one U+FFFD, and is read anew from START.
     """
 
+    START = (0, 0, 0, 0)
+    #: First bytes (from, to), bytes due after them, bounds of the next byte, and the bits of the value.
+    FIRST = (
+        (0xC2, 0xDF, 1, 0x80, 0xBF, 0x1F),
+        (0xE0, 0xE0, 2, 0xA0, 0xBF, 0x0F),
+        (0xE1, 0xEC, 2, 0x80, 0xBF, 0x0F),
+        (0xED, 0xED, 2, 0x80, 0x9F, 0x0F),
+        (0xEE, 0xEF, 2, 0x80, 0xBF, 0x0F),
+        (0xF0, 0xF0, 3, 0x90, 0xBF, 0x07),
+        (0xF1, 0xF3, 3, 0x80, 0xBF, 0x07),
+        (0xF4, 0xF4, 3, 0x80, 0x8F, 0x07),
+    )
+
+    @classmethod
+    def step(cls, state: tuple[int, int, int, int], byte: int) -> tuple[tuple[int, int, int, int], str]:
+        """The next state and the text that the byte completes."""
+        due, low, high, value = state
+        if due:
+            if low <= byte <= high:
+                value = value << 6 | byte & 0x3F
+                return (cls.START, chr(value)) if due == 1 else ((due - 1, 0x80, 0xBF, value), "")
+            after, text = cls.step(cls.START, byte)
+            return after, "\ufffd" + text
+        if byte < 0x80:
+            return cls.START, chr(byte)
+        for first, last, more, low, high, bits in cls.FIRST:
+            if first <= byte <= last:
+                return (more, low, high, byte & bits), ""
+        return cls.START, "\ufffd"
+
+    @classmethod
+    def run(cls, state: tuple[int, int, int, int], data: bytes) -> tuple[tuple[int, int, int, int], str]:
+        out = []
+        for byte in data:
+            state, text = cls.step(state, byte)
+            out.append(text)
+        return state, "".join(out)
+
+
+class Pieces(dict):
+    """What tokens do: state to token to (next state, text); starts anew after MAX_PIECES."""
+
     def __init__(self, words: dict[int, bytes]):
-        self.words, self.held = words, b""
-
-    @staticmethod
-    def unfinished(data: bytes) -> int:
-        """How many bytes at the end start a character that more bytes could finish."""
-        for back in range(1, min(3, len(data)) + 1):
-            lead = data[-back]
-            if lead & 0xC0 == 0x80:
-                continue
-            need = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 4 if 0xF0 <= lead <= 0xF4 else 0
-            if need <= back:
-                return 0
-            low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(lead, (0x80, 0xBF))
-            return back if back == 1 or low <= data[1 - back] <= high else 0
-        return 0
+        self.words, self.number = words, 0
+
+    def compile(self, state: tuple[int, int, int, int], token: int) -> tuple[tuple[int, int, int, int], str]:
+        if self.number >= MAX_PIECES:
+            self.clear()
+            self.number = 0
+        self.number += 1
+        piece = self.setdefault(state, {})[token] = Utf8.run(state, self.words[token])
+        return piece
+
+
+class StreamingDecoder:
+    """Token ids to text, part by part, by the UTF-8 automaton.
+
+    What a token does in a state, the text it gives and the state it leads to, is worked
+    out byte by byte when first met and kept in Pieces, which decoders may share.
+    Bytes that no valid text has become U+FFFD, as soon as that is certain.
+    """
+
+    def __init__(self, words: dict[int, bytes], pieces: Pieces | None = None):
+        self.pieces, self.state = Pieces(words) if pieces is None else pieces, Utf8.START
 
     def feed(self, ids: Iterable[int]) -> str:
-        data = self.held + b"".join(map(self.words.__getitem__, ids))
-        n = self.unfinished(data)
-        self.held = data[len(data) - n :]
-        return data[: len(data) - n].decode("utf-8", "replace")
+        state, pieces, out = self.state, self.pieces, []
+        moves = pieces.get(state, {})
+        for token in ids:
+            piece = moves.get(token)
+            if piece is None:
+                piece = pieces.compile(state, token)
+                moves = pieces[state]
+            after, text = piece
+            out.append(text)
+            if after is not state:
+                state = after
+                moves = pieces.get(state, {})
+        self.state = state
+        return "".join(out)
 
     def finish(self) -> str:
-        rest, self.held = self.held, b""
-        return rest.decode("utf-8", "replace")
+        """What is left at the end: U+FFFD for an unfinished character."""
+        rest, self.state = "\ufffd" * (self.state != Utf8.START), Utf8.START
+        return rest
 
 
 class Codec:
@@ -229,6 +313,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = public_tokenizers.PATTERN):
         self.transducer, self.split = Transducer(ranks), Splitter(pattern)
+        self.pieces = Pieces(self.transducer.words)
         codec = self
 
         class Known(dict):  # word to its ids, packed
@@ -245,7 +330,7 @@ class Codec:
         return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), dtype="<u4")
 
     def decode(self, ids: np.ndarray, part: int = 8192) -> Iterator[str]:
-        stream = StreamingDecoder(self.transducer.words)
+        stream = StreamingDecoder(self.transducer.words, self.pieces)
         for at in range(0, len(ids), part):
             yield stream.feed(ids[at : at + part].tolist())
         yield stream.finish()

@@ -56,13 +56,47 @@ def test_streaming_decode_in_any_parts(codec):
     assert [broken.feed([0]), broken.feed([1]), broken.feed([2]), broken.feed([3]), broken.feed([4]), broken.finish()] == ["", "中", "�", "", "�a", ""]
 
 
+def test_automaton_equals_decode():
+    rng = random.Random(7)
+    for _ in range(20000):
+        data = bytes(rng.choice([rng.randrange(256), *b"a\x80\xbf\xc2\xe0\xe4\xed\xf0\xf4\x90\x9f\xa0"]) for _ in range(rng.randrange(9)))
+        state, text = bpe.Utf8.run(bpe.Utf8.START, data)
+        assert text + "\ufffd" * (state != bpe.Utf8.START) == data.decode("utf-8", "replace"), data
+    for c in [*range(0, 0xD800, 7), *range(0xE000, 0x110000, 13)]:
+        assert bpe.Utf8.run(bpe.Utf8.START, chr(c).encode()) == (bpe.Utf8.START, chr(c))
+
+
+def test_tokens_leave_after_a_bounded_lookahead(codec):
+    """In words whose tokens could always go on, no more than LOOKAHEAD bytes and some tokens are held back."""
+    transducer, rng = codec.transducer, random.Random(6)
+    for unit in (b"a", b"ab", b"the", b"=", b"-=", b"\xc3\xa9", b"abcdefgh", b"xX"):
+        word = unit * 3000 + bytes(rng.choice(unit) for _ in range(3000))
+        read = gone = held = 0
+
+        def fed(word=word):
+            nonlocal read
+            for byte in word:
+                read += 1
+                yield byte
+
+        parts = []
+        for part in transducer.stream(fed()):
+            held = max(held, read - gone)
+            gone += sum(len(transducer.words[t]) for t in part)
+            parts += part
+        assert parts == transducer.encode(word) and gone == len(word)
+        assert held <= bpe.LOOKAHEAD + 300, (unit, held)
+
+
 def test_small_cache_bounds_change_nothing(codec, reference, monkeypatch):
     monkeypatch.setattr(bpe, "MAX_STATES", 50)
     monkeypatch.setattr(bpe, "MAX_WORDS", 10)
     monkeypatch.setattr(bpe, "MAX_PAIRS", 20)
+    monkeypatch.setattr(bpe, "MAX_PIECES", 5)
     small = bpe.Codec(codec.transducer.ranks)
     for text in list(samples())[:500]:
         assert small.encode(text).tolist() == reference.encode_ordinary(text)
+        assert "".join(small.decode(small.encode(text))) == text
 
 
 def test_query_and_tables(spark, reference):
