@@ -113,9 +113,10 @@ def find_pii(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
     A null text counts as empty and gives an empty array, as does a text without
     matches. Other columns pass through unchanged, repeated rows stay repeated; a
-    column already named `out` is replaced. An empty table gives an empty table.
+    column already named `out` is replaced and names with the prefix `__hw_` are
+    reserved. An empty table gives an empty table.
     """
-    df = df.withColumn("__hw_text", F.coalesce(F.col(text), F.lit("")))
+    df = df.withColumn("__hw_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
     df = with_matches(df, "__hw_text", PATTERNS, CONTEXT)
     spans = [judged(k, F.col(f"__hw_found_{k}"), _is_base(k), _score(k), LEAST) for k in KINDS]
     return df.withColumn(out, F.concat(*spans)).drop("__hw_text", *(f"__hw_found_{k}" for k in KINDS))

@@ -5,6 +5,8 @@ Only DataFrame functions; the scan is one narrow stage, no shuffle.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 BASE_KINDS = KINDS[:3]
 MIN_VALUE = 12
-#: A token is kept if its log-likelihood ratio for each character reaches this, in nats.
-LEAST = 0.8
+#: A token is kept if its log-likelihood ratio for each character reaches this, in nats;
+#: chosen on made-up service keys and the names of common Python modules (see the README).
+LEAST = 0.5
 #: And if it has a digit and so many different characters.
 VARIETY = 8
 #: What the models tell apart: letters and digits by themselves, the other characters together.
@@ -43,20 +46,39 @@ ORDINARY = (
 ).split()
 
 
-def labelled_samples(spark: SparkSession, n: int = 4000, seed: int = 17) -> DataFrame:
+#: Documents that give words to the samples, and words that are taken.
+SAMPLE_DOCUMENTS, SAMPLE_WORDS = 500, 4000
+
+
+def words_of(documents: DataFrame, text: str = "text", n: int = SAMPLE_DOCUMENTS) -> list[str]:
+    """Different words of three to fourteen letters, by themselves in the texts of n documents, in lower case.
+
+    A bounded sample for training, the same in every run: the texts and then the words
+    with the smallest hashes, SAMPLE_WORDS at most.
+    """
+    own = F.col(f"`{text}`")
+    texts = documents.where(own.isNotNull()).select(F.xxhash64(own).alias("h")).distinct().orderBy("h").limit(n)
+    chosen = documents.select(own.alias("text"), F.xxhash64(own).alias("h")).join(F.broadcast(texts), "h", "left_semi")
+    words = chosen.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{3,14}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
+    return [r["word"] for r in words.select(F.lower("w").alias("word")).distinct().orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).collect()]
+
+
+def labelled_samples(spark: SparkSession, n: int = 4000, seed: int = 17, words: list[str] | None = None) -> DataFrame:
     """(text, random): n made-up random strings and n ordinary identifiers, the same in every run.
 
-    Random strings are base64 or hexadecimal digests; identifiers join two to five of
-    ORDINARY in snake, kebab, camel or plain form, some with a number behind.
+    Random strings are base64 or hexadecimal digests; identifiers join two to five
+    words in snake, kebab, camel or plain form, some with a number behind. The words
+    are those of ORDINARY and, for every second identifier, `words` if there are any.
     """
-    words = F.split(F.lit(" ".join(ORDINARY)), " ")
-    ids = spark.range(0, n, 1, 4)
+    lists = [F.split(F.lit(" ".join(x)), " ") for x in (ORDINARY, words or ORDINARY)]
+    ids = spark.range(0, n, 1, 4).withColumn("words", F.when(F.pmod(F.xxhash64("id"), F.lit(2)) == 0, lists[0]).otherwise(lists[1]))
     part = lambda salt: F.unhex(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(salt), F.col("id").cast("string")), 256))
     coded = F.regexp_replace(F.base64(part("a")), "=", "")
     strings = ids.select(F.when(F.col("id") % 4 == 0, F.lower(F.hex(part("a")))).otherwise(F.substring(coded, 1, 40)).alias("text"), F.lit(True).alias("random"))
-    draw = lambda j: F.get(words, F.pmod(F.xxhash64(F.col("id"), F.lit(seed), j), F.size(words)).cast("int"))
-    chosen = F.transform(F.sequence(F.lit(0), (2 + F.pmod("id", F.lit(4))).cast("int")), draw)
+    draw = lambda j: F.get("words", F.pmod(F.xxhash64(F.col("id"), F.lit(seed), j), F.size("words")).cast("int"))
     style = F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(5))
+    named = ids.select("id", style.alias("style"), F.transform(F.sequence(F.lit(0), (2 + F.pmod("id", F.lit(4))).cast("int")), draw).alias("chosen"))
+    chosen, style = F.col("chosen"), F.col("style")
     name = (
         F.when(style == 0, F.array_join(chosen, "_"))
         .when(style == 1, F.array_join(chosen, "-"))
@@ -64,7 +86,7 @@ def labelled_samples(spark: SparkSession, n: int = 4000, seed: int = 17) -> Data
         .when(style == 3, F.upper(F.array_join(chosen, "_")))
         .otherwise(F.concat(F.array_join(chosen, ""), F.pmod("id", F.lit(100)).cast("string")))
     )
-    return strings.unionByName(ids.select(name.alias("text"), F.lit(False).alias("random")))
+    return strings.unionByName(named.select(name.alias("text"), F.lit(False).alias("random")))
 
 
 def _codes(text: Column) -> Column:
@@ -80,8 +102,6 @@ def train_markov(samples: DataFrame) -> list[float]:
     """
     codes = samples.where("text IS NOT NULL").select("random", _codes(F.col("text")).alias("c"))
     pairs = codes.select("random", F.explode(F.transform(F.slice("c", F.lit(2), F.greatest(F.size("c") - 1, F.lit(0))), lambda d, i: (F.get("c", i) - 1) * STATES + d - 1)).alias("pair"))
-    import math
-
     counts = {True: [1.0] * STATES**2, False: [1.0] * STATES**2}
     for row in pairs.groupBy("random", "pair").count().collect():
         counts[row["random"]][row["pair"]] += row["count"]
@@ -117,11 +137,13 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", model:
 
     A null text counts as empty and gives an empty array, as does a text without
     matches. Other columns pass through unchanged, repeated rows stay repeated; a
-    column already named `out` is replaced. An empty table gives an empty table.
+    column already named `out` is replaced and names with the prefix `__hw_` are
+    reserved. An empty table gives an empty table. Without `model`, the models are
+    trained anew on samples with words of these texts.
     """
     if model is None:
-        model = train_markov(labelled_samples(df.sparkSession))
-    df = df.withColumn("__hw_text", F.coalesce(F.col(text), F.lit("")))
+        model = train_markov(labelled_samples(df.sparkSession, words=words_of(df, text)))
+    df = df.withColumn("__hw_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
     df = with_matches(df, "__hw_text", PATTERNS)
 
     def base(kind: str):
@@ -141,20 +163,24 @@ def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", model:
 
 
 def redact(df: DataFrame, text: str = "text", model: list[float] | None = None) -> DataFrame:
-    """Replaces every secret in `text` by `<kind>`-tagged marks; other columns are kept.
+    """Replaces every secret in `text` by `[SECRET:kind]` marks.
 
-    Overlapping spans become one mark, that of the first. A null text stays null.
+    Overlapping spans become one mark, that of the first. A null text stays null, a
+    text without secrets stays as it is, repeated rows stay repeated. Other columns
+    pass through unchanged; names with the prefix `__hw_` are reserved. An empty table
+    stays empty.
     """
     found = find_secrets(df, text, "__hw_spans", model)
+    own = F.col(f"`{text}`")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
         inside = x["start"] < s["at"]
-        kept = F.substring(F.col(text), (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
+        kept = F.substring(own, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int"))
         return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.array(kept, F.concat(F.lit("[SECRET:"), x["kind"], F.lit("]"))))).alias("out"))
 
-    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text)))
-    return found.withColumn(text, F.when(F.size("__hw_spans") > 0, F.aggregate("__hw_spans", start, step, rest)).otherwise(F.col(text))).drop("__hw_spans")
+    rest = lambda s: F.concat(F.array_join(s["out"], ""), F.substring(own, (s["at"] + 1).cast("int"), F.length(own)))
+    return found.withColumn(text, F.when(F.size("__hw_spans") > 0, F.aggregate("__hw_spans", start, step, rest)).otherwise(own)).drop("__hw_spans")
 
 
 def op7_secrets(documents: DataFrame) -> DataFrame:
