@@ -208,7 +208,7 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = (),
     found = found.withColumn("__hw_place", at).withColumn("__hw_in", F.col("__hw_rank") - F.col("__hw_place.__hw_from"))
     each = F.col("__hw_place.__hw_each")
     return found.select(
-        *pieces.columns,
+        *(F.col(f"`{c}`") for c in pieces.columns),
         (F.col("__hw_place.__hw_seq") + F.floor(F.col("__hw_in") / each)).cast("long").alias("sequence_id"),
         (F.col("__hw_place.__hw_offset") + (F.col("__hw_in") % each) * F.col(length)).cast("long").alias("offset"),
     )

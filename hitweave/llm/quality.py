@@ -102,7 +102,7 @@ def context_vectors(documents: DataFrame, text: str = "text") -> np.ndarray:
         used = np.flatnonzero(sums[:BUCKETS].any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(pa.array(sums[used, i]) for i in range(SIZE))], names=["bucket", *names])
 
-    partial = documents.select(text).mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in names))
+    partial = documents.select(F.col(f"`{text}`")).mapInArrow(run, "bucket int, " + ", ".join(f"{c} double" for c in names))
     table = np.zeros((BUCKETS, SIZE))
     for row in partial.groupBy("bucket").agg(*(F.sum(c) for c in names)).toLocalIterator():
         table[row[0]] = row[1:]
@@ -140,7 +140,9 @@ def _mapped(documents: DataFrame, both: np.ndarray, keep: list[str], text: str,
             x = np.array([features(tokens(t.as_py()), shared.value) for t in batch.column(batch.num_columns - 1)]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], finish(x)], names=[*keep, out])
 
-    return documents.select(*keep, F.col(text).alias("__hw_text")).mapInArrow(run, documents.select(*keep).schema.add(out, kind))
+    kept = [F.col(f"`{c}`") for c in keep]
+    source = documents.select(*kept, F.col(f"`{text}`")).toDF(*(f"c{i}" for i in range(len(keep) + 1)))  # mapInArrow takes no names with dots
+    return source.mapInArrow(run, documents.select(*kept).schema.add(out, kind))
 
 
 def train(x: np.ndarray, y: np.ndarray, share: float, epochs: int = EPOCHS, seed: int = SEED) -> dict[str, np.ndarray]:
@@ -189,12 +191,14 @@ def probabilities(model: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 def fit(documents: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """Word vectors from all documents; a network from up to `each` labelled rows of either class.
 
-    Held-out labels are not read. Without any label the network is an untrained one.
+    Held-out labels are not read. Of an id's several texts the one with the least
+    features counts. Without any label the network is an untrained one.
     """
     both = np.hstack([index_vectors(), context_vectors(documents)])
     chosen = training_rows(labels, "quality", each)
-    rows = pooled(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), both, ["doc_id", "label"]).collect()
-    rows.sort(key=lambda r: zlib.crc32(b"%d!" % r["doc_id"]))
+    rows = pooled(documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), both, ["doc_id", "label"])
+    rows = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(f"{r['doc_id']}!".encode()), str(r["doc_id"])))
     share = labels.where(~held_out()).agg(F.avg("quality")).first()[0]
     if not rows:
         return both, train(np.zeros((1, FEATURES)), np.ones(1), 0.5, 0)

@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from hitweave.llm import bpe, hilbert_ann, packing, pii, quality, secret_scan, sharding, simhash, toxicity, vafile
+from hitweave.llm import bpe, hilbert_ann, packing, pii, quality, secret_scan, sharding, simhash, stages, toxicity, vafile
 from hitweave.session import table
 
 
@@ -30,6 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": _documents(sharding.op8_sharding),
     "op9_ann": lambda spark, sf_dir: hilbert_ann.op9_ann(table(spark, sf_dir, "embeddings")),
     "op10_packing": _documents(packing.op10_packing),
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
 }
 SQL: dict[str, str] = {"op6_topk": vafile.OP6_SQL}

@@ -72,7 +72,7 @@ def external_shuffle(records: DataFrame, key: str = "doc_id", text: str = "text"
     empty table. One key's rows share a shard, as they must, but are dealt over its
     buckets, by all their columns and, if they are equal, by number.
     """
-    records = records.drop("shard", "bucket", "slot")
+    records = records.select(*(F.col(f"`{c}`") for c in records.columns if c not in ("shard", "bucket", "slot")))
     columns = [F.col(f"`{c}`") for c in records.columns]
     own = F.col(f"`{key}`")
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + OVERHEAD
@@ -83,15 +83,20 @@ def external_shuffle(records: DataFrame, key: str = "doc_id", text: str = "text"
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = placed.groupBy("shard", "bucket").count().select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
 
+    names = [*records.columns, "shard", "bucket"]
+
     def mix(table: pa.Table, first: pa.Table) -> pa.Table:
-        table = table.sort_by([("__hw_key", "ascending"), ("__hw_tie", "ascending")])
+        table = table.rename_columns([*names, "__hw_key", "__hw_tie"]).sort_by([("__hw_key", "ascending"), ("__hw_tie", "ascending")])
         where = (table["shard"][0].as_py(), table["bucket"][0].as_py())
         table = table.take(pa.array(fisher_yates(table.num_rows, [seed, *where]))).drop_columns(["__hw_key", "__hw_tie"])
         return table.append_column("slot", pa.array(np.arange(table.num_rows) + first["first"][0].as_py(), pa.int64()))
 
-    keyed = placed.select(*columns, "shard", "bucket", F.xxhash64(own, F.lit(seed)).alias("__hw_key"), "__hw_tie").repartition(tasks, "shard", "bucket")
+    keyed = placed.select(*columns, "shard", "bucket", F.xxhash64(own, F.lit(seed)).alias("__hw_key"), "__hw_tie")
+    keyed = keyed.toDF(*(f"c{i}" for i in range(len(names) + 2)))  # Arrow functions take no names with dots
+    shard, bucket = (f"c{len(names) - i}" for i in (2, 1))
+    keyed = keyed.repartition(tasks, shard, bucket)
     schema = placed.select(*columns, "shard", "bucket").schema.add("slot", "long")
-    groups = keyed.groupBy("shard", "bucket").cogroup(firsts.repartition(tasks, "s", "b").groupBy("s", "b"))
+    groups = keyed.groupBy(shard, bucket).cogroup(firsts.repartition(tasks, "s", "b").groupBy("s", "b"))
     return groups.applyInArrow(mix, schema)
 
 

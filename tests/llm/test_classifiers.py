@@ -100,3 +100,86 @@ def test_contexts_do_not_cross_texts(spark):
     want = (want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     assert (quality.context_vectors(df.coalesce(1)) == want).all()
     assert (quality.context_vectors(df.orderBy("text").repartition(7)) == want).all()
+
+
+def test_toxicity_scores_equal_a_naive_forward_pass():
+    """Sums of hashed vectors, every filter at every place with zero padding, maximum, logistic layer: written out."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 4)))
+    texts = [" ".join(word() for _ in range(rng.randrange(0, 30))) for _ in range(60)] + [None, "", "one", "One, two; ÉTÉ_x"]
+    model = toxicity.train(texts, np.arange(len(texts)) % 2 * 1.0, epochs=1)
+    pad = max(toxicity.WIDTHS) - 1
+
+    def naive(text):
+        words = toxicity.re.findall(r"[^\W_]+", (text or "").lower())
+        vectors = [sum(model["table"][zlib.crc32(k.encode()) % toxicity.BUCKETS + i * toxicity.BUCKETS].astype(float) for i, k in enumerate([w, f"4:{w[:4]}", f"5:{w[:5]}"])) for w in words]
+        vectors += [np.zeros(toxicity.SIZE)] * (pad if words else pad + 1)
+        total = float(model["base"][0])
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                places = [model["bias"][k, f] + sum(vectors[at + j] @ model[f"filter{width}"][j][:, f] for j in range(width)) for at in range(len(vectors) - width + 1)]
+                total += model["out"][k * toxicity.FILTERS + f] * max(0.0, max(places))
+        return 1 / (1 + np.exp(-total))
+
+    assert np.allclose(toxicity.Scorer(model).scores(texts), [naive(t) for t in texts], atol=1e-4)
+
+
+def test_quality_scores_equal_a_naive_forward_pass():
+    rng = np.random.default_rng(6)
+    both = np.hstack([quality.index_vectors(), rng.normal(size=(quality.BUCKETS, quality.SIZE)).astype(np.float32)])
+    texts = [" ".join(rng.choice(["an", "er", "THE", "!!", "x1", "été"], n)) for n in rng.integers(0, 40, 120)]
+    n = quality.SIZE
+
+    def pooled(text):
+        words = quality.re.findall(r"[^\W_]+|[^\w\s]+|_+", text)
+        ids = [zlib.crc32((w if len(w) > 1 and w.isupper() else w.lower()).encode()) % quality.BUCKETS for w in words]
+        if not ids:
+            return [0.0] * (2 * n + 4)
+        mean = [sum(float(both[i][j]) for i in ids) / len(ids) for j in range(2 * n)]
+        same = sum(a == b for a, b in zip(ids, ids[1:])) / (len(ids) - 1) if len(ids) > 1 else 0.0
+        return [*mean, sum(m * m for m in mean[:n]) / quality.ONES, same, sum(m * m for m in mean[n:]), np.log1p(len(ids)) / 10]
+
+    x = np.array([quality.features(quality.Tokens()(t), both) for t in texts])
+    assert np.allclose(x, [pooled(t) for t in texts], atol=1e-6)
+    y = rng.integers(0, 2, len(x)).astype(float)
+    model = quality.train(x, y, 0.8, epochs=3)
+
+    def naive(row):
+        z = [(v - m) / s for v, m, s in zip(row, model["mean"], model["spread"], strict=True)]
+        hidden = [max(0.0, sum(z[i] * model["w1"][i][j] for i in range(len(z))) + model["b1"][j]) for j in range(quality.HIDDEN)]
+        logit = sum(h * w for h, w in zip(hidden, model["w2"], strict=True)) + model["b2"][0]
+        return 1 / (1 + np.exp(-(logit + model["offset"]) / model["temperature"]))
+
+    assert np.allclose(quality.probabilities(model, x), [naive(r) for r in x])
+    # the temperature is the one on the grid with the least weighted loss on the rows kept back, a fifth
+    kept = np.arange(len(x)) % 5 == 0
+    rate, losses = y[~kept].mean(), []
+    for t in np.geomspace(1, 8, 60):
+        p = 1 / (1 + np.exp(-(quality.logits(model, x[kept]) + model["offset"]) / t))
+        w = np.where(y[kept] == 1, 0.8 / rate, 0.2 / (1 - rate))
+        losses.append((-w * np.log(np.where(y[kept] == 1, p, 1 - p))).sum())
+    assert np.isclose(model["temperature"], np.geomspace(1, 8, 60)[int(np.argmin(losses))])
+
+
+@pytest.mark.parametrize("which", ["toxic", "quality"])
+def test_odd_columns(spark, tables, which):
+    """Names with dots, no language, ids of text, ids with several texts, labels of one class or none."""
+    docs, labels = tables
+    if which == "toxic":
+        model, _ = toxicity.fit(docs, labels)
+        score = lambda df: toxicity.score(df, model, "s.core")
+    else:
+        both, model = quality.fit(docs, labels)
+        score = lambda df: quality.score(df, both, model, "s.core")
+    odd = docs.limit(20).withColumnRenamed("lang", "la.ng").withColumnRenamed("score", "__hw_x")
+    got = score(odd)
+    assert got.columns == ["doc_id", "text", "la.ng", "__hw_x", "s.core"] and got.count() == 20
+    op = toxicity.op4_toxicity if which == "toxic" else quality.op5_quality
+    again = docs.select("doc_id", "text").limit(50)
+    one_class = labels.where("doc_id < 100").withColumn("toxic", labels.toxic * 0).withColumn("quality", labels.quality * 0)
+    rows = op(again.union(again.limit(5)), one_class).collect()
+    assert len(rows) == 55
+    if which == "toxic":
+        assert len({r["score"] for r in rows}) == 1 and len({r["score"] for r in op(again, labels.limit(0)).collect()}) == 1
+    text_ids = again.selectExpr("concat('d', doc_id) doc_id", "text")
+    assert op(text_ids, labels.selectExpr("concat('d', doc_id) doc_id", "quality", "toxic")).count() == 50

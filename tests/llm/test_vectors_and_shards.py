@@ -135,10 +135,10 @@ def test_equal_rows_are_dealt_over_buckets(spark):
 
 
 def test_shuffle_is_repeatable_mixes_and_keeps_columns(spark, tmp_path):
-    df = spark.createDataFrame([(i, f"t{i}", i % 3) for i in range(2000)], "doc_id long, text string, bucket int").withColumnRenamed("bucket", "kept")
+    df = spark.createDataFrame([(i, f"t{i}", i % 3) for i in range(2000)], "doc_id long, text string, bucket int").withColumnRenamed("bucket", "ke.pt")
     one = sharding.external_shuffle(df, shards=2, bucket_bytes=4000)
     other = sharding.external_shuffle(df.repartition(3), shards=2, bucket_bytes=4000)
-    key = lambda f: sorted((r["shard"], r["slot"], r["doc_id"], r["kept"]) for r in f.collect())
+    key = lambda f: sorted((r["shard"], r["slot"], r["doc_id"], r["ke.pt"]) for r in f.collect())
     rows = key(one)
     assert rows == key(other)
     assert max(r["bucket"] for r in one.collect()) > 1
