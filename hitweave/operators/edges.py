@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hitweave.functions.scalars import edge_features
+from hitweave.operators.numbering import row_numbers
 
 KEYS = ["event_id", "src", "dst"]
 
@@ -31,8 +32,8 @@ def oriented_by_id(edges: DataFrame) -> DataFrame:
 
 
 def randomly_flipped(edges: DataFrame, seed: int = 42) -> DataFrame:
-    """Each edge turned round with probability one half, by a seeded hash."""
-    flip = F.xxhash64("event_id", "src", "dst", F.lit(seed)).bitwiseAND(F.lit(1)) == 1
+    """Each edge turned round with probability one half, by a seeded digest."""
+    flip = F.ascii(F.md5(F.concat_ws(":", "event_id", "src", "dst", F.lit(seed)))) % 2 == 1
     rest = [c for c in edges.columns if c not in KEYS]
     return edges.select("event_id", F.when(flip, F.col("dst")).otherwise(F.col("src")).alias("src"), F.when(flip, F.col("src")).otherwise(F.col("dst")).alias("dst"), *rest)
 
@@ -58,7 +59,7 @@ def score_cut(edges: DataFrame, cut: float, score: str = "score", strict: bool =
 
 def with_order(edges: DataFrame) -> DataFrame:
     """edge_ord from 0 in each event by (dst, src): the order that settles all ties."""
-    return edges.withColumn("edge_ord", (F.row_number().over(Window.partitionBy("event_id").orderBy("dst", "src")) - 1).cast("long"))
+    return row_numbers(edges, ["event_id"], ["dst", "src"], "edge_ord")
 
 
 def gathered(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.functions.scalars import cylindrical, finite, scaled
+from hitweave.functions.scalars import cylindrical, finite, pseudorapidity, scaled
+from hitweave.operators.numbering import row_numbers
 from hitweave.schema import GNN_COLUMNS, StageSpec
 
 MIN_HITS = 3
@@ -18,7 +19,7 @@ def clean(hits: DataFrame, columns: list[str]) -> DataFrame:
 
 def numbered(hits: DataFrame, *order: str) -> DataFrame:
     """hit_id from 0 in each event, in the given total order."""
-    return hits.withColumn("hit_id", (F.row_number().over(Window.partitionBy("event_id").orderBy(*order)) - 1).cast("long"))
+    return row_numbers(hits, ["event_id"], list(order), "hit_id")
 
 
 def large_enough(hits: DataFrame, least: int = MIN_HITS) -> DataFrame:
@@ -44,3 +45,16 @@ def cluster_coordinates(scaled_hits: DataFrame, scales: dict[str, float], cluste
     x, y, z = (F.col(f"cluster_{c}_{cluster}") * scales[f"cluster_{c}_{cluster}"] for c in "xyz")
     parts: dict[str, Column] = cylindrical(x, y, z)
     return scaled_hits.withColumns({f"cluster_{k}_{cluster}": parts[k] for k in ("r", "phi", "eta")})
+
+
+def pixel_gnn_input(hits: DataFrame) -> DataFrame:
+    """The twelve columns of the graph network from raw pixel hits, which have one cluster.
+
+    r, phi and z are scaled; the cluster's cylindrical coordinates are not, and stand
+    in for those of the second cluster too.
+    """
+    at = lambda c: F.col(c).cast("double")
+    own = {"r": at("r") / 1000.0, "phi": at("phi") / 3.15, "z": at("z") / 1000.0, "eta": pseudorapidity(at("r"), at("z"))}
+    parts = cylindrical(at("cluster_x_1"), at("cluster_y_1"), at("cluster_z_1"))
+    columns = {**own, **{f"cluster_{k}_{i}": parts[k] for i in (1, 2) for k in ("r", "phi", "z", "eta")}}
+    return hits.select("event_id", "hit_id", *(columns[c].alias(c) for c in GNN_COLUMNS))

@@ -18,12 +18,19 @@ from hitweave.functions.scalars import l2_normalised, layer_norm
 from hitweave.operators.edges import gathered
 from hitweave.session import cut
 
+def _erf(x, exp, absolute, sign):
+    """The error function to 1.5e-7 (Abramowitz and Stegun, 7.1.26)."""
+    t = 1 / (1 + 0.3275911 * absolute(x))
+    series = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    return sign(x) * (1 - series * exp(-x * x))
+
+
 ACTIVATIONS = {
     None: lambda x: x,
     "ReLU": lambda x: np.maximum(x, 0),
     "Tanh": np.tanh,
     "Sigmoid": lambda x: 1 / (1 + np.exp(-x)),
-    "GELU": lambda x: 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3))),
+    "GELU": lambda x: 0.5 * x * (1 + _erf(x * 2**-0.5, np.exp, np.abs, np.sign)),
     "SiLU": lambda x: x / (1 + np.exp(-x)),
 }
 COLUMN_ACTIVATIONS = {
@@ -31,10 +38,13 @@ COLUMN_ACTIVATIONS = {
     "ReLU": lambda x: F.greatest(x, F.lit(0.0)),
     "Tanh": F.tanh,
     "Sigmoid": lambda x: 1 / (1 + F.exp(-x)),
+    "GELU": lambda x: 0.5 * x * (1 + _erf(x * 2**-0.5, F.exp, F.abs, F.signum)),
     "SiLU": lambda x: x / (1 + F.exp(-x)),
 }
 #: Layers with so many weights at most are written as expressions.
 SMALL = 256
+#: Added to the variance by batch normalisation.
+BATCH_EPS = 6e-5
 
 
 def linear(v: Column, weight, bias) -> Column:
@@ -48,22 +58,46 @@ def linear(v: Column, weight, bias) -> Column:
     return F.array(*outputs)
 
 
+def _numbers(values) -> Column:
+    return F.array(*(F.lit(float(x)) for x in values))
+
+
+def _affine(norm: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.array(norm.get("gamma", [1.0] * size), float), np.array(norm.get("beta", [0.0] * size), float)
+
+
 def _with_layer(df: DataFrame, column: str, layer: dict) -> DataFrame:
-    df = df.withColumn(column, linear(F.col(column), layer["weight"], layer["bias"]))
+    if "weight" in layer:
+        df = df.withColumn(column, linear(F.col(column), layer["weight"], layer["bias"]))
     if layer.get("layer_norm"):
         df = df.withColumn(column, layer_norm(F.col(column)))
+    if norm := layer.get("batch_norm"):  # statistics that were kept: the same for every row
+        gamma, beta = _affine(norm, len(norm["mean"]))
+        scale = gamma / np.sqrt(np.array(norm["var"], float) + norm.get("eps", BATCH_EPS))
+        scaled = F.zip_with(column, _numbers(scale), lambda x, g: x * g)
+        df = df.withColumn(column, F.zip_with(scaled, _numbers(beta - scale * np.array(norm["mean"], float)), lambda x, b: x + b))
     act = COLUMN_ACTIVATIONS[layer.get("activation")]
-    return df.withColumn(column, F.transform(column, act))
+    return df.withColumn(column, F.transform(column, act)) if layer.get("activation") else df
 
 
-def mlp(df: DataFrame, column: str, layers: list[dict], out: str) -> DataFrame:
-    """Adds `out`: the layers applied to the vectors in `column`. Null vectors stay null."""
-    if all(len(x["weight"]) * len(x["weight"][0]) <= SMALL and x.get("activation") in COLUMN_ACTIVATIONS for x in layers):
-        df = df.withColumn(out, F.col(column))
+def _rowwise(df: DataFrame, column: str, layers: list[dict]) -> DataFrame:
+    """Layers that look at one row at a time."""
+    if all("weight" not in x or len(x["weight"]) * len(x["weight"][0]) <= SMALL for x in layers):
         for layer in layers:
-            df = _with_layer(df, out, layer)
+            df = _with_layer(df, column, layer)
         return df
-    arrays = [(np.array(x["weight"]), np.array(x["bias"]), x.get("layer_norm"), x.get("activation")) for x in layers]
+
+    def applied(x: np.ndarray) -> np.ndarray:
+        for layer in layers:
+            if "weight" in layer:
+                x = x @ np.array(layer["weight"]).T + np.array(layer["bias"])
+            if layer.get("layer_norm"):
+                x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5)
+            if norm := layer.get("batch_norm"):
+                gamma, beta = _affine(norm, x.shape[1])
+                x = (x - np.array(norm["mean"])) / np.sqrt(np.array(norm["var"]) + norm.get("eps", BATCH_EPS)) * gamma + beta
+            x = ACTIVATIONS[layer.get("activation")](x)
+        return x
 
     @F.pandas_udf("array<double>")
     def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -71,17 +105,43 @@ def mlp(df: DataFrame, column: str, layers: list[dict], out: str) -> DataFrame:
             there = np.flatnonzero(series.notna())
             result = np.full(len(series), None, dtype=object)
             if len(there):
-                x = np.stack(series.iloc[there].to_numpy())
-                for weight, bias, norm, act in arrays:
-                    x = x @ weight.T + bias
-                    if norm:
-                        x = (x - x.mean(axis=1, keepdims=True)) / np.sqrt(x.var(axis=1, keepdims=True) + 1e-5)
-                    x = ACTIVATIONS[act](x)
-                for i, row in zip(there, x, strict=True):
+                for i, row in zip(there, applied(np.stack(series.iloc[there].to_numpy())), strict=True):
                     result[i] = row
             yield pd.Series(result)
 
-    return df.withColumn(out, apply(column))
+    return df.withColumn(column, apply(column))
+
+
+def batch_normed(df: DataFrame, column: str, size: int, norm: dict, within: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Each component to zero mean and unit (biased) variance over the rows of an event, then gamma and beta."""
+    df = cut(df)
+    parts = [F.get(column, F.lit(i)) for i in range(size)]
+    moments = df.groupBy(*within).agg(F.array(*map(F.avg, parts)).alias("__mean"), F.array(*map(F.var_pop, parts)).alias("__var"))
+    gamma, beta = _affine(norm, size)
+    unit = F.zip_with(F.zip_with(column, "__mean", lambda x, m: x - m), "__var", lambda x, v: x / F.sqrt(v + norm.get("eps", BATCH_EPS)))
+    shifted = F.zip_with(F.zip_with(unit, _numbers(gamma), lambda x, g: x * g), _numbers(beta), lambda x, b: x + b)
+    return df.join(moments, list(within)).withColumn(column, shifted).drop("__mean", "__var")
+
+
+def mlp(df: DataFrame, column: str, layers: list[dict], out: str) -> DataFrame:
+    """Adds `out`: the layers applied to the vectors in `column`. Null vectors stay null.
+
+    In a layer, layer norm comes before batch norm and that before the activation. A
+    `batch_norm` is a dict with eps, gamma and beta, all optional; with the mean and var
+    that training kept it is a number for each row, without them it uses those of the
+    rows of an event, which costs a pass.
+    """
+    df = df.withColumn(out, F.col(column))
+    waiting: list[dict] = []
+    for layer in layers:
+        norm = layer.get("batch_norm")
+        if norm is None or "mean" in norm:
+            waiting.append(layer)
+            continue
+        df = _rowwise(df, out, [*waiting, {**layer, "batch_norm": None, "activation": None}])
+        df = batch_normed(df, out, len(layer["bias"]), norm)
+        waiting = [{"activation": layer.get("activation")}]
+    return _rowwise(df, out, waiting)
 
 
 def embed(hits: DataFrame, features: list[str], layers: list[dict], out: str = "v") -> DataFrame:
@@ -114,6 +174,22 @@ def sage_layer(nodes: DataFrame, edges: DataFrame, column: str, size: int, neigh
     return df.withColumn(column, F.transform(F.zip_with("__n", "__r", lambda a, b: a + b), COLUMN_ACTIVATIONS[activation])).drop("m", "__n", "__r")
 
 
+def gnn_encoded(nodes: DataFrame, edges: DataFrame, column: str, layers: list[dict]) -> DataFrame:
+    """Node vectors after a list of layers: those with `neighbour` weights get messages from their in-neighbours, others look at one row."""
+    for layer in layers:
+        if "neighbour" in layer:
+            nodes = sage_layer(nodes, edges, column, len(layer["neighbour"][0]), layer["neighbour"], layer["root"], layer["bias"], layer.get("activation"))
+            nodes = cut(nodes)
+        else:
+            nodes = mlp(nodes, column, [layer], column)
+    return nodes
+
+
+def gnn_filter(nodes: DataFrame, edges: DataFrame, column: str, layers: list[dict], net: list[dict]) -> DataFrame:
+    """Edges with `score`: node vectors after the graph layers, then the net on both ends."""
+    return edge_scores(gnn_encoded(nodes, edges, column, layers), edges, column, net)
+
+
 def edge_scores(nodes: DataFrame, edges: DataFrame, column: str, layers: list[dict], extra: str | None = None, out: str = "score") -> DataFrame:
     """Sigmoid of the layers applied to source, target and (if given) the edge's own vector."""
     joined = gathered(edges, nodes, [column])
@@ -142,13 +218,19 @@ def interaction_round(nodes: DataFrame, edges: DataFrame, edge_net: list[dict],
     return nodes, edges
 
 
-def interaction_gnn(nodes: DataFrame, edges: DataFrame, rounds: list[tuple[list[dict], list[dict]]], decoder: list[dict], size: int, aggregate: str = "sum", in_out_diff: bool = True) -> DataFrame:
+def interaction_gnn(nodes: DataFrame, edges: DataFrame, rounds: list[tuple[list[dict], list[dict]]], decoder: list[dict], size: int, aggregate: str = "sum", in_out_diff: bool = True, concat: bool = False) -> DataFrame:
     """Edge scores after the rounds. One pair of nets repeated is the recurrent form, different ones the chained form.
 
-    Each round is materialised, so that a lost executor costs one round.
+    With `concat`, each round sees the first encodings besides those of the round
+    before, of nodes and of edges. Each round is materialised, so that a lost executor
+    costs one round.
     """
+    if concat:
+        nodes, edges = nodes.withColumn("x0", F.col("x")), edges.withColumn("e0", F.col("e"))
     for edge_net, node_net in rounds:
+        if concat:
+            nodes, edges = nodes.withColumn("x", F.concat("x", "x0")), edges.withColumn("e", F.concat("e", "e0"))
         nodes, edges = interaction_round(nodes, edges, edge_net, node_net, size, aggregate, in_out_diff)
         nodes, edges = cut(nodes), cut(edges)
     logits = mlp(edges, "e", decoder, "__y")
-    return logits.withColumn("score", 1 / (1 + F.exp(-F.get("__y", F.lit(0))))).drop("__y", "e")
+    return logits.withColumn("score", 1 / (1 + F.exp(-F.get("__y", F.lit(0))))).drop("__y", "e", *(["e0"] if concat else []))

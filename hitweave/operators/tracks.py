@@ -45,6 +45,20 @@ def sorted_by_radius(tracks: DataFrame, nodes: DataFrame, radius: str = "rr") ->
     return ordered.select(*keys, F.transform("x", lambda h: h["hit_id"]).alias("hits"))
 
 
+def resolved(tracks: DataFrame, most: int, keys: tuple[str, ...] = ("event_id", "component", "ord")) -> DataFrame:
+    """Tracks whose hits are each in `most` tracks of the event at the most: the longer ones keep them, then those with smaller keys.
+
+    A hit stays in the first tracks that have it, whatever becomes of other hits, so
+    hits are ranked one by one. Repeats of a hit in a track count once. Hits keep their
+    order; a track that loses all of them is empty.
+    """
+    rows = tracks.select(*keys, F.size("hits").alias("__size"), F.posexplode(F.array_distinct("hits")).alias("__pos", "__hit"))
+    first = Window.partitionBy(keys[0], "__hit").orderBy(F.desc("__size"), *keys[1:])
+    kept = rows.withColumn("__k", F.row_number().over(first)).where(F.col("__k") <= most)
+    lists = kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__hit"))), lambda h: h["__hit"]).alias("hits"))
+    return tracks.drop("hits").join(lists, list(keys), "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<bigint>")))
+
+
 def encoded(tracks: DataFrame, events: DataFrame, order: tuple[str, ...] = ("ord",)) -> DataFrame:
     """(event_id, labels): an event's tracks one after the other, each ended by -1; [-1] if it has none."""
     lists = tracks.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct(*order, "hits"))).alias("t"))

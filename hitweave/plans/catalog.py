@@ -16,6 +16,7 @@ from hitweave.operators.neighbours import radius_join
 from hitweave.operators.walks import walk_components
 from hitweave.plans import fixtures as X
 from hitweave.plans import pipeline
+from hitweave.plans import walk_sql as W
 from hitweave.schema import PRESETS, PipelineConfig, StageSpec
 from hitweave.session import cut, table
 
@@ -146,7 +147,7 @@ def orient_by_id(spark, sf_dir):
     return E.distinct_edges(E.oriented_by_id(X.near_e(spark, sf_dir))).select("src", "dst")
 
 
-@query()
+@query("SELECT CASE WHEN flip THEN dst ELSE src END AS src, CASE WHEN flip THEN src ELSE dst END AS dst, score FROM (SELECT *, ascii(md5(concat_ws(':', event_id, src, dst, 42))) % 2 = 1 AS flip FROM edges_e)", X.HITS_E, X.NEAR_E, X.EDGES_E)
 def random_flip(spark, sf_dir):
     return E.randomly_flipped(X.edges_e(spark, sf_dir)).select("src", "dst", "score")
 
@@ -196,9 +197,7 @@ def induced_subgraph(spark, sf_dir):
     return E.node_induced(X.live_u(spark, sf_dir), X.hits_u(spark, sf_dir).where("value > 20"))
 
 
-MARKED = """marked AS (SELECT *, max(score) OVER (PARTITION BY event_id, src) AS top,
-    row_number() OVER (PARTITION BY event_id, src ORDER BY score DESC, dst) AS o, row_number() OVER (PARTITION BY event_id, dst ORDER BY score DESC, src) AS i,
-    src IN (SELECT dst FROM live_u) AS inner_ FROM live_u)"""
+MARKED = W.marked("live_u")
 
 
 @query("SELECT event_id, src, dst, score FROM marked WHERE (o = 1 AND top >= 0.1) OR score > 0.6", X.EDGES_U, MARKED)
@@ -335,21 +334,16 @@ def gnn_round(spark, sf_dir):
 
 # components, paths, walks
 
-REACH = """reach(event_id, a, b) AS (
-    SELECT event_id, src, src FROM {0} UNION SELECT event_id, dst, dst FROM {0} UNION
-    SELECT r.event_id, r.a, CASE WHEN e.src = r.b THEN e.dst ELSE e.src END FROM reach r JOIN {0} e ON e.event_id = r.event_id AND (e.src = r.b OR e.dst = r.b)),
-comp AS (SELECT event_id, a AS node, min(b) AS component FROM reach GROUP BY 1, 2)"""
-KINDS = """kinds AS (
-    SELECT event_id, component, count(*) AS size, CASE WHEN count(*) < 3 THEN 'small' WHEN max(i) <= 1 AND max(o) <= 1 THEN 'simple' ELSE 'complex' END AS kind FROM (
-        SELECT c.*, (SELECT count(*) FROM live_u e WHERE e.dst = c.node) AS i, (SELECT count(*) FROM live_u e WHERE e.src = c.node) AS o FROM comp c) GROUP BY 1, 2)"""
+REACH = W.reach("live_u")
+KINDS = W.kinds("live_u")
 
 
-@query("SELECT node, component FROM comp", X.HITS_E, X.NEAR_E, X.EDGES_E, REACH.format("edges_e"), recursive=True)
+@query("SELECT node, component FROM comp", X.HITS_E, X.NEAR_E, X.EDGES_E, W.reach("edges_e"), recursive=True)
 def components_e(spark, sf_dir):
     return tracks.components(X.edges_e(spark, sf_dir)).select("node", "component")
 
 
-@query("SELECT event_id, node, component FROM comp", X.EDGES_U, REACH.format("live_u"), recursive=True)
+@query("SELECT event_id, node, component FROM comp", X.EDGES_U, REACH, recursive=True)
 def components_u(spark, sf_dir):
     return tracks.components(X.live_u(spark, sf_dir)).select("event_id", "node", "component")
 
@@ -360,12 +354,12 @@ def _parts(spark, sf_dir):
     return live, labels, cut(tracks.classified(live, labels))
 
 
-@query("SELECT event_id, component, size, kind FROM kinds", X.EDGES_U, REACH.format("live_u"), KINDS, recursive=True)
+@query("SELECT event_id, component, size, kind FROM kinds", X.EDGES_U, REACH, KINDS, recursive=True)
 def component_stats(spark, sf_dir):
     return _parts(spark, sf_dir)[2]
 
 
-@query("SELECT event_id, component, list(node ORDER BY node) AS hits FROM comp JOIN kinds USING (event_id, component) WHERE kind = 'simple' GROUP BY 1, 2", X.EDGES_U, REACH.format("live_u"), KINDS, recursive=True)
+@query("SELECT event_id, component, list(node ORDER BY node) AS hits FROM comp JOIN kinds USING (event_id, component) WHERE kind = 'simple' GROUP BY 1, 2", X.EDGES_U, REACH, KINDS, recursive=True)
 def simple_paths(spark, sf_dir):
     _, labels, kinds = _parts(spark, sf_dir)
     return tracks.simple_tracks(labels, kinds)
@@ -399,7 +393,7 @@ def _walk(name: str, walk: str, reuse: bool = False) -> None:
         return walk_components(rest, labels, walk, allow_node_reuse=reuse)
 
     run.__name__ = name
-    query()(run)
+    query("SELECT event_id, component, ord, hits, score FROM walked", X.EDGES_U, W.walked("live_u", walk, reuse), recursive=True)(run)
 
 
 for _name, _kind, _reuse in (("walk_longest", "longest", False), ("walk_longest_reuse", "longest", True), ("walk_level", "level", False), ("walk_lookback", "lookback", False), ("road_walk", "road", False), ("dp_tracks", "dp", False)):
@@ -433,7 +427,7 @@ def track_count(spark, sf_dir):
     return tracks.track_count(_streams(spark, sf_dir))
 
 
-@query("SELECT event_id, component, list(node ORDER BY value, node) AS hits FROM comp JOIN (SELECT event_id AS node, value FROM events) USING (node) GROUP BY 1, 2", X.EDGES_U, REACH.format("live_u"), recursive=True)
+@query("SELECT event_id, component, list(node ORDER BY value, node) AS hits FROM comp JOIN (SELECT event_id AS node, value FROM events) USING (node) GROUP BY 1, 2", X.EDGES_U, REACH, recursive=True)
 def sort_tracks(spark, sf_dir):
     labels = tracks.components(X.live_u(spark, sf_dir))
     groups = labels.groupBy("event_id", "component").agg(F.collect_list("node").alias("hits"))
@@ -474,7 +468,16 @@ def hinge_loss(spark, sf_dir):
     return truth.hinge_loss(rows, 0.5).withColumn("loss", F.round("loss", 6))
 
 
-@query()
+@query(
+    """SELECT p.src, p.dst, t.src IS NOT NULL AS y FROM pairs p LEFT JOIN edges_e t USING (src, dst)""", X.HITS_E, X.NEAR_E, X.EDGES_E,
+    """placed AS (SELECT hit_id, row_number() OVER (ORDER BY hit_id) - 1 AS place FROM hits_e),
+queries AS (SELECT hit_id FROM hits_e ORDER BY ('0x' || md5(concat_ws(':', event_id, hit_id, 42))[:8])::BIGINT, hit_id LIMIT 50),
+hard AS (SELECT src, dst FROM (SELECT p.*, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM pairs_e p JOIN queries q ON q.hit_id = p.src WHERE d2 <= 1.2 * 1.2) WHERE k <= 20 AND src <> dst),
+random_ AS (SELECT q.hit_id AS src, l.hit_id AS dst FROM queries q, range(1, 3) d(k) JOIN placed l ON l.place = ('0x' || md5(concat_ws(':', 0, q.hit_id, d.k, 42))[:8])::BIGINT % (SELECT count(*) FROM hits_e)),
+found AS (SELECT src, dst FROM hard UNION ALL SELECT src, dst FROM random_ UNION ALL SELECT src, dst FROM edges_e),
+pairs AS (SELECT DISTINCT CASE WHEN s.rr > d.rr OR (s.rr = d.rr AND f.src > f.dst) THEN f.dst ELSE f.src END AS src, CASE WHEN s.rr > d.rr OR (s.rr = d.rr AND f.src > f.dst) THEN f.src ELSE f.dst END AS dst
+    FROM found f JOIN hits_e s ON s.hit_id = f.src JOIN hits_e d ON d.hit_id = f.dst)""",
+)
 def training_pairs(spark, sf_dir):
     """Near pairs of sampled hits, random pairs and known edges, put together and marked."""
     hits = X.hits_e(spark, sf_dir).select("event_id", "hit_id", "v")
@@ -488,13 +491,13 @@ def training_pairs(spark, sf_dir):
 
 # whole pipelines
 
-@query()
+@query("SELECT event_id, labels FROM streams", X.HITS_E, X.NEAR_E, X.EDGES_E, "live_e AS (SELECT * FROM edges_e WHERE score > 0.01)", W.walked("live_e", "lookback"), W.streams("hits_e", "rr"), recursive=True)
 def pipeline_tracks(spark, sf_dir):
     """Radius join, orientation, distinct edges, scores, cuts, components, walks and label streams, over embeddings."""
     return pipeline.label_streams(X.edges_e(spark, sf_dir), X.hits_e(spark, sf_dir), PRESETS["metric_v4"])
 
 
-@query()
+@query("SELECT event_id, labels FROM streams", X.EDGES_U, "hits_u AS (SELECT user_id AS event_id, event_id AS hit_id, ts FROM events)", W.walked("live_u", "dp"), W.streams("hits_u", "ts"), recursive=True)
 def pipeline_events(spark, sf_dir):
     """The same from edges on, over many events at once."""
     return pipeline.label_streams(X.edges_u(spark, sf_dir), X.hits_u(spark, sf_dir), PRESETS["double_v3_dp"])

@@ -40,8 +40,9 @@ def run(hits: DataFrame, weights: dict, config: PipelineConfig) -> DataFrame:
     """(event_id, labels) of a batch of events.
 
     `hits` is (event_id, hit_id, feature columns). `weights` holds layer lists, as nn
-    takes them: embedding (or trunk, source and target), filter, and rounds, edge_encoder,
-    node_encoder, decoder and size of the interaction network. Events that are too
+    takes them: embedding (or trunk, source and target), filter, the graph layers
+    filter_gnn that come before it, and rounds, edge_encoder, node_encoder, decoder,
+    size, aggregate, in_out_diff and concat of the interaction network. Events that are too
     small or have too few edges give [-1].
     """
     columns = list(dict.fromkeys([*config.embedding.features, *config.gnn.features]))
@@ -62,17 +63,17 @@ def run(hits: DataFrame, weights: dict, config: PipelineConfig) -> DataFrame:
     near = radius_join(query, database.select("*"), config.r_max, config.k_max)
     edges = E.large_enough(E.distinct_edges(E.oriented(near.select("event_id", "src", "dst"), source, "rr", config.break_ties)))
     nodes = inputs.select("event_id", "hit_id", F.array(*(F.col(c) for c in features)).alias("x"))
-    filtered = nn.edge_scores(nodes, cut(edges), "x", weights["filter"])
+    filtered = nn.gnn_filter(nodes, cut(edges), "x", weights.get("filter_gnn", []), weights["filter"])
     filtered = cut(E.large_enough(E.score_cut(filtered, config.filter_cut, strict=config.strict_filter)).select("event_id", "src", "dst"))
     if "rounds" in weights:
-        gnn = H.stage_input(large, config.gnn)
+        gnn = H.pixel_gnn_input(large) if config.cluster_gnn else H.stage_input(large, config.gnn)
         x = nn.mlp(gnn.withColumn("__x", F.array(*(F.col(c) for c in config.gnn.features))), "__x", weights["node_encoder"], "x").select("event_id", "hit_id", "x")
         if "eta" in config.gnn.features:
             e = E.with_features(filtered, gnn).withColumn("__e", F.array("dr", "dphi", "dz", "deta", "phislope", "rphislope"))
         else:  # without edge features, the encoded ends stand in
             e = E.gathered(filtered, x, ["x"]).withColumn("__e", F.concat("s_x", "d_x"))
         e = nn.mlp(e, "__e", weights["edge_encoder"], "e").select("event_id", "src", "dst", "e")
-        scored = nn.interaction_gnn(x, e, weights["rounds"], weights["decoder"], weights["size"])
+        scored = nn.interaction_gnn(x, e, weights["rounds"], weights["decoder"], weights["size"], weights.get("aggregate", "sum"), weights.get("in_out_diff", True), weights.get("concat", False))
     else:
-        scored = nn.edge_scores(nodes, filtered, "x", weights["filter"])
+        scored = nn.gnn_filter(nodes, filtered, "x", weights.get("filter_gnn", []), weights["filter"])
     return label_streams(scored, source, config)

@@ -7,14 +7,21 @@ from dataclasses import dataclass
 from pyspark.sql.types import FloatType, LongType, StructField, StructType
 
 # Column names in model order.
-HIT_COLUMNS = (
-    "r phi z cluster_x_1 cluster_y_1 cluster_z_1 cluster_x_2 cluster_y_2 cluster_z_2 count_1 charge_count_1 loc_eta_1 loc_phi_1 "
-    "localDir0_1 localDir1_1 localDir2_1 lengthDir0_1 lengthDir1_1 lengthDir2_1 glob_eta_1 glob_phi_1 eta_angle_1 phi_angle_1 "
-    "count_2 charge_count_2 loc_eta_2 loc_phi_2 localDir0_2 localDir1_2 localDir2_2 lengthDir0_2 lengthDir1_2 lengthDir2_2 "
-    "glob_eta_2 glob_phi_2 eta_angle_2 phi_angle_2 eta cluster_r_1 cluster_phi_1 cluster_eta_1 cluster_r_2 cluster_phi_2 cluster_eta_2"
-).split()
-PIXEL_COLUMNS = "r phi z cluster_x_1 cluster_y_1 cluster_z_1 charge_count_1 count_1 loc_eta_1 loc_phi_1 glob_eta_1 glob_phi_1 localDir0_1 localDir1_1 localDir2_1".split()
-GNN_COLUMNS = "r phi z eta cluster_r_1 cluster_phi_1 cluster_z_1 cluster_eta_1 cluster_r_2 cluster_phi_2 cluster_z_2 cluster_eta_2".split()
+HIT_COLUMNS = [
+    "r", "phi", "z", "cluster_x_1", "cluster_y_1", "cluster_z_1", "cluster_x_2", "cluster_y_2", "cluster_z_2", "count_1", "charge_count_1",
+    "loc_eta_1", "loc_phi_1", "localDir0_1", "localDir1_1", "localDir2_1", "lengthDir0_1", "lengthDir1_1", "lengthDir2_1", "glob_eta_1", "glob_phi_1",
+    "eta_angle_1", "phi_angle_1", "count_2", "charge_count_2", "loc_eta_2", "loc_phi_2", "localDir0_2", "localDir1_2", "localDir2_2", "lengthDir0_2",
+    "lengthDir1_2", "lengthDir2_2", "glob_eta_2", "glob_phi_2", "eta_angle_2", "phi_angle_2", "eta", "cluster_r_1", "cluster_phi_1", "cluster_eta_1",
+    "cluster_r_2", "cluster_phi_2", "cluster_eta_2",
+]
+PIXEL_COLUMNS = [
+    "r", "phi", "z", "cluster_x_1", "cluster_y_1", "cluster_z_1", "charge_count_1", "count_1", "loc_eta_1", "loc_phi_1", "glob_eta_1", "glob_phi_1",
+    "localDir0_1", "localDir1_1", "localDir2_1",
+]
+GNN_COLUMNS = [
+    "r", "phi", "z", "eta", "cluster_r_1", "cluster_phi_1", "cluster_z_1", "cluster_eta_1", "cluster_r_2", "cluster_phi_2", "cluster_z_2",
+    "cluster_eta_2",
+]
 # Scales of the stage inputs.
 EMBEDDING_SCALES = [1000, 3.14, 1000, 1000, 1000, 1000, 1000, 1000, 1000, 1, 1, 3.14, 3.14, 1, 1, 1, 1, 1, 1, 3.14, 3.14, 3.14, 3.14, 1, 1, 3.14, 3.14, 1, 1, 1, 1, 1, 1, 3.14, 3.14, 3.14, 3.14]
 GNN_SCALES = [1000.0, 3.14159265359, 1000.0, 1.0, 1000.0, 3.14159265359, 1000.0, 1.0, 1000.0, 3.14159265359, 1000.0, 1.0]
@@ -57,6 +64,7 @@ class PipelineConfig:
     embedding: StageSpec = StageSpec(tuple(HIT_COLUMNS[:37]), tuple(EMBEDDING_SCALES))
     gnn: StageSpec = StageSpec(tuple(GNN_COLUMNS), tuple(GNN_SCALES))
     two_embeddings: bool = False
+    cluster_gnn: bool = False
     strict_filter: bool = False
     clean: bool = True
     scaled_radius: bool = False
@@ -70,6 +78,7 @@ PIXEL = StageSpec(tuple(PIXEL_COLUMNS), tuple(PIXEL_SCALES))
 PRESETS = {
     "pixel_v1": PipelineConfig(0.1, 300, 0.2, embedding=PIXEL, gnn=PIXEL, strict_filter=True, clean=False, scaled_radius=True, break_ties=False, walk="road", sort_tracks=False),
     "pixel": PipelineConfig(0.11, 300, 0.2, embedding=PIXEL, gnn=PIXEL, clean=False, scaled_radius=True, break_ties=False, walk="longest", allow_node_reuse=True, sort_tracks=False),
+    "pixel_v2": PipelineConfig(0.11, 300, 0.2, embedding=PIXEL, cluster_gnn=True, clean=False, scaled_radius=True, break_ties=False, walk="longest", allow_node_reuse=True, sort_tracks=False),
     "metric_v1": PipelineConfig(0.12, 1000, 0.05, clean=False, break_ties=False, walk="road", sort_tracks=False),
     "metric_v2": PipelineConfig(0.12, 1000, 0.05, walk="longest"),
     "metric_v3": PipelineConfig(0.12, 1000, 0.05, walk="level"),
