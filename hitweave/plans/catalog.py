@@ -15,6 +15,7 @@ from hitweave.operators import nn, scatter, tracks, truth
 from hitweave.operators.neighbours import radius_join
 from hitweave.operators.walks import walk_components
 from hitweave.plans import fixtures as X
+from hitweave.plans import net_sql as N
 from hitweave.plans import pipeline
 from hitweave.plans import walk_sql as W
 from hitweave.schema import PRESETS, PipelineConfig, StageSpec
@@ -265,11 +266,6 @@ def layer(outputs: int, inputs: int, salt: int = 0, activation: str | None = Non
     return {"weight": weight(outputs, inputs, salt), "bias": bias(outputs, salt), "activation": activation, "layer_norm": layer_norm}
 
 
-def _sql_linear(w, b, v: str) -> str:
-    """A list of dot products, as DuckDB SQL."""
-    return "[" + ", ".join(f"{c} + " + " + ".join(f"({x}) * {v}[{j + 1}]" for j, x in enumerate(row)) for row, c in zip(w, b, strict=True)) + "]"
-
-
 def _relu(v: str) -> str:
     return f"list_transform({v}, lambda x: greatest(x, 0.0))"
 
@@ -279,20 +275,20 @@ def _rounded(v: str) -> str:
 
 
 POINTS = "points AS (SELECT hit_id, v[1:3] AS x FROM hits_e)"
-HIDDEN = _relu(_sql_linear(weight(4, 3), bias(4), "x"))
+HIDDEN = _relu(N.linear(weight(4, 3), bias(4), "x"))
 
 
 def _points(spark, sf_dir):
     return X.hits_e(spark, sf_dir).select("event_id", "hit_id", F.slice("v", 1, 3).alias("x"))
 
 
-@query(f"SELECT hit_id, {_rounded(_sql_linear(weight(2, 4, 1), bias(2, 1), 'h'))} AS y FROM (SELECT hit_id, {HIDDEN} AS h FROM points)", X.HITS_E, POINTS)
+@query(f"SELECT hit_id, {_rounded(N.linear(weight(2, 4, 1), bias(2, 1), 'h'))} AS y FROM (SELECT hit_id, {HIDDEN} AS h FROM points)", X.HITS_E, POINTS)
 def mlp_layer(spark, sf_dir):
     out = nn.mlp(_points(spark, sf_dir), "x", [layer(4, 3, activation="ReLU"), layer(2, 4, 1)], "y")
     return out.select("hit_id", F.transform("y", lambda x: F.round(x, 6)).alias("y"))
 
 
-@query(f"SELECT hit_id, {_rounded('list_transform(y, lambda a: a / greatest(sqrt(list_sum(list_transform(y, lambda b: b * b))), 1e-12))')} AS v FROM (SELECT hit_id, {_sql_linear(weight(2, 3, 2), bias(2, 2), 'x')} AS y FROM points)", X.HITS_E, POINTS)
+@query(f"SELECT hit_id, {_rounded('list_transform(y, lambda a: a / greatest(sqrt(list_sum(list_transform(y, lambda b: b * b))), 1e-12))')} AS v FROM (SELECT hit_id, {N.linear(weight(2, 3, 2), bias(2, 2), 'x')} AS y FROM points)", X.HITS_E, POINTS)
 def metric_embedding(spark, sf_dir):
     hits = X.hits_e(spark, sf_dir).select("hit_id", *((F.col(c) / 1000).alias(c) for c in "xyz"))
     return nn.embed(hits, list("xyz"), [layer(2, 3, 2)]).select("hit_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
@@ -300,7 +296,7 @@ def metric_embedding(spark, sf_dir):
 
 @query(
     f"""SELECT hit_id, {_rounded('list_transform(range(1, 3), lambda i: n[i] + o[i])')} AS x FROM (
-    SELECT hit_id, {_sql_linear(weight(2, 3, 3), [0.0, 0.0], 'm')} AS n, {_sql_linear(weight(2, 3, 4), bias(2, 4), 'x')} AS o FROM (
+    SELECT hit_id, {N.linear(weight(2, 3, 3), [0.0, 0.0], 'm')} AS n, {N.linear(weight(2, 3, 4), bias(2, 4), 'x')} AS o FROM (
         SELECT p.hit_id, p.x, coalesce(q.m, [0.0, 0.0, 0.0]) AS m FROM points p LEFT JOIN (
             SELECT e.dst AS hit_id, [avg(s.x[1]), avg(s.x[2]), avg(s.x[3])] AS m FROM edges_e e JOIN points s ON s.hit_id = e.src GROUP BY 1) q USING (hit_id)))""",
     X.HITS_E, X.NEAR_E, X.EDGES_E, POINTS,
@@ -310,18 +306,18 @@ def sage_layer(spark, sf_dir):
     return out.select("hit_id", F.transform("x", lambda x: F.round(x, 6)).alias("x"))
 
 
-@query(f"SELECT e.src, e.dst, round(1 / (1 + exp(-({_sql_linear(weight(1, 6, 5), bias(1, 5), 'list_concat(s.x, d.x)')})[1])), 6) AS score FROM edges_e e JOIN points s ON s.hit_id = e.src JOIN points d ON d.hit_id = e.dst", X.HITS_E, X.NEAR_E, X.EDGES_E, POINTS)
+@query(f"SELECT e.src, e.dst, round(1 / (1 + exp(-({N.linear(weight(1, 6, 5), bias(1, 5), 'list_concat(s.x, d.x)')})[1])), 6) AS score FROM edges_e e JOIN points s ON s.hit_id = e.src JOIN points d ON d.hit_id = e.dst", X.HITS_E, X.NEAR_E, X.EDGES_E, POINTS)
 def edge_classifier(spark, sf_dir):
     edges = X.edges_e(spark, sf_dir).select("event_id", "src", "dst")
     return nn.edge_scores(_points(spark, sf_dir), edges, "x", [layer(1, 6, 5)]).select("src", "dst", F.round("score", 6).alias("score"))
 
 
-EDGE_NET = _relu(_sql_linear(weight(3, 9, 6), bias(3, 6), "list_concat([e.score, e.score, e.score], list_concat(s.x, d.x))"))
+EDGE_NET = _relu(N.linear(weight(3, 9, 6), bias(3, 6), "list_concat([e.score, e.score, e.score], list_concat(s.x, d.x))"))
 SUMS = "[sum(m[1]), sum(m[2]), sum(m[3])]"
 
 
 @query(
-    f"""SELECT hit_id, {_rounded(_sql_linear(weight(3, 9, 7), bias(3, 7), 'z'))} AS x FROM (
+    f"""SELECT hit_id, {_rounded(N.linear(weight(3, 9, 7), bias(3, 7), 'z'))} AS x FROM (
     SELECT p.hit_id, list_concat(coalesce(i.m, [0.0, 0.0, 0.0]), list_concat(coalesce(o.m, [0.0, 0.0, 0.0]), p.x)) AS z FROM points p
     LEFT JOIN (SELECT dst AS hit_id, {SUMS} AS m FROM messages GROUP BY 1) i USING (hit_id) LEFT JOIN (SELECT src AS hit_id, {SUMS} AS m FROM messages GROUP BY 1) o USING (hit_id))""",
     X.HITS_E, X.NEAR_E, X.EDGES_E, POINTS, f"messages AS (SELECT e.src, e.dst, {EDGE_NET} AS m FROM edges_e e JOIN points s ON s.hit_id = e.src JOIN points d ON d.hit_id = e.dst)",
@@ -505,34 +501,42 @@ def pipeline_events(spark, sf_dir):
 
 def demo_weights(config: PipelineConfig, size: int = 4) -> dict:
     """Deterministic weights of the right shapes, for tests and queries."""
-    n, g = len(config.embedding.features), len(config.gnn.features)
+    n, g = len(config.embedding.features), 12 if config.cluster_gnn else len(config.gnn.features)
+    served = config.embedding.features == PipelineConfig.embedding.features  # all but the pixel pipelines have graph layers before the filter
+    graph = [{"neighbour": weight(6, n, 9), "root": weight(6, n, 10), "bias": bias(6, 9), "activation": "Tanh"}, layer(4, 6, 11, "Tanh")]
+    wide = 2 if served else 1  # rounds that see the first encodings take vectors of twice the size
     return {
         "embedding": [layer(8, n, activation="Tanh", layer_norm=True), layer(4, 8, 1)],
         "trunk": [layer(8, n, activation="Tanh")],
         "source": [layer(4, 8, 1)],
         "target": [layer(4, 8, 1)],
-        "filter": [layer(4, 2 * n, 2, "Tanh"), layer(1, 4, 3)],
-        "node_encoder": [layer(size, g, 4, "Tanh")],
+        "filter_gnn": graph if served else [],
+        "filter": [layer(4, 8 if served else 2 * n, 2, "Tanh") | ({"batch_norm": {"gamma": [0.5, 1.0, 1.5, 2.0], "beta": [0.1, 0.0, -0.1, 0.2]}} if served else {}), layer(1, 4, 3)],
+        "node_encoder": [layer(size, g, 4, "Tanh") | ({"batch_norm": {}} if served else {})],
         "edge_encoder": [layer(size, 6 if "eta" in config.gnn.features else 2 * size, 5, "Tanh")],
-        "rounds": [([layer(size, 3 * size, 6, "Tanh")], [layer(size, 3 * size, 7, "Tanh")])] * 2,
-        "decoder": [layer(1, size, 8)],
+        "rounds": [([layer(size, 3 * wide * size, 6, "Tanh")], [layer(size, (2 + wide) * size, 7, "Tanh")])] * 2,
+        "decoder": [layer(size, size, 12, "ReLU"), layer(1, size, 8)],
         "size": size,
+        "concat": served,
     }
 
 
 def _preset(name: str, preset: str) -> None:
+    config = replace(PRESETS[preset], r_max=0.6, filter_cut=0.01)  # untrained weights put few hits close together
+    columns = list(dict.fromkeys([*config.embedding.features, *([] if config.cluster_gnn else config.gnn.features)]))
+
     def run(spark, sf_dir):
-        """Hits in events of about ten, features by a hash of the embedding."""
-        config = replace(PRESETS[preset], r_max=0.6, filter_cut=0.01)  # untrained weights put few hits close together
+        """Hits in events of about ten, features by their place in the embedding."""
         base = X.hits_e(spark, sf_dir)
-        columns = list(dict.fromkeys([*config.embedding.features, *config.gnn.features]))
         made = [(F.get("v", F.lit(i % 64)) * (1 + i // 64)).cast("float").alias(c) for i, c in enumerate(columns)]
         hits = base.select(F.pmod("hit_id", F.lit(50)).cast("long").alias("event_id"), F.col("hit_id"), *made)
         return pipeline.run(hits, demo_weights(config), config)
 
     run.__name__ = name
-    query()(run)
+    made = ", ".join(f"(embedding[{i % 64 + 1}]::DOUBLE * {1 + i // 64})::FLOAT AS {c}" for i, c in enumerate(columns))
+    hits = f"hits AS (SELECT vec_id % 50 AS event_id, vec_id AS hit_id, {made} FROM embeddings)"
+    query("SELECT event_id, labels FROM streams", hits, *N.pipeline("hits", demo_weights(config), config), recursive=True)(run)
 
 
-for _name, _kind in (("pipeline_metric", "metric_v4"), ("pipeline_double", "double_v3"), ("pipeline_pixel", "pixel")):
+for _name, _kind in (("pipeline_metric", "metric_v4"), ("pipeline_double", "double_v3"), ("pipeline_pixel", "pixel"), ("pipeline_pixel_v2", "pixel_v2")):
     _preset(_name, _kind)

@@ -45,7 +45,7 @@ def run(hits: DataFrame, weights: dict, config: PipelineConfig) -> DataFrame:
     size, aggregate, in_out_diff and concat of the interaction network. Events that are too
     small or have too few edges give [-1].
     """
-    columns = list(dict.fromkeys([*config.embedding.features, *config.gnn.features]))
+    columns = list(dict.fromkeys([*config.embedding.features, *([] if config.cluster_gnn else config.gnn.features)]))
     source = H.clean(hits, columns) if config.clean else hits
     r, z = F.col("r"), F.col("z")
     if config.scaled_radius:
