@@ -528,12 +528,13 @@ def _preset(name: str, preset: str) -> None:
     def run(spark, sf_dir):
         """Hits in events of about ten, features by their place in the embedding."""
         base = X.hits_e(spark, sf_dir)
-        made = [(F.get("v", F.lit(i % 64)) * (1 + i // 64)).cast("float").alias(c) for i, c in enumerate(columns)]
+        part = lambda i, c: F.abs(F.get("v", F.lit(i % 64))) if c == "r" else F.get("v", F.lit(i % 64))
+        made = [(part(i, c) * (1 + i // 64)).cast("float").alias(c) for i, c in enumerate(columns)]
         hits = base.select(F.pmod("hit_id", F.lit(50)).cast("long").alias("event_id"), F.col("hit_id"), *made)
         return pipeline.run(hits, demo_weights(config), config)
 
     run.__name__ = name
-    made = ", ".join(f"(embedding[{i % 64 + 1}]::DOUBLE * {1 + i // 64})::FLOAT AS {c}" for i, c in enumerate(columns))
+    made = ", ".join(f"({'abs' if c == 'r' else ''}(embedding[{i % 64 + 1}]::DOUBLE) * {1 + i // 64})::FLOAT AS {c}" for i, c in enumerate(columns))
     hits = f"hits AS (SELECT vec_id % 50 AS event_id, vec_id AS hit_id, {made} FROM embeddings)"
     query("SELECT event_id, labels FROM streams", hits, *N.pipeline("hits", demo_weights(config), config), recursive=True)(run)
 
