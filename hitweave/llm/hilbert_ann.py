@@ -20,9 +20,9 @@ from hitweave.llm.vectors import QUERY_EVERY, by_dimension, codes, matrix, query
 from hitweave.session import cut
 
 K = 20
-CURVES, DIMENSIONS, BITS, SEED = 32, 6, 5, 11
+CURVES, DIMENSIONS, BITS, SEED = 24, 6, 5, 11
 #: Ranges of a curve, neighbours on either side, fewest rows of a range, and bounds of what one task compares.
-RANGES, BESIDE, LEAST_ROWS, ROWS, QUERIES = 100, 1, 32, 8192, 4096
+RANGES, BESIDE, LEAST_ROWS, ROWS, QUERIES = 75, 1, 32, 8192, 4096
 #: Rows beyond k that a window hands on, as codes may order the last ones wrongly.
 SPARE = 10
 
