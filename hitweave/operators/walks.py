@@ -1,8 +1,8 @@
 """Walks over the components of oriented, scored edges.
 
-Each walk only looks at one component, so components are the unit of work: they are
-small for detector data, and a large event is dealt out over many tasks. Within a
-component the order of edges, by (dst, src), settles all ties. Nodes on a cycle, which
+Each walk only looks at one component, so components are the unit of work. Those of
+bounded size are walked in one task each, and a large event is dealt out over many
+tasks; larger ones are walked by rounds of joins, in `waves`. Within a component the order of edges, by (dst, src), settles all ties. Nodes on a cycle, which
 oriented edges have only where equal radii were not told apart, are left out.
 """
 
@@ -14,7 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hitweave.operators import waves
+from hitweave.session import cut
+
 Neighbours = dict[int, dict[int, float]]
+#: Edges of a component that one task takes: some 100 MB as Python objects.
+BOUND = 200_000
 SCHEMA = "event_id long, component long, ord int, hits array<long>, score double"
 
 
@@ -182,14 +187,16 @@ def dp_walk(edges: list[tuple[int, int, float]]) -> list[tuple[list[int], float]
     return tracks
 
 
-def walk_components(edges: DataFrame, components: DataFrame, walk: str = "lookback", th_min: float = 0.1, th_add: float = 0.6, allow_node_reuse: bool = False) -> DataFrame:
+def walk_components(edges: DataFrame, components: DataFrame, walk: str = "lookback", th_min: float = 0.1, th_add: float = 0.6, allow_node_reuse: bool = False, bound: int = BOUND) -> DataFrame:
     """(event_id, component, ord, hits, score) of each component's tracks; score only for the dp walk.
 
     `components` is (event_id, node, component), as connected_components gives it.
-    Cuts have to be made before; the road walk makes its own.
+    Cuts have to be made before; the road walk makes its own. Components of up to
+    `bound` edges are each walked in one task; larger ones by joins (waves.walk), with
+    the same tracks.
     """
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["dst", "src"])
         listed = list(zip(rows["src"].tolist(), rows["dst"].tolist(), rows["score"].tolist(), strict=True))
         if walk == "road":
@@ -200,19 +207,11 @@ def walk_components(edges: DataFrame, components: DataFrame, walk: str = "lookba
             found = [(p, None) for p in greedy_walk(listed, walk, allow_node_reuse)]
         return pd.DataFrame({"event_id": key[0], "component": key[1], "ord": range(len(found)), "hits": pd.Series([p for p, _ in found], dtype=object), "score": pd.Series([s for _, s in found], dtype="float64")})
 
+    keys = ["event_id", "component"]
     labelled = edges.join(components.select("event_id", F.col("node").alias("src"), "component"), ["event_id", "src"])
-    return labelled.select("event_id", "component", "src", "dst", "score").groupBy("event_id", "component").applyInPandas(run, SCHEMA)
-
-
-def resolve_ambiguities(tracks: list[list[int]], max_ambi_hits: int) -> list[list[int]]:
-    """Longest tracks first; a hit that is in max_ambi_hits tracks already is left out."""
-    count: dict[int, int] = {}
-    out = []
-    for track in sorted(tracks, key=len, reverse=True):
-        kept = [h for h in track if count.get(h, 0) < max_ambi_hits]
-        for h in kept:
-            count[h] = count.get(h, 0) + 1
-        out.append(kept)
-    return out
-
-
+    labelled = cut(labelled.select(*keys, "src", "dst", "score"))
+    large = cut(labelled.groupBy(*keys).count().where(F.col("count") > bound).select(*keys))
+    if large.isEmpty():
+        return labelled.groupBy(*keys).applyInPandas(run, SCHEMA)
+    small = labelled.join(large, keys, "left_anti").select(*labelled.columns).groupBy(*keys).applyInPandas(run, SCHEMA)
+    return small.unionByName(waves.walk(labelled.join(large, keys, "left_semi").select(*labelled.columns), walk, th_min, th_add, allow_node_reuse))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hitweave.functions import scalars as S
 from hitweave.operators import edges as E
 from hitweave.operators import hits as H
-from hitweave.operators import nn, scatter, tracks, truth
-from hitweave.operators.neighbours import radius_join
+from hitweave.operators import nn, scatter, tracks, truth, waves
+from hitweave.operators.neighbours import radius_join, remapped
 from hitweave.operators.walks import walk_components
 from hitweave.plans import fixtures as X
 from hitweave.plans import net_sql as N
@@ -366,16 +366,8 @@ def simple_paths(spark, sf_dir):
     "paths(src, dst, s) AS (SELECT src, dst, score FROM dp_cut UNION ALL SELECT p.src, e.dst, p.s + e.score FROM paths p JOIN dp_cut e ON e.src = p.dst)", recursive=True,
 )
 def dp_best_score(spark, sf_dir):
-    """Waves from the ends: a node's best sum is settled once all its targets' are; rounds as long as the longest path."""
-    edges = cut(E.dp_max_add_cut(X.live_u(spark, sf_dir)).select("src", "dst", "score"))
-    known = None
-    while True:
-        below = edges if known is None else edges.join(known.select(F.col("hit_id").alias("dst"), F.col("best_score").alias("b")), "dst", "left")
-        value = F.col("score") if known is None else F.col("score") + F.coalesce("b", F.lit(0.0))
-        new = cut(below.groupBy(F.col("src").alias("hit_id")).agg(F.max(value).alias("best_score")))
-        if known is not None and new.join(known.withColumnRenamed("best_score", "old"), "hit_id").where("best_score <> old").isEmpty():
-            return new.withColumn("best_score", F.round("best_score", 6))
-        known = new
+    edges = E.dp_max_add_cut(X.live_u(spark, sf_dir))
+    return waves.best_sums(edges).where("to IS NOT NULL").select(F.col("node").alias("hit_id"), F.round("best", 6).alias("best_score"))
 
 
 def _walk(name: str, walk: str, reuse: bool = False) -> None:
@@ -485,6 +477,92 @@ def training_pairs(spark, sf_dir):
     return truth.graph_intersection(pairs, known.withColumn("truth_id", F.col("src")), True).select("src", "dst", "y")
 
 
+@query("SELECT t.src, t.dst, p.pred_id IS NOT NULL AS y, coalesce(p.pred_id, -1) AS pred_id FROM truth t LEFT JOIN (SELECT src, dst, src * 1000000 + dst AS pred_id FROM pred) p USING (src, dst)", X.MATCHES)
+def truth_to_pred(spark, sf_dir):
+    pred, true = X.matches(spark, sf_dir)
+    return truth.truth_to_pred(pred.withColumn("pred_id", F.col("src") * 1000000 + F.col("dst")), true).select("src", "dst", "y", "pred_id")
+
+
+@query(
+    """SELECT p.src, p.dst, t.truth_id IS NOT NULL AS y, coalesce(t.truth_id, -1) AS truth_id FROM (SELECT DISTINCT l_suppkey AS src, l_partkey % 20 AS dst FROM lineitem WHERE l_returnflag = 'R') p
+    LEFT JOIN (SELECT least(a, b) AS a, greatest(a, b) AS b, max(i) AS truth_id FROM (SELECT l_partkey % 20 AS a, l_suppkey AS b, l_orderkey AS i FROM lineitem WHERE l_linestatus = 'F') GROUP BY 1, 2) t ON t.a = least(p.src, p.dst) AND t.b = greatest(p.src, p.dst)"""
+)
+def undirected_intersection(spark, sf_dir):
+    lines, event = table(spark, sf_dir, "lineitem"), F.lit(0).cast("long").alias("event_id")
+    pred = lines.where("l_returnflag = 'R'").select(event, F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 20).alias("dst"))
+    true = lines.where("l_linestatus = 'F'").select(event, (F.col("l_partkey") % 20).alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_orderkey").alias("truth_id"))
+    return truth.graph_intersection(pred, true, True, unique=False).select("src", "dst", "y", "truth_id")
+
+
+@query(
+    """SELECT round((SELECT avg(greatest(0, 1.21 - d2)) FROM near_t WHERE NOT y) + (SELECT avg(d2) FROM near_t WHERE y), 6) AS loss, round(hit / n, 9) AS total_eff, round(hit / n, 9) AS signal_eff,
+    round(hit / m, 9) AS total_pur, round(hit / m, 9) AS signal_pur, round(2 * hit / (n + m), 9) AS f1
+    FROM (SELECT count(*)::DOUBLE AS n FROM track) a, (SELECT count(*)::DOUBLE AS m, count(*) FILTER (y)::DOUBLE AS hit FROM near_t) b""",
+    X.HITS_E, X.NEAR_E,
+    "track AS (SELECT * FROM (SELECT vec_id AS src, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS dst FROM embeddings) WHERE dst IS NOT NULL)",
+    "near_t AS (SELECT p.src, p.dst, d2, t.src IS NOT NULL AS y FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY d2, dst) AS k FROM pairs_e WHERE d2 <= 1.3 * 1.3) p LEFT JOIN track t USING (src, dst) WHERE k <= 100 AND p.src <> p.dst)",
+)
+def evaluation(spark, sf_dir):
+    """Near pairs of all hits against the chain of hits of each label."""
+    after = Window.partitionBy("label").orderBy("vec_id")
+    known = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("long").alias("event_id"), F.col("vec_id").alias("src"), F.lead("vec_id").over(after).alias("dst")).where("dst IS NOT NULL")
+    out = truth.evaluation(cut(X.near_e(spark, sf_dir, 100, 1.3)), known.withColumn("truth_id", F.col("src")), 1.1)
+    return out.select(*(F.round(c, 6 if c == "loss" else 9).alias(c) for c in out.columns))
+
+
+@query(
+    """SELECT event_id, ord, coalesce(k.hits, []::BIGINT[]) AS hits FROM lists LEFT JOIN (
+    SELECT event_id, ord, list(hit ORDER BY hit) AS hits FROM (
+        SELECT event_id, ord, hit, row_number() OVER (PARTITION BY event_id, hit ORDER BY n DESC, ord) AS k FROM (SELECT event_id, ord, len(hits) AS n, unnest(hits) AS hit FROM lists)) WHERE k <= 2 GROUP BY 1, 2) k USING (event_id, ord)""",
+    X.BIP, "lists AS (SELECT src AS event_id, dst AS ord, list(q ORDER BY q) AS hits FROM (SELECT DISTINCT src, dst, q::BIGINT AS q FROM bip) GROUP BY 1, 2)",
+)
+def resolve_ambiguities(spark, sf_dir):
+    rows = X.bip(spark, sf_dir).select(F.col("src").alias("event_id"), F.col("dst").alias("ord"), F.col("q").cast("long").alias("q")).distinct()
+    lists = rows.groupBy("event_id", "ord").agg(F.array_sort(F.collect_list("q")).alias("hits"))
+    return tracks.resolved(lists, 2, ("event_id", "ord"))
+
+
+@query("SELECT src, l_partkey AS dst FROM (SELECT l_suppkey * 7 AS src, l_partkey FROM lineitem)")
+def remap_ids(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.lit(0).cast("long").alias("event_id"), F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    ids = table(spark, sf_dir, "supplier").select(F.lit(0).cast("long").alias("event_id"), F.col("s_suppkey").alias("local"), (F.col("s_suppkey") * 7).alias("global"))
+    return remapped(lines, ids).select("src", "dst")
+
+
+@query(
+    """SELECT hit_id, round(cr, 6) AS cluster_r_1, round(atan2(y, x), 6) AS cluster_phi_1, round(-ln(tan(atan2(cr, z) / 2)), 6) AS cluster_eta_1 FROM (
+    SELECT *, sqrt(x * x + y * y) AS cr FROM (SELECT vec_id AS hit_id, 300 * embedding[1]::DOUBLE AS x, 300 * embedding[2]::DOUBLE AS y, 3000 * embedding[3]::DOUBLE AS z FROM embeddings))"""
+)
+def cluster_coordinates(spark, sf_dir):
+    hits = X.hits_e(spark, sf_dir).select("hit_id", *(F.get("v", F.lit(i)).alias(f"cluster_{c}_1") for i, c in enumerate("xyz")))
+    out = H.cluster_coordinates(hits, {"cluster_x_1": 300, "cluster_y_1": 300, "cluster_z_1": 3000})
+    return out.select("hit_id", *(F.round(c, 6).alias(c) for c in ("cluster_r_1", "cluster_phi_1", "cluster_eta_1")))
+
+
+GRAPH = [{"neighbour": weight(4, 3, 1), "root": weight(4, 3, 2), "bias": bias(4, 1), "activation": "ReLU"}, layer(3, 4, 3, "Tanh")]
+NET = [layer(4, 6, 4, "Tanh", True) | {"batch_norm": {"gamma": [1.0, 0.5, 2.0, 1.5]}}, layer(1, 4, 5)]
+POINTS_0 = "points AS (SELECT event_id, hit_id, v[1:3] AS x FROM hits_e)"
+
+
+@query(
+    "SELECT src, dst, round(1 / (1 + exp(-x[1])), 6) AS score FROM scored", X.HITS_E, X.NEAR_E, X.EDGES_E, POINTS_0, *N.sage("g0", "points", "edges_e", GRAPH[0]), *N.layers("g1", "g0", "event_id, hit_id", [GRAPH[1]]),
+    f"ends_ AS (SELECT e.event_id, e.src, e.dst, list_concat(s.x, d.x) AS x FROM {N.ENDS.format('edges_e', 'g1')})", *N.layers("scored", "ends_", N.PAIR, NET),
+)
+def gnn_filter(spark, sf_dir):
+    edges = cut(X.edges_e(spark, sf_dir).select("event_id", "src", "dst"))
+    return nn.gnn_filter(_points(spark, sf_dir), edges, "x", GRAPH, NET).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"SELECT hit_id, {_rounded(N.UNIT.replace('x,', 's.x,').replace('(x,', '(s.x,'))} AS src_emb, {_rounded(N.UNIT.replace('x,', 't.x,').replace('(x,', '(t.x,'))} AS tgt_emb FROM s JOIN t USING (hit_id)",
+    X.HITS_E, POINTS, *N.layers("trunk", "points", "hit_id", [layer(4, 3, 1, "Tanh")]), *N.layers("s", "trunk", "hit_id", [layer(2, 4, 2)]), *N.layers("t", "trunk", "hit_id", [layer(2, 4, 3)]),
+)
+def double_embedding(spark, sf_dir):
+    hits = X.hits_e(spark, sf_dir).select("hit_id", *((F.col(c) / 1000).alias(c) for c in "xyz"))
+    out = nn.embed_both(hits, list("xyz"), [layer(4, 3, 1, "Tanh")], [layer(2, 4, 2)], [layer(2, 4, 3)])
+    return out.select("hit_id", *(F.transform(c, lambda x: F.round(x, 6)).alias(c) for c in ("src_emb", "tgt_emb")))
+
+
 # whole pipelines
 
 @query("SELECT event_id, labels FROM streams", X.HITS_E, X.NEAR_E, X.EDGES_E, "live_e AS (SELECT * FROM edges_e WHERE score > 0.01)", W.walked("live_e", "lookback"), W.streams("hits_e", "rr"), recursive=True)

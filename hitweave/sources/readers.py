@@ -55,6 +55,16 @@ def snapshot(df: DataFrame, path: str, stage: str, mode: str = "overwrite") -> D
     return df.sparkSession.read.parquet(f"{path}/{stage}")
 
 
+def captured(inputs: DataFrame, path: str, number: int, keep_all: bool = True) -> None:
+    """Writes the input of request `number` to a folder of its own, which a repeated request replaces; or, unless `keep_all`, to one that every request replaces."""
+    inputs.write.mode("overwrite").parquet(f"{path}/request={number}" if keep_all else f"{path}/request")
+
+
+def write_training_graphs(edges: DataFrame, path: str, datatype: str = "datatype") -> None:
+    """Writes edges with a column that names their split (train, validation, test), a folder for each, and in it events together."""
+    edges.repartition(datatype, "event_id").sortWithinPartitions(datatype, "event_id", "dst", "src").write.mode("overwrite").partitionBy(datatype).parquet(path)
+
+
 def write_labels(streams: DataFrame, path: str, mode: str = "error") -> None:
     streams.write.mode(mode).parquet(path)
 

@@ -6,8 +6,9 @@ from itertools import pairwise
 import pytest
 
 from hitweave.operators import edges as E
-from hitweave.operators import tracks, truth, walks
+from hitweave.operators import neighbours, tracks, truth, walks, waves
 from hitweave.operators.components import connected_components
+from hitweave.operators.numbering import row_numbers
 
 
 def union_find(edges):
@@ -190,5 +191,62 @@ def test_undirected_intersection(spark):
     assert key(truth.graph_intersection(pred, true, True)) == {(1, 2): (True, 7), (3, 2): (True, 8), (4, 5): (False, -1)}
 
 
-def test_ambiguities():
-    assert walks.resolve_ambiguities([[1, 2], [2, 3, 4], [2, 5]], 1) == [[2, 3, 4], [1], [5]]
+def test_ambiguities(spark):
+    df = spark.createDataFrame([(0, 0, 0, [1, 2]), (0, 0, 1, [2, 3, 4]), (0, 0, 2, [2, 5]), (0, 0, 3, [2]), (1, 0, 0, [2])], "event_id long, component long, ord int, hits array<long>")
+    got = {(r["event_id"], r["ord"]): list(r["hits"]) for r in tracks.resolved(df, 1).collect()}
+    assert got == {(0, 0): [1], (0, 1): [2, 3, 4], (0, 2): [5], (0, 3): [], (1, 0): [2]}
+    rng = random.Random(2)
+    rows = [(0, 0, i, rng.sample(range(12), rng.randrange(1, 6))) for i in range(30)]
+    for most in (1, 3):
+        count, want = {}, {}
+        for r in sorted(rows, key=lambda r: (-len(r[3]), r[2])):
+            want[r[2]] = [h for h in r[3] if count.get(h, 0) < most]
+            for h in want[r[2]]:
+                count[h] = count.get(h, 0) + 1
+        found = tracks.resolved(spark.createDataFrame(rows, df.schema), most).collect()
+        assert {r["ord"]: list(r["hits"]) for r in found} == want
+
+
+@pytest.mark.parametrize("kind", ["longest", "reuse", "level", "lookback", "road", "dp"])
+def test_walks_by_joins_equal_walks_in_a_task(spark, kind):
+    """Components above the bound, here all with more than two edges, some with cycles."""
+    rng, rows = random.Random(3), []
+    for part in range(5):
+        ids = [part * 100 + i for i in range(rng.randrange(5, 10))]
+        rows += [(part % 2, a, b, round(rng.choice([0.2, 0.5, 0.7, rng.random()]), 3)) for a in ids for b in ids if (a < b and rng.random() < 0.35) or (part == 3 and a > b and rng.random() < 0.06)]
+    df = spark.createDataFrame(rows, "event_id long, src long, dst long, score double")
+    labels = tracks.components(df)
+    choice, reuse = ("longest", True) if kind == "reuse" else (kind, False)
+    key = lambda f: sorted((r["event_id"], r["component"], r["ord"], tuple(r["hits"]), None if r["score"] is None else round(r["score"], 9)) for r in f.collect())
+    want = key(walks.walk_components(df, labels, choice, allow_node_reuse=reuse))
+    assert key(walks.walk_components(df, labels, choice, allow_node_reuse=reuse, bound=2)) == want and len(want) > 3
+
+
+def test_best_sums_end_on_cycles(spark):
+    df = spark.createDataFrame([(0, 1, 2, 0.5), (0, 2, 3, 0.5), (0, 3, 2, 0.9), (0, 7, 8, 0.25), (0, 8, 9, 0.5), (0, 7, 9, 0.75)], "event_id long, src long, dst long, score double")
+    got = {r["node"]: (r["best"], r["to"]) for r in waves.best_sums(df).collect()}
+    assert got == {9: (0.0, None), 8: (0.5, 9), 7: (0.75, 8)}
+
+
+def test_row_numbers_of_a_large_group(spark):
+    rows = [(k, v) for k in (1, None) for v in range(3000)] + [(2, 5), (3, 1), (3, 0)]
+    random.Random(1).shuffle(rows)
+    got = row_numbers(spark.createDataFrame(rows, "k long, v long").repartition(5), ["k"], ["v"], "n").collect()
+    assert {(r["k"], r["v"]): r["n"] for r in got} == {**{(k, v): v for k in (1, None) for v in range(3000)}, (2, 5): 0, (3, 0): 0, (3, 1): 1}
+
+
+@pytest.mark.parametrize("k_max", [None, 3])
+def test_radius_join_equals_brute_force(spark, k_max, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", 20)
+    monkeypatch.setattr(neighbours, "QUERIES", 30)
+    monkeypatch.setattr(neighbours, "POINTS_A_PIVOT", 16)
+    rng = random.Random(6)
+    rows = [(e, i, [rng.randrange(-8, 9) / 4 for _ in range(3)]) for e, n in ((0, 150), (1, 40), (2, 1)) for i in range(n)]
+    asked = [r for r in rows if r[1] % 2 == 0] + [(3, 0, [0.0, 0.0, 0.0]), (0, 999, None)]
+    schema = "event_id long, hit_id long, v array<double>"
+    got = neighbours.radius_join(spark.createDataFrame(asked, schema), spark.createDataFrame(rows, schema), 1.0, k_max, loops=True).collect()
+    want = set()
+    for e, i, v in asked:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), j) for f, j, w in rows if f == e and v is not None) if v else []
+        want |= {(e, i, j, d) for d, j in [x for x in near if x[0] <= 1.0][:k_max]}
+    assert {(r["event_id"], r["src"], r["dst"], r["d2"]) for r in got} == want and len(got) == len(want)
