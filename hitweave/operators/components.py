@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.session import cut
+from hitweave.session import cut, stored
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", within: tuple[str, ...] = ()) -> DataFrame:
@@ -23,11 +23,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", w
     logarithmic; there is no bound on them. The maps are composed from the last, the
     smallest, to the first, and the smallest node of each class is taken at the end.
     Minima are combined before the shuffle, and what has many rows for one node is a
-    materialised table when it is joined, so that adaptive execution can split it.
+    materialised table when it is joined, so that adaptive execution can split it. The
+    edges of a round are written, as sizes estimated over many rounds would grow without end.
     """
     keys = list(within)
     start = edges.select(*keys, F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    start = cut(_tidy(start, keys))
+    start = stored(_tidy(start, keys))
     nodes = start.select(*keys, F.explode(F.array("a", "b")).alias("node")).distinct()
     live = start.where("a <> b")
     maps = []
@@ -41,7 +42,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", w
         up_b = parent.select(*keys, F.col("node").alias("b"), F.col("to").alias("pb"))
         step = live.join(up_a, [*keys, "a"]).select(*keys, F.col("pa").alias("a"), "b")
         step = step.distinct().join(up_b, [*keys, "b"]).select(*keys, "a", F.col("pb").alias("b"))
-        live = cut(_tidy(step.where("a <> b"), keys))
+        live = stored(_tidy(step.where("a <> b"), keys))
 
     root = None
     for parent in reversed(maps):

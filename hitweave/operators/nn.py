@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hitweave.functions.scalars import l2_normalised, layer_norm
 from hitweave.operators.edges import gathered
-from hitweave.session import cut
+from hitweave.session import stored
 
 def _erf(x, exp, absolute, sign):
     """The error function to 1.5e-7 (Abramowitz and Stegun, 7.1.26)."""
@@ -114,7 +114,7 @@ def _rowwise(df: DataFrame, column: str, layers: list[dict]) -> DataFrame:
 
 def batch_normed(df: DataFrame, column: str, size: int, norm: dict, within: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Each component to zero mean and unit (biased) variance over the rows of an event, then gamma and beta."""
-    df = cut(df)
+    df = stored(df)
     parts = [F.get(column, F.lit(i)) for i in range(size)]
     moments = df.groupBy(*within).agg(F.array(*map(F.avg, parts)).alias("__mean"), F.array(*map(F.var_pop, parts)).alias("__var"))
     gamma, beta = _affine(norm, size)
@@ -179,7 +179,7 @@ def gnn_encoded(nodes: DataFrame, edges: DataFrame, column: str, layers: list[di
     for layer in layers:
         if "neighbour" in layer:
             nodes = sage_layer(nodes, edges, column, len(layer["neighbour"][0]), layer["neighbour"], layer["root"], layer["bias"], layer.get("activation"))
-            nodes = cut(nodes)
+            nodes = stored(nodes)
         else:
             nodes = mlp(nodes, column, [layer], column)
     return nodes
@@ -231,6 +231,6 @@ def interaction_gnn(nodes: DataFrame, edges: DataFrame, rounds: list[tuple[list[
         if concat:
             nodes, edges = nodes.withColumn("x", F.concat("x", "x0")), edges.withColumn("e", F.concat("e", "e0"))
         nodes, edges = interaction_round(nodes, edges, edge_net, node_net, size, aggregate, in_out_diff)
-        nodes, edges = cut(nodes), cut(edges)
+        nodes, edges = stored(nodes), stored(edges)
     logits = mlp(edges, "e", decoder, "__y")
     return logits.withColumn("score", 1 / (1 + F.exp(-F.get("__y", F.lit(0))))).drop("__y", "e", *(["e0"] if concat else []))

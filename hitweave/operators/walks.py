@@ -1,25 +1,27 @@
 """Walks over the components of oriented, scored edges.
 
 Each walk only looks at one component, so components are the unit of work. Those of
-bounded size are walked in one task each, and a large event is dealt out over many
-tasks; larger ones are walked by rounds of joins, in `waves`. Within a component the order of edges, by (dst, src), settles all ties. Nodes on a cycle, which
-oriented edges have only where equal radii were not told apart, are left out.
+bounded size are dealt out over tasks, which read them one after the other; larger ones
+are walked by rounds of joins, in `waves`. Within a component the order of edges, by
+(dst, src), settles all ties. Nodes on a cycle, which oriented edges have only where
+equal radii were not told apart, are left out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.operators import waves
-from hitweave.session import cut
+from hitweave.session import stored
 
 Neighbours = dict[int, dict[int, float]]
-#: Edges of a component that one task takes: some 100 MB as Python objects.
-BOUND = 200_000
+#: Edges of a component that one task takes, some 100 MB as Python objects, and edges of all components of a task.
+BOUND, SHARE = 200_000, 100_000
 SCHEMA = "event_id long, component long, ord int, hits array<long>, score double"
 
 
@@ -187,31 +189,65 @@ def dp_walk(edges: list[tuple[int, int, float]]) -> list[tuple[list[int], float]
     return tracks
 
 
+def _by_component(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[tuple[int, int, float]]]]:
+    """(event_id, component, edges) of rows that come sorted by them; a component may span batches."""
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = columns if rest is None else [np.concatenate(pair) for pair in zip(rest, columns, strict=True)]
+        if not len(rows[0]):
+            continue
+        first = np.flatnonzero(np.r_[True, (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+        for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            yield int(rows[0][begin]), int(rows[1][begin]), list(zip(*(c[begin:end].tolist() for c in rows[2:]), strict=True))
+        rest = [c[first[-1] :] for c in rows]
+    if rest is not None:
+        yield int(rest[0][0]), int(rest[1][0]), list(zip(*(c.tolist() for c in rest[2:]), strict=True))
+
+
 def walk_components(edges: DataFrame, components: DataFrame, walk: str = "lookback", th_min: float = 0.1, th_add: float = 0.6, allow_node_reuse: bool = False, bound: int = BOUND) -> DataFrame:
     """(event_id, component, ord, hits, score) of each component's tracks; score only for the dp walk.
 
     `components` is (event_id, node, component), as connected_components gives it.
     Cuts have to be made before; the road walk makes its own. Components of up to
-    `bound` edges are each walked in one task; larger ones by joins (waves.walk), with
-    the same tracks.
+    `bound` edges are each walked in one task, which holds one of them at a time; larger
+    ones by joins (waves.walk), with the same tracks. Of repeated edges the largest
+    score counts.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["dst", "src"])
-        listed = list(zip(rows["src"].tolist(), rows["dst"].tolist(), rows["score"].tolist(), strict=True))
+    def tracks(listed: list[tuple[int, int, float]]) -> list[tuple[list[int], float | None]]:
         if walk == "road":
-            found = [(p, None) for p in road_walk(listed, th_min, th_add)]
-        elif walk == "dp":
-            found = dp_walk(listed)
-        else:
-            found = [(p, None) for p in greedy_walk(listed, walk, allow_node_reuse)]
-        return pd.DataFrame({"event_id": key[0], "component": key[1], "ord": range(len(found)), "hits": pd.Series([p for p, _ in found], dtype=object), "score": pd.Series([s for _, s in found], dtype="float64")})
+            return [(p, None) for p in road_walk(listed, th_min, th_add)]
+        if walk == "dp":
+            return dp_walk(listed)
+        return [(p, None) for p in greedy_walk(listed, walk, allow_node_reuse)]
+
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.float64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["event_id", "component", "ord", "hits", "score"])
+        for event, component, listed in _by_component(batches):
+            out += [(event, component, i, path, score) for i, (path, score) in enumerate(tracks(listed))]
+            if len(out) >= 1000:
+                yield made()
+                out.clear()
+        if out:
+            yield made()
 
     keys = ["event_id", "component"]
     labelled = edges.join(components.select("event_id", F.col("node").alias("src"), "component"), ["event_id", "src"])
-    labelled = cut(labelled.select(*keys, "src", "dst", "score"))
-    large = cut(labelled.groupBy(*keys).count().where(F.col("count") > bound).select(*keys))
-    if large.isEmpty():
-        return labelled.groupBy(*keys).applyInPandas(run, SCHEMA)
-    small = labelled.join(large, keys, "left_anti").select(*labelled.columns).groupBy(*keys).applyInPandas(run, SCHEMA)
-    return small.unionByName(waves.walk(labelled.join(large, keys, "left_semi").select(*labelled.columns), walk, th_min, th_add, allow_node_reuse))
+    labelled = stored(labelled.select(*keys, "src", "dst", F.col("score").cast("double").alias("score")))
+    counts = labelled.groupBy(*keys).agg(F.count("*").alias("n"))
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    large = None
+    small = labelled
+    if size["most"] > bound:
+        large = stored(counts.where(F.col("n") > bound).select(*keys))
+        small = labelled.join(large, keys, "left_anti").select(*labelled.columns)
+    # a given number of partitions: adaptive execution would put what is few bytes but much work into one task
+    tasks = max(edges.sparkSession.sparkContext.defaultParallelism, -(-size["all"] // SHARE))
+    found = small.repartition(tasks, *keys).sortWithinPartitions(*keys, "dst", "src", "score").mapInArrow(run, SCHEMA)
+    if large is None:
+        return found
+    return found.unionByName(waves.walk(labelled.join(large, keys, "left_semi").select(*labelled.columns), walk, th_min, th_add, allow_node_reuse))

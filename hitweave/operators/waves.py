@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.session import cut
+from hitweave.session import cut, stored
 
 NODE = ["event_id", "node"]
 
@@ -45,7 +45,7 @@ def start_order(edges: DataFrame, by_id: bool = False) -> DataFrame:
     rank = lambda depth, key: F.struct(depth.cast("int").alias("depth"), key.alias("key"))
     key = F.array("node") if by_id else F.array("first", "node")
     nodes = _nodes(edges).join(waiting, NODE, "left").join(first, NODE, "left")
-    left = cut(nodes.select("event_id", "component", "node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.when(F.col("waiting").isNull(), rank(F.lit(0), key)).alias("rank")))
+    left = stored(nodes.select("event_id", "component", "node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.when(F.col("waiting").isNull(), rank(F.lit(0), key)).alias("rank")))
     settled = []
     while True:
         new = left.where("waiting = 0").drop("waiting")
@@ -54,7 +54,7 @@ def start_order(edges: DataFrame, by_id: bool = False) -> DataFrame:
         settled.append(new)
         told = new.select("event_id", "node", "rank").join(_at(edges, "src"), NODE).select("event_id", F.col("to").alias("node"), rank(F.col("rank.depth") + 1, F.concat("rank.key", F.array("to"))).alias("told"))
         told = told.groupBy(*NODE).agg(F.count("*").alias("n"), F.max("told").alias("told"))
-        left = cut(left.where("waiting > 0").join(told, NODE, "left").select("event_id", "component", "node", (F.col("waiting") - F.coalesce("n", F.lit(0))).alias("waiting"), F.greatest("rank", "told").alias("rank")))
+        left = stored(left.where("waiting > 0").join(told, NODE, "left").select("event_id", "component", "node", (F.col("waiting") - F.coalesce("n", F.lit(0))).alias("waiting"), F.greatest("rank", "told").alias("rank")))
     out = left.limit(0).drop("waiting")
     for part in settled:
         out = out.unionByName(part)
@@ -69,7 +69,7 @@ def spread(values: DataFrame, edges: DataFrame, end: str = "src") -> DataFrame:
     state = front = cut(values.select("event_id", "node", "value"))
     while True:
         told = front.join(_at(edges, end), NODE).select("event_id", F.col("to").alias("node"), F.col("value").alias("new")).groupBy(*NODE).agg(F.min("new").alias("new"))
-        both = cut(state.join(told, NODE, "full"))
+        both = stored(state.join(told, NODE, "full"))
         front = both.where("new IS NOT NULL AND (value IS NULL OR new < value)").select("event_id", "node", F.col("new").alias("value"))
         if front.isEmpty():
             return state
@@ -97,7 +97,7 @@ def _continuations(edges: DataFrame, ends: DataFrame, branching: bool) -> DataFr
         own = F.when(F.col("degree") > 1, F.array("score")).otherwise(none) if branching else none
         longer = ways.join(behind, ["event_id", "to"]).select("event_id", "node", "length", F.struct(F.concat(own, "rest").alias("scores"), (-F.col("to")).alias("to")).alias("way"))
         longer = longer.groupBy("event_id", "node", "length").agg(F.max("way").alias("way"))
-        level = cut(longer.select("event_id", "node", (F.col("length") + 1).alias("length"), "way.scores", (-F.col("way.to")).alias("to")))
+        level = stored(longer.select("event_id", "node", (F.col("length") + 1).alias("length"), "way.scores", (-F.col("way.to")).alias("to")))
     out = level
     for part in levels:
         out = out.unionByName(part)
@@ -115,7 +115,7 @@ def _followed(starts: DataFrame, steps: DataFrame, keys: list[str]) -> DataFrame
         match = (F.col("event_id") == F.col("__event")) & (F.col("at") == F.col("__node"))
         if "length" in keys:
             match = match & (F.col("left") == F.col("__length"))
-        moved = cut(going.join(table, match, "left").select(*rest, F.col("__to").alias("at"), "hits", F.col("left")))
+        moved = stored(going.join(table, match, "left").select(*rest, F.col("__to").alias("at"), "hits", F.col("left")))
         done.append(moved.where("at IS NULL").select(*rest, "hits"))
         going = moved.where("at IS NOT NULL").withColumns({"hits": F.concat("hits", F.array("at")), "left": F.col("left") - 1 if "length" in keys else F.col("left")})
         if going.isEmpty():
@@ -147,7 +147,7 @@ def _roads(ready: DataFrame, edges: DataFrame, th_min: float, th_add: float) ->
     while True:
         ways = going.join(_at(edges, "src").withColumnRenamed("node", "at"), ["event_id", "at"]).where(~F.array_contains("hits", F.col("to")))
         ways = ways.groupBy(*NODE).agg(F.max("score").alias("top"), F.array_sort(F.collect_list(F.when(F.col("score") > th_add, F.col("to")))).alias("adds"), F.max(F.struct("score", (-F.col("to")).alias("to"))).alias("best"))
-        moved = cut(going.join(ways.where(F.col("top") > th_min), NODE, "left"))
+        moved = stored(going.join(ways.where(F.col("top") > th_min), NODE, "left"))
         done.append(moved.where("top IS NULL").select(*ready.columns, "hits"))
         going = moved.where("top IS NOT NULL").withColumn("hits", F.concat("hits", F.when(F.size("adds") > 0, F.col("adds")).otherwise(F.array(-F.col("best.to")))))
         going = going.withColumn("at", F.element_at("hits", -1)).select(*ready.columns, "hits", "at")
@@ -169,7 +169,7 @@ def best_sums(edges: DataFrame) -> DataFrame:
     waiting = edges.groupBy("event_id", F.col("src").alias("node")).agg(F.count("*").alias("waiting"))
     both = edges.select("event_id", F.explode(F.array("src", "dst")).alias("node")).distinct().join(waiting, NODE, "left")
     way = F.struct(F.lit(0.0).alias("best"), F.lit(None).cast("long").alias("to"))
-    left = cut(both.select("event_id", "node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.when(F.col("waiting").isNull(), way).alias("way")))
+    left = stored(both.select("event_id", "node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.when(F.col("waiting").isNull(), way).alias("way")))
     settled = []
     while True:
         new = left.where("waiting = 0").select("event_id", "node", "way")
@@ -178,7 +178,7 @@ def best_sums(edges: DataFrame) -> DataFrame:
         settled.append(new)
         told = new.join(_at(edges, "dst"), NODE).select("event_id", F.col("to").alias("node"), F.struct((F.col("score") + F.col("way.best")).alias("best"), (-F.col("node")).alias("to")).alias("told"))
         told = told.groupBy(*NODE).agg(F.count("*").alias("n"), F.max("told").alias("told"))
-        left = cut(left.where("waiting > 0").join(told, NODE, "left").select("event_id", "node", (F.col("waiting") - F.coalesce("n", F.lit(0))).alias("waiting"), F.greatest("way", "told").alias("way")))
+        left = stored(left.where("waiting > 0").join(told, NODE, "left").select("event_id", "node", (F.col("waiting") - F.coalesce("n", F.lit(0))).alias("waiting"), F.greatest("way", "told").alias("way")))
     out = left.limit(0).select("event_id", "node", "way")
     for part in settled:
         out = out.unionByName(part)
@@ -196,7 +196,7 @@ def _best_walk(edges: DataFrame) -> list[DataFrame]:
             return found
         paths = cut(_followed(_ready(starts, edges), table, ["node"]))
         found.append(paths.withColumn("score", -F.col("rank.a")))
-        edges = cut(_without(edges, paths.select("event_id", F.explode("hits").alias("node"))))
+        edges = stored(_without(edges, paths.select("event_id", F.explode("hits").alias("node"))))
 
 
 def walk(edges: DataFrame, choice: str, th_min: float = 0.1, th_add: float = 0.6, allow_node_reuse: bool = False) -> DataFrame:
@@ -231,9 +231,9 @@ def walk(edges: DataFrame, choice: str, th_min: float = 0.1, th_add: float = 0.6
             if choice == "road":
                 used = used.union(paths.where(~kept).select(*NODE))
             used = cut(used.distinct())
-            starts = cut(starts.join(ready.select(*NODE).union(used), NODE, "left_anti"))
+            starts = stored(starts.join(ready.select(*NODE).union(used), NODE, "left_anti"))
             if not allow_node_reuse:
-                live = cut(_without(live, used))
+                live = stored(_without(live, used))
     spark = edges.sparkSession
     if not found:
         return spark.createDataFrame([], "event_id long, component long, ord int, hits array<long>, score double")

@@ -40,7 +40,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in shared storage and forget how it was made.
 
-    Reliable on purpose: lost executors cost a read, never a result.
+    Reliable on purpose: lost executors cost a read, never a result. The result keeps
+    its partitioning, and also the size that Spark estimated for it. Estimates of joins
+    are products, so loops whose state is joined with itself use `stored`.
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in shared storage and read it again, with the size that it really has."""
+    path = shared_folder(df.sparkSession, "stored")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
