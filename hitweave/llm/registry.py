@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hitweave.llm import bpe, hilbert_ann, packing, pii, quality, secret_scan, sharding, simhash, stages, toxicity, vafile
+from hitweave.llm import alignment, bpe, hilbert_ann, langid, packing, phrases, pii, quality, secret_scan, sharding, simhash, stages, toxicity, vafile
 from hitweave.session import table
 
 
@@ -29,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": _documents(sharding.op8_sharding),
     "op9_ann": lambda spark, sf_dir: hilbert_ann.op9_ann(table(spark, sf_dir, "embeddings")),
     "op10_packing": _documents(packing.op10_packing),
+    "op11_alignment": _documents(alignment.op11_alignment),
+    "op12_phrases": _documents(phrases.op12_phrases),
+    "op13_langid": _documents(langid.op13_langid),
     "pipeline": stages.run,
 }
-SQL: dict[str, str] = {"op6_topk": vafile.OP6_SQL}
+SQL: dict[str, str] = {"op6_topk": vafile.OP6_SQL, "op12_phrases": phrases.OP12_SQL}
