@@ -13,29 +13,32 @@ So texts are cut there, and each different stretch is tokenized and aligned once
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hitweave.llm.heavy import most_frequent
+from hitweave.llm.heavy import most_frequent, summed
 from hitweave.session import stored
 
 #: Id pairs whose counts are broadcast, 16 bytes each; the counts of the others are joined.
 HOT_PAIRS = 1 << 20
-#: Stretches that a task remembers, and their signs.
-KNOWN, SIGNS = 300_000, 8_000_000
+#: Stretches that a worker remembers, and their signs.
+KNOWN, SIGNS = 500_000, 10_000_000
 #: Signs of the texts that are taken together, and of a window of a longer one.
 TOGETHER = 1 << 21
-#: Different pairs that a task adds up before it hands them on.
-PARTIAL = 1 << 21
+#: Links that are handed on together.
+LINKS = 1 << 21
 _SIDE = 20  # bits of an id in a pair
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s | \s")
@@ -44,33 +47,53 @@ _ODD = re.compile(r"\s | \s")
 def _unbyte() -> dict[str, int]:
     """The letters that stand for bytes in byte-level vocabularies: printable ones for themselves, then from U+0100 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
+    rest = sorted(set(range(256)) - set(plain))
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _encoder(file: bytes) -> Callable[[list[str]], list[list[int]]]:
+    """Encodes texts as the byte-level BPE of a tokenizer file does, special tokens as plain text.
+
+    Where the vocabulary is ordered by merges, ids are ranks and the faster library for
+    ranks gives the same ids; else the file's own library is asked.
+    """
+    model = json.loads(file)["model"]
+    unbyte, vocab = _unbyte(), model["vocab"]
+    merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids, made = [vocab[m] for m in merges], set(merges)
+    ranks = {bytes(map(unbyte.__getitem__, t)): i for t, i in vocab.items() if all(c in unbyte for c in t) and (len(t) == 1 or t in made)}
+    if ids == sorted(set(ids)) and sum(len(t) == 1 for t in ranks) == 256 and max(i for t, i in ranks.items() if len(t) == 1) < min(ids, default=256):
+        ordinary = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: list(map(ordinary, texts))
+    own = Tokenizer.from_str(file.decode())
+    own.encode_special_tokens = True
+    return lambda texts: [x.ids for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class Aligner:
     """Aligned stretches of text, by number; the numbers hold until more are asked for."""
 
-    def __init__(self, a_file: bytes, b_file: bytes, groups: bool, counts: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, a_file: bytes, b_file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_str(a_file.decode())
-        self.a.encode_special_tokens = True
+        self.a = _encoder(a_file)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_file)
-        unbyte = _unbyte()
-        self.a_bytes = [bytes(unbyte[c] for c in self.a.id_to_token(i)) if all(c in unbyte for c in self.a.id_to_token(i) or "\n") else b"" for i in range(self.a.get_vocab_size())]
+        unbyte, vocab = _unbyte(), json.loads(a_file)["model"]["vocab"]
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            if all(c in unbyte for c in token):
+                self.a_bytes[i] = bytes(map(unbyte.__getitem__, token))
         pieces = map(self.b.id_to_piece, range(self.b.vocab_size()))
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
-        self.signed = {c: np.array([f"{i}{c}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object) for c in ",|;"} if groups else None
-        self.counts = counts
+        self.signed = {c: np.array([f"{i}{c}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object) for c in ",|;"}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.signs = 0
         self.groups: list[str] = []
-        #: tokens of either side, groups, links, best links, sum of counts, links without a count, faults
-        self.sums = np.zeros((0, 8), np.int64)
+        #: tokens of either side, groups, links, faults
+        self.sums = np.zeros((0, 5), np.int64)
         self.pairs, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def numbers(self, stretches: list[str]) -> np.ndarray:
@@ -79,63 +102,70 @@ class Aligner:
             if len(self.known) + len(new) > KNOWN or self.signs > SIGNS:
                 self.clear()
                 new = set(stretches)
-            self._add(sorted(new))
+            self._add(list(new))
         return np.fromiter(map(self.known.__getitem__, stretches), np.int64, len(stretches))
 
     def _add(self, new: list[str]) -> None:
         spaced = [" " + s for s in new]
-        a = [x.ids for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(new)
+        a, b = self.a(spaced), self.b.encode(new)
+        whole = [s.encode() for s in spaced]
         good = np.ones(len(new), bool)
-        for i, text in enumerate(spaced):
-            whole = text.encode()
-            good[i] = b"".join(map(self.a_bytes.__getitem__, a[i])) == whole == b"".join(map(self.b_bytes.__getitem__, b[i]))
-            if not good[i]:
-                a[i], b[i] = [], []
-        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (a, b))
-        ids_a, ids_b = (np.fromiter((i for ids in side for i in ids), np.int64, n) for side, n in ((a, n_a.sum()), (b, n_b.sum())))
+        flat = lambda side: list(chain.from_iterable(side))
+        told = lambda ids, side: b"".join(map(side.__getitem__, ids))
+        n_a, n_b, ids_a, ids_b = self._flat(a, b)
+        size = np.fromiter(map(len, whole), np.int64, len(new))
+        sums = [np.bincount(np.repeat(np.arange(len(new)), n), sizes[ids], len(new)) for n, ids, sizes in ((n_a, ids_a, self.a_sizes), (n_b, ids_b, self.b_sizes))]
+        everything = b"".join(whole)
+        if not (all((x == size).all() for x in sums) and told(flat(a), self.a_bytes) == everything == told(flat(b), self.b_bytes)):
+            for i, text in enumerate(whole):
+                good[i] = told(a[i], self.a_bytes) == text == told(b[i], self.b_bytes)
+                if not good[i]:
+                    a[i], b[i] = [], []
+            n_a, n_b, ids_a, ids_b = self._flat(a, b)
         ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
         ends = np.union1d(ends_a, ends_b)
         own_a, own_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         closed = (ends_a[own_a] == ends) & (ends_b[own_b] == ends) if len(ends) else np.zeros(0, bool)
-        pairs = ids_a[own_a] << _SIDE | ids_b[own_b]
         of = np.repeat(np.arange(len(new)), n_a)[own_a]
-        rows = np.zeros((len(new), 8), np.int64)
-        rows[:, 0], rows[:, 1], rows[:, 7] = n_a, n_b, ~good
+        rows = np.zeros((len(new), 5), np.int64)
+        rows[:, 0], rows[:, 1], rows[:, 4] = n_a, n_b, ~good
         rows[:, 2], rows[:, 3] = np.bincount(of[closed], minlength=len(new)), np.bincount(of, minlength=len(new))
-        if self.counts is not None:
-            count = self.looked_up(pairs)
-            rows[:, 4] = np.bincount(of, (count > 0) & (count == self.counts[2][ids_a[own_a]]), len(new))
-            np.add.at(rows[:, 5], of, np.maximum(count, 0))
-            rows[:, 6] = np.bincount(of[count < 0], minlength=len(new))
-        if self.signed is not None:
-            shut = ends[closed]
-            in_a, in_b = np.searchsorted(shut, ends_a), np.searchsorted(shut, ends_b)
-            parts = np.empty(len(ids_a) + len(ids_b), object)
-            before_a, before_b = np.bincount(in_a, minlength=len(shut)), np.bincount(in_b, minlength=len(shut))
-            last_a, last_b = (np.r_[np.diff(x) != 0, True][: len(x)] for x in (in_a, in_b))
-            parts[np.arange(len(ids_a)) + (np.cumsum(before_b) - before_b)[in_a]] = np.where(last_a, self.signed["|"][ids_a], self.signed[","][ids_a])
-            parts[np.arange(len(ids_b)) + np.cumsum(before_a)[in_b]] = np.where(last_b, self.signed[";"][ids_b], self.signed[","][ids_b])
-            parts, to = parts.tolist(), np.cumsum(n_a + n_b).tolist()
-            self.groups += ["".join(parts[i:j])[:-1] for i, j in zip([0, *to], to, strict=False)]
+        shut = ends[closed]
+        in_a, in_b = np.searchsorted(shut, ends_a), np.searchsorted(shut, ends_b)
+        parts = np.empty(len(ids_a) + len(ids_b), object)
+        before_a, before_b = np.bincount(in_a, minlength=len(shut)), np.bincount(in_b, minlength=len(shut))
+        last_a, last_b = (np.r_[np.diff(x) != 0, True][: len(x)] for x in (in_a, in_b))
+        parts[np.arange(len(ids_a)) + (np.cumsum(before_b) - before_b)[in_a]] = np.where(last_a, self.signed["|"][ids_a], self.signed[","][ids_a])
+        parts[np.arange(len(ids_b)) + np.cumsum(before_a)[in_b]] = np.where(last_b, self.signed[";"][ids_b], self.signed[","][ids_b])
+        parts, to = parts.tolist(), np.cumsum(n_a + n_b).tolist()
+        self.groups += ["".join(parts[i:j])[:-1] for i, j in zip([0, *to], to, strict=False)]
         self.signs += sum(map(len, new))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.sums = np.concatenate([self.sums, rows])
-        self.pairs = np.concatenate([self.pairs, pairs])
+        self.pairs = np.concatenate([self.pairs, ids_a[own_a] << _SIDE | ids_b[own_b]])
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(rows[:, 3])])
 
-    def looked_up(self, pairs: np.ndarray) -> np.ndarray:
-        """The broadcast counts of `pairs`; -1 where there is none."""
-        keys, counts, _ = self.counts
-        if not len(keys):
-            return np.full(len(pairs), -1)
-        at = np.minimum(np.searchsorted(keys, pairs), len(keys) - 1)
-        return np.where(keys[at] == pairs, counts[at], -1)
+    @staticmethod
+    def _flat(a: list[list[int]], b: list[list[int]]) -> tuple[np.ndarray, ...]:
+        n = [np.fromiter(map(len, side), np.int64, len(side)) for side in (a, b)]
+        return *n, *(np.fromiter(chain.from_iterable(side), np.int64, k.sum()) for side, k in zip((a, b), n, strict=True))
 
-    def pairs_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of the stretches, one after the other, and how many each has."""
+    def pairs_of(self, numbers: np.ndarray) -> np.ndarray:
+        """All pairs of the stretches, one after the other."""
         sizes = self.at[numbers + 1] - self.at[numbers]
-        return self.pairs[np.repeat(self.at[numbers] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())], sizes
+        return self.pairs[np.repeat(self.at[numbers] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+
+
+_aligners: dict[bytes, Aligner] = {}
+
+
+def _aligner(files: list[bytes]) -> Aligner:
+    """One for each pair of files; it outlives a task, with what it remembers."""
+    key = hashlib.sha256(b"".join(files)).digest()
+    if key not in _aligners:
+        _aligners.clear()
+        _aligners[key] = Aligner(*files)
+    return _aligners[key]
 
 
 def stretches_of(text: str) -> list[str]:
@@ -166,78 +196,70 @@ def _portions(texts: Iterator[str | None], together: int = TOGETHER) -> Iterator
         yield waiting, True, True
 
 
-def _shared(documents: DataFrame, a_path: str | None, b_path: str | None):
+def aligned(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", a_path: str | None = None, b_path: str | None = None, groups: bool = False, together: int = TOGETHER) -> DataFrame:
+    """(row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs, times and, if asked, groups) of each row.
+
+    `pairs` are the different linked pairs of ids, a << 20 | b, and `times` how many
+    links each has. `row` tells rows apart in a stored result.
+    """
     files = []
     for path in (a_path or public_tokenizers.path("byte_bpe_50k.json"), b_path or public_tokenizers.path("piece_bpe_32k.model")):
         with open(path, "rb") as file:
             files.append(file.read())
-    return documents.sparkSession.sparkContext.broadcast(files)
-
-
-class _Tally:
-    """Adds up keys, bounded in memory: what has been handed on starts again."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        part = np.unique(keys, return_counts=True)
-        self.parts.append(part)
-        self.size += len(part[0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        keys, n = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        self.parts = [(keys[first], np.add.reduceat(n, first) if len(first) else n)]
-        self.size = len(first)
-        return self.parts[0]
-
-
-def pair_counts(documents: DataFrame, text: str = "text", a_path: str | None = None, b_path: str | None = None, together: int = TOGETHER) -> DataFrame:
-    """(a, b, n): in how many documents a token a overlaps a token b.
-
-    Documents that have no tokens (see `align`) count for nothing; repeated rows count
-    each. An empty table gives an empty table. Tasks add up their own documents before
-    anything is shuffled.
-    """
-    shared = _shared(documents, a_path, b_path)
+    shared = documents.sparkSession.sparkContext.broadcast(files)
+    kinds = [*[pa.int64()] * 4, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), *([pa.string()] if groups else [])]
+    names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times", *(["groups"] if groups else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, tally = Aligner(*shared.value, groups=False), _Tally()
-        row = lambda part: pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1])], names=["pair", "n"])
-        window: list[np.ndarray] = []  # of a long text: its pairs so far, or None where it has a fault
+        aligner = _aligner(shared.value)
         for batch in batches:
-            for texts, first, last in _portions((t.as_py() for t in batch.column(0)), together):
-                numbers = aligner.numbers([s for x in texts for s in x])
-                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-                of = np.repeat(np.arange(len(texts)), sizes)
-                faulty = np.zeros(len(texts), bool)
-                faulty[of[aligner.sums[numbers, 7] > 0]] = True
-                once = np.unique(of << 32 | numbers)
-                once = once[~faulty[once >> 32]]
-                pairs, many = aligner.pairs_of(once & 0xFFFFFFFF)
-                keys = np.unique(np.repeat(once >> 32, many) << 2 * _SIDE | pairs) & ((1 << 2 * _SIDE) - 1)
-                if not (first and last):
-                    window = [] if first else window
-                    window.append(None if faulty[0] else keys)
-                    if not last:
-                        continue
-                    keys = np.zeros(0, np.int64) if any(x is None for x in window) else np.unique(np.concatenate(window))
-                    window = []
-                tally.add(keys)
-                if tally.size > PARTIAL and len(tally.merged()[0]) > PARTIAL // 2:
-                    yield row(tally.merged())
-                    tally = _Tally()
-        yield row(tally.merged())
-
-    parts = documents.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "pair long, n long")
-    ids = F.shiftright("pair", _SIDE), F.col("pair").bitwiseAND((1 << _SIDE) - 1)
-    return parts.groupBy("pair").agg(F.sum("n").alias("n")).select(ids[0].alias("a"), ids[1].alias("b"), "n")
+            rows, done, links = [], 0, 0
+            for row in aligned_texts(aligner, (t.as_py() for t in batch.column(2)), groups, together):
+                rows.append(row)
+                links += row[3]
+                if links > LINKS:
+                    yield made(batch, done, rows)
+                    rows, done, links = [], done + len(rows), 0
+            yield made(batch, done, rows)
+
+    def made(batch: pa.RecordBatch, done: int, rows: list) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([*(batch.column(i).slice(done, len(rows)) for i in (0, 1)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["row", "doc_id", *names])
+
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
+    return rows.mapInArrow(run, schema + ", groups string" * groups)
+
+
+def aligned_texts(aligner: Aligner, texts: Iterator[str | None], groups: bool = True, together: int = TOGETHER) -> Iterator[tuple]:
+    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times and, if asked, groups) of each text."""
+    sums, digest, said, parts = np.zeros(5, np.int64), hashlib.sha256(), [], []
+    for portion, first, last in _portions(texts, together):
+        numbers = aligner.numbers([s for stretches in portion for s in stretches])
+        at = 0
+        for stretches in portion:
+            mine = numbers[at : at + len(stretches)]
+            at += len(stretches)
+            if first:
+                sums, digest, said, parts = np.zeros(5, np.int64), hashlib.sha256(), [], []
+            sums = sums + aligner.sums[mine].sum(axis=0)
+            some = ";".join(map(aligner.groups.__getitem__, mine.tolist()))
+            digest.update(some.encode() if first else b";" + some.encode())
+            said += [some] * groups
+            parts.append(np.unique(aligner.pairs_of(mine), return_counts=True))
+            if not last:
+                continue
+            pairs, times = parts[0] if len(parts) == 1 else summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            if sums[4] or not sums[0]:
+                yield 0, 0, 0, 0, "", pairs[:0], times[:0], *([""] * groups)
+            else:
+                yield *sums[:4].tolist(), digest.hexdigest(), pairs, times, *([";".join(said)] * groups)
+
+
+def pair_counts(found: DataFrame) -> DataFrame:
+    """(pair, a, b, n): how many of the rows of `aligned` hold each pair."""
+    ids = F.shiftright("pair", _SIDE).alias("a"), F.col("pair").bitwiseAND((1 << _SIDE) - 1).alias("b")
+    return found.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).select("pair", *ids, "n")
 
 
 def align(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", a_path: str | None = None, b_path: str | None = None, groups: bool = True, hot: int = HOT_PAIRS, together: int = TOGETHER) -> DataFrame:
@@ -247,78 +269,41 @@ def align(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", a_pa
     two tokens, its count the number of documents that have its pair of ids; n_best are
     the links whose count is the highest of their a. Null and empty texts, and those that
     either tokenizer does not give back whole, have no tokens: zeros and ''. Repeated
-    rows and null ids stay. An empty table gives an empty table.
+    rows and null ids stay and count each. An empty table gives an empty table.
 
-    The counts of the `hot` most frequent pairs and the best count of each a (as many as
-    the vocabulary has) are broadcast; links of other pairs are joined with the counts.
+    The counts of the `hot` most frequent pairs are broadcast, with a mark on the best of
+    each a; links of other pairs are joined with the counts.
     """
-    spark = documents.sparkSession
-    shared = _shared(documents, a_path, b_path)
-    counts = pair_counts(documents, text, a_path, b_path, together)
-    counts = stored(counts.select((F.shiftleft("a", _SIDE) + F.col("b")).alias("pair"), "a", "n"))
+    found = stored(aligned(documents, doc_id, text, a_path, b_path, groups, together))
+    counts = stored(pair_counts(found))
     highest = counts.groupBy("a").agg(F.max("n").alias("best"))
-    top = highest.toArrow().to_pydict()
-    best = np.zeros(max(top["a"], default=0) + 1, np.int64)
-    best[top["a"]] = top["best"]
-    table = most_frequent(counts, hot).select("pair", "n").toArrow()
-    keys, n = (table.column(c).to_numpy() for c in ("pair", "n"))
+    counts = counts.join(highest, "a").select("pair", "n", (F.col("n") == F.col("best")).alias("best"))
+    table = most_frequent(counts, hot).toArrow()
+    keys, n, best = (table.column(c).to_numpy() for c in ("pair", "n", "best"))
     order = np.argsort(keys)
-    told = spark.sparkContext.broadcast((keys[order], n[order], best))
-    names = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    told = documents.sparkSession.sparkContext.broadcast((keys[order], n[order], best[order].astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*shared.value, groups=True, counts=told.value)
+        keys, n, best = told.value
         for batch in batches:
-            rows, done = [], 0
-            window: list = []
-            for texts, first, last in _portions((t.as_py() for t in batch.column(2)), together):
-                numbers = aligner.numbers([s for x in texts for s in x])
-                at = 0
-                for stretches in texts:
-                    mine = numbers[at : at + len(stretches)]
-                    at += len(stretches)
-                    sums = aligner.sums[mine].sum(axis=0)
-                    said = ";".join(map(aligner.groups.__getitem__, mine.tolist()))
-                    cold = np.zeros(0, np.int64)
-                    if sums[6]:
-                        cold, _ = aligner.pairs_of(mine[aligner.sums[mine, 6] > 0])
-                        cold = cold[aligner.looked_up(cold) < 0]
-                    if not (first and last):
-                        if first:
-                            window = [np.zeros(8, np.int64), hashlib.sha256(), [], []]
-                        window[0] += sums
-                        window[1].update(("" if first else ";").encode() + said.encode())
-                        window[2].append(said if groups else "")
-                        window[3].append(np.unique(cold, return_counts=True))
-                        if not last:
-                            continue
-                        sums, digest, said, cold = window[0], window[1].hexdigest(), ";".join(window[2]), np.concatenate([np.repeat(*x) for x in window[3]])
-                    else:
-                        digest = hashlib.sha256(said.encode()).hexdigest()
-                    if sums[7] or not sums[0]:
-                        sums, digest, said, cold = np.zeros(8, np.int64), "", "", cold[:0]
-                    cold, times = np.unique(cold, return_counts=True)
-                    rows.append((*sums[:6].tolist(), digest, cold, times, *([said] if groups else [])))
-                if sum(len(r[7]) for r in rows) > PARTIAL or groups:
-                    yield made(batch, done, rows)
-                    done, rows = done + len(rows), []
-            yield made(batch, done, rows)
-
-    def made(batch: pa.RecordBatch, done: int, rows: list) -> pa.RecordBatch:
-        kinds = [*[pa.int64()] * 6, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), *([pa.string()] if groups else [])]
-        columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
-        own = [batch.column(i).slice(done, len(rows)) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["row", "doc_id", *names, "groups_sha256", "pairs", "times", *(["groups"] if groups else [])])
-
-    schema = "row long, doc_id long, " + ", ".join(f"{c} long" for c in names) + ", groups_sha256 string, pairs array<long>, times array<long>" + ", groups string" * groups
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    found = stored(rows.mapInArrow(run, schema))
-    rest = found.where(F.size("pairs") > 0).select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", "x.pairs", "x.times")
-    rest = rest.join(counts.withColumnRenamed("pair", "pairs"), "pairs").join(F.broadcast(highest), "a")
-    rest = rest.groupBy("row").agg(F.sum(F.when(F.col("n") == F.col("best"), F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("n") * F.col("times")).alias("sum"))
-    out = found.drop("pairs", "times").join(rest, "row", "left")
-    out = out.withColumns({"n_best": F.col("n_best") + F.coalesce("more", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("sum", F.lit(0))})
-    return out.drop("row", "more", "sum")
+            lists = batch.column(1)
+            pairs, times, sizes = lists.flatten().to_numpy(), batch.column(2).flatten().to_numpy().astype(np.int64), np.diff(lists.offsets.to_numpy())
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(keys, pairs), max(len(keys) - 1, 0))
+            hit = keys[at] == pairs if len(keys) else np.zeros(len(pairs), bool)
+            at, own, row_hit = at[hit], times[hit], row[hit]
+            ends = np.r_[0, np.cumsum(np.bincount(row_hit, minlength=len(sizes)))]
+            added = lambda x: np.diff(np.r_[0, np.cumsum(x)][ends])
+            rest = np.bincount(row[~hit], minlength=len(sizes))
+            cold = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rest)], pa.int32()), pa.array(x[~hit])) for x in (pairs, times)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added(best[at] * own)), pa.array(added(n[at] * own)), *cold], names=["row", "n_best", "count_sum", "pairs", "times"])
+
+    sums = stored(found.select("row", "pairs", "times").mapInArrow(run, "row long, n_best long, count_sum long, pairs array<long>, times array<long>"))
+    rest = sums.where(F.size("pairs") > 0).select("row", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("row", F.col("x.pairs").alias("pair"), "x.times")
+    rest = rest.join(counts, "pair").groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("times")).alias("count_sum"))
+    sums = sums.select("row", "n_best", "count_sum").unionByName(rest).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    out = found.drop("pairs", "times").join(sums, "row")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", *(["groups"] if groups else []))
 
 
 def op11_alignment(documents: DataFrame) -> DataFrame:

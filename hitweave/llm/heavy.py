@@ -1,7 +1,8 @@
-"""The most frequent rows of a table of counts, bounded in number, so that they can be broadcast."""
+"""Sums of counts, and the most frequent rows of a table of counts, bounded in number, so that they can be broadcast."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,13 @@ def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
             break
         least = k
     return counts.where(level >= least) if least is not None else counts.where(F.lit(False))
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and their sums."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(n, first)

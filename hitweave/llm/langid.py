@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hitweave.llm.heavy import summed
 from hitweave.llm.labelled import held_out
 
 #: N-grams of a profile, and languages that profiles are held for at most (living languages are some 7,000).
@@ -31,16 +32,6 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys, sorted, and their sums."""
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(n, first)
-
-
 class Grams:
     """Counts the n-grams of texts; an n-gram is a number of 21 bits a sign."""
 
@@ -55,7 +46,7 @@ class Grams:
         """
         low = (text or "").lower()
         parts = [self._stretch(low, at) for at in range(0, len(low) + 1, STRETCH)]
-        return parts[0] if len(parts) == 1 else _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        return parts[0] if len(parts) == 1 else summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     def _stretch(self, text: str, at: int) -> tuple[np.ndarray, np.ndarray]:
         """N-grams that begin from `at` on, counted from a space before the text."""
@@ -95,7 +86,7 @@ def profiles(documents: DataFrame, text: str = "text", lang: str = "lang", size:
                 waiting.setdefault(of.as_py(), []).append(found)
                 size += len(found[0])
                 if size > max(PARTIAL, 2 * summed):
-                    waiting = {k: [_summed(*(np.concatenate(x) for x in zip(*v, strict=True)))] for k, v in waiting.items() if sum(len(x[0]) for x in v)}
+                    waiting = {k: [summed(*(np.concatenate(x) for x in zip(*v, strict=True)))] for k, v in waiting.items() if sum(len(x[0]) for x in v)}
                     size = summed = sum(len(v[0][0]) for v in waiting.values())
                     if summed > PARTIAL:
                         yield row(waiting)
@@ -103,7 +94,7 @@ def profiles(documents: DataFrame, text: str = "text", lang: str = "lang", size:
         yield row(waiting)
 
     def row(waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
-        summed = {k: _summed(*(np.concatenate(x) for x in zip(*v, strict=True))) for k, v in waiting.items() if sum(len(x[0]) for x in v)}
+        summed = {k: summed(*(np.concatenate(x) for x in zip(*v, strict=True))) for k, v in waiting.items() if sum(len(x[0]) for x in v)}
         of = [k for k, v in summed.items() for _ in range(len(v[0]))]
         columns = [np.concatenate([np.zeros(0, np.int64), *(v[i] for v in summed.values())]) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *map(pa.array, columns)], names=["lang", "gram", "n"])

@@ -72,29 +72,38 @@ def test_equals_brute_force(spark, together, hot):
         assert found[i] == row, rows[i]
 
 
+@pytest.fixture(scope="module")
+def files():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return a.read(), b.read()
+
+
 @pytest.mark.parametrize("together,known", [(1 << 21, 300_000), (30, 300_000), (100, 5)])
-def test_stretches_and_windows(monkeypatch, together, known):
+def test_stretches_and_windows(monkeypatch, files, together, known):
     monkeypatch.setattr(alignment, "KNOWN", known)
-    rows, want = texts(), Brute(texts()).rows
-    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
-        aligner = alignment.Aligner(a.read(), b.read(), groups=True)
-    found, open_text = [], []
-    for portion, first, last in alignment._portions(iter(rows), together):
-        for stretches in portion:
-            numbers = aligner.numbers(stretches)
-            open_text = [] if first else open_text
-            open_text.append((aligner.sums[numbers].sum(axis=0), ";".join(aligner.groups[i] for i in numbers)))
-            if last:
-                found.append((sum(x[0] for x in open_text), ";".join(x[1] for x in open_text)))
+    rows, brute = texts(), Brute(texts())
+    found = list(alignment.aligned_texts(alignment.Aligner(*files), iter(rows), together=together))
     assert len(found) == len(rows)
-    for (sums, groups), row in zip(found, want, strict=True):
-        assert (tuple(sums[:4]), groups) == (row[:4], row[7]) if not sums[7] else row[0] == 0
+    for got, doc, row in zip(found, brute.docs, brute.rows, strict=True):
+        assert (got[:5], got[7]) == ((*row[:4], row[6]), row[7])
+        assert dict(zip(got[5].tolist(), got[6].tolist(), strict=True)) == Counter(a << 20 | b for a, b in doc[3])
+
+
+def test_vocabularies_allow_the_cuts_and_the_faster_library(files):
+    a = Tokenizer.from_str(files[0].decode())
+    b = sentencepiece.SentencePieceProcessor(model_proto=files[1])
+    pieces = [b.id_to_piece(i) for i in range(b.vocab_size()) if not (b.is_byte(i) or b.is_control(i) or b.is_unknown(i))]
+    assert not any(c != "▁" and d == "▁" for p in pieces for c, d in zip(p, p[1:]))
+    unbyte = alignment._unbyte()
+    tokens = [t for t in (bytes(unbyte[c] for c in x).decode(errors="ignore") for x in a.get_vocab() if not x.startswith("<|")) if t]
+    encode = alignment._encoder(files[0])
+    assert encode(tokens) == [x.ids for x in a.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
 def test_pair_counts_and_odd_tables(spark):
     rows = texts(20)
-    docs = spark.createDataFrame([(t,) for t in rows], "`a.text` string")
-    got = {(r["a"], r["b"]): r["n"] for r in alignment.pair_counts(docs, "a.text").collect()}
+    docs = spark.createDataFrame([(t, 1) for t in rows], "`a.text` string, id long")
+    got = {(r["a"], r["b"]): r["n"] for r in alignment.pair_counts(alignment.aligned(docs, "id", "a.text")).collect()}
     assert got == dict(Brute(rows).n)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.op11_alignment(empty).count() == 0
