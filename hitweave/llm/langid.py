@@ -79,24 +79,24 @@ def profiles(documents: DataFrame, text: str = "text", lang: str = "lang", size:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size, summed = 0, 0
+        size, kept = 0, 0
         for batch in batches:
             for of, t in zip(batch.column(0), batch.column(1), strict=True):
                 found = grams(t.as_py())
                 waiting.setdefault(of.as_py(), []).append(found)
                 size += len(found[0])
-                if size > max(PARTIAL, 2 * summed):
+                if size > max(PARTIAL, 2 * kept):
                     waiting = {k: [summed(*(np.concatenate(x) for x in zip(*v, strict=True)))] for k, v in waiting.items() if sum(len(x[0]) for x in v)}
-                    size = summed = sum(len(v[0][0]) for v in waiting.values())
-                    if summed > PARTIAL:
+                    size = kept = sum(len(v[0][0]) for v in waiting.values())
+                    if kept > PARTIAL:
                         yield row(waiting)
-                        waiting, size, summed = {}, 0, 0
+                        waiting, size, kept = {}, 0, 0
         yield row(waiting)
 
     def row(waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> pa.RecordBatch:
-        summed = {k: summed(*(np.concatenate(x) for x in zip(*v, strict=True))) for k, v in waiting.items() if sum(len(x[0]) for x in v)}
-        of = [k for k, v in summed.items() for _ in range(len(v[0]))]
-        columns = [np.concatenate([np.zeros(0, np.int64), *(v[i] for v in summed.values())]) for i in (0, 1)]
+        merged = {k: summed(*(np.concatenate(x) for x in zip(*v, strict=True))) for k, v in waiting.items() if sum(len(x[0]) for x in v)}
+        of = [k for k, v in merged.items() for _ in range(len(v[0]))]
+        columns = [np.concatenate([np.zeros(0, np.int64), *(v[i] for v in merged.values())]) for i in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(of, pa.string()), *map(pa.array, columns)], names=["lang", "gram", "n"])
 
     rows = documents.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
