@@ -1,26 +1,26 @@
 """Fixed-radius nearest-neighbour joins, exact, by pivots and blocks.
 
-Each event has a few pivots, database points chosen by a hash. Every point belongs to
-its nearest pivot; a cell knows the radius of the ball that holds its points. By the
-triangle inequality a query point can only be near points of a cell whose ball is
-within r_max of it, so a query goes to those cells alone. Cells with many points are
-dealt out in blocks of bounded size, queries in parts, and a pair of block and part is
-one matrix product.
+A small event is one cell. A larger one has pivots, database points chosen by a hash, as
+many as twice the root of its size, and every point belongs to the cell of its nearest
+pivot. Points near a query point can only lie in a cell whose ball is within r_max of
+it, and only if the plane half-way between the cell's pivot and the query's own is, as
+beyond it that pivot would not be the nearest. So a query goes to those cells alone.
+Points and queries meet the pivots in blocks, each of which gets them once. Cells with
+many points are dealt out in blocks of bounded size, their queries in parts, and a pair
+of block and part is one matrix product.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.session import cut
+from hitweave.session import stored
 
-#: Points a pivot, most pivots of an event, and the sizes of what meets in one task.
-POINTS_A_PIVOT, PIVOTS, ROWS, QUERIES = 256, 64, 4096, 4096
+#: Database points of an event or a cell, and queries of a cell, that meet in one product; points that meet the pivots together.
+ROWS, QUERIES, TOGETHER = 4096, 4096, 16384
 _CHUNK = 256
 
 
@@ -61,58 +61,72 @@ def within(queries: np.ndarray, rows: np.ndarray, r_max: float, k_max: int | Non
     return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
 
 
-def _pivots(database: DataFrame) -> DataFrame:
-    """(event_id, pivots): up to PIVOTS database points of each event, one for each POINTS_A_PIVOT, by a hash of their id.
+def _squares(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Squared distances, but for rounding."""
+    d2 = (points * points).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * (points @ pivots.T)
+    return np.maximum(d2, 0.0)
 
-    A bounded choice that only shapes the cells; every point is in one of them. The
-    first point of each of PIVOTS slots is found before the shuffle.
-    """
-    draw = F.xxhash64("event_id", "hit_id")
-    slots = database.groupBy("event_id", F.pmod(draw, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(draw.alias("draw"), "v")).alias("first"), F.count("*").alias("n"))
-    some = F.slice(F.array_sort(F.collect_list("first")), F.lit(1), F.ceil(F.sum("n") / POINTS_A_PIVOT).cast("int"))
-    return slots.groupBy("event_id").agg(F.transform(some, lambda p: p["v"]).alias("pivots"))
 
+def _slack(points: np.ndarray, pivots: np.ndarray) -> float:
+    """More than the rounding of `_squares` can be."""
+    return 1e-12 * (points.shape[1] + 8) * ((points * points).sum(axis=1).max(initial=0.0) + (pivots * pivots).sum(axis=1).max(initial=0.0) + 1)
 
-def _distances(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((points[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2), 0.0))
 
+def _celled(points: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Each point with its cell and no less than its distance to the pivot."""
+    v, at, numbers = matrix(points["v"]), matrix(pivots["p"]), pivots["cell"].to_numpy()
+    cell, far = np.zeros(len(v), np.int64), np.zeros(len(v))
+    for begin in range(0, len(v), _CHUNK):
+        d2 = _squares(v[begin : begin + _CHUNK], at)
+        k = d2.argmin(axis=1)
+        cell[begin : begin + _CHUNK] = numbers[k]
+        far[begin : begin + _CHUNK] = np.sqrt(d2[np.arange(len(k)), k] + _slack(v, at))
+    return pa.table({"event_id": points["event_id"], "dst": points["dst"], "w": points["v"], "cell": pa.array(cell), "far": pa.array(far)})
 
-def _by_event(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row numbers, points, pivots) of each event in a batch; its pivots are in each of its rows."""
-    events = batch.column("event_id").to_numpy(zero_copy_only=False)
-    for event in np.unique(events):
-        at = np.flatnonzero(events == event)
-        pivots = batch.column("pivots")[int(at[0])]
-        if pivots.is_valid:
-            yield at, matrix(batch.column("v").take(pa.array(at))), np.array(pivots.as_py(), dtype=float)
 
+def _routed(r_max: float):
+    def run(points: pa.Table, pivots: pa.Table) -> pa.Table:
+        """A row for each query and each cell that may hold points near it."""
+        v, at, far = matrix(points["v"]), matrix(pivots["p"]), pivots["far"].to_numpy()
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for begin in range(0, len(v) if len(at) else 0, _CHUNK):
+            own = v[begin : begin + _CHUNK]
+            d2, slack = _squares(own, at), _slack(v, at)
+            near = d2.argmin(axis=1)
+            apart = np.sqrt(_squares(at[near], at) + slack)
+            ball = d2 <= (r_max + far) ** 2 * (1 + 1e-9) + slack
+            plane = d2 - d2[np.arange(len(near)), near][:, None] <= 2 * r_max * apart * (1 + 1e-9) + 4 * slack
+            q, c = np.nonzero(ball & plane)
+            found.append((q + begin, c))
+        q, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        rows = points.take(pa.array(q))
+        return pa.table({"event_id": rows["event_id"], "src": rows["src"], "v": rows["v"], "cell": pa.array(pivots["cell"].to_numpy()[c], pa.int64())})
 
-def _celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cell, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
-        for at, points, pivots in _by_event(batch):
-            for begin in range(0, len(at), 1024):
-                d = _distances(points[begin : begin + 1024], pivots)
-                cell[at[begin : begin + 1024]], far[at[begin : begin + 1024]] = d.argmin(axis=1), d.min(axis=1)
-        yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("hit_id"), batch.column("v"), pa.array(cell), pa.array(far)], names=["event_id", "dst", "w", "cell", "far"])
+    return run
 
 
-def _routed(r_max: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for at, points, pivots in _by_event(batch):
-                balls = np.full(len(pivots), -np.inf)
-                for b in batch.column("balls")[int(at[0])].as_py():
-                    balls[b["cell"]] = b["far"]
-                for begin in range(0, len(at), 1024):
-                    d = _distances(points[begin : begin + 1024], pivots)
-                    near = d <= (r_max + balls) * (1 + 1e-9) + 1e-9
-                    for i, row in zip(at[begin : begin + 1024].tolist(), near, strict=True):
-                        cells[i] = np.flatnonzero(row).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("hit_id"), batch.column("v"), pa.array(cells, pa.list_(pa.int32()))], names=["event_id", "src", "v", "cells"])
+def _spread(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
 
-    return run
+
+def _celled_events(query: DataFrame, database: DataFrame, sizes: DataFrame, r_max: float) -> tuple[DataFrame, DataFrame]:
+    """Query rows (event_id, cell, src, v) and database rows (event_id, cell, dst, w) of events with pivots; `sizes` is (event_id, n)."""
+    sizes = sizes.select("event_id", F.ceil(2 * F.sqrt("n")).alias("slots"), F.ceil(F.col("n") / TOGETHER).alias("blocks"))
+    draw = F.xxhash64("event_id", "hit_id")
+    rows = database.join(sizes, "event_id")
+    pivots = rows.groupBy("event_id", "blocks", F.pmod(draw, F.col("slots")).alias("cell")).agg(F.min(F.struct(draw.alias("draw"), "v")).alias("first"))
+    pivots = stored(pivots.select("event_id", "blocks", "cell", F.col("first.v").alias("p")))
+    points = rows.select("event_id", F.pmod(F.xxhash64("hit_id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.col("hit_id").alias("dst"), "v")
+    keys = ("event_id", "block")
+    celled = points.groupBy(*keys).cogroup(pivots.withColumn("block", _spread("blocks")).select(*keys, "cell", "p").groupBy(*keys))
+    celled = stored(celled.applyInArrow(_celled, "event_id long, dst long, w array<double>, cell long, far double"))
+    balls = celled.groupBy("event_id", "cell").agg(F.max("far").alias("far"))
+    asked = query.join(sizes.select("event_id"), "event_id")
+    parts = asked.groupBy("event_id").agg(F.ceil(F.count("*") / TOGETHER).alias("blocks"))
+    asked = asked.join(parts, "event_id").select("event_id", F.pmod(F.xxhash64("hit_id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.col("hit_id").alias("src"), "v")
+    near = pivots.drop("blocks").join(balls, ["event_id", "cell"]).join(parts, "event_id").withColumn("block", _spread("blocks")).select(*keys, "cell", "p", "far")
+    routed = asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_routed(r_max), "event_id long, src long, v array<double>, cell long")
+    return routed, celled.drop("far")
 
 
 def radius_join(query: DataFrame, database: DataFrame, r_max: float, k_max: int | None = None, loops: bool = False) -> DataFrame:
@@ -122,21 +136,25 @@ def radius_join(query: DataFrame, database: DataFrame, r_max: float, k_max: int
     length. The boundary counts as inside, ties go to the smaller hit_id, and, as in
     the original, a point itself takes one of the k_max places before loops are
     dropped. Rows with a null in any of the three columns take no part. What one task
-    holds is bounded by ROWS and QUERIES; nothing that grows with an event is
-    broadcast or sent to the driver.
+    holds is bounded by ROWS, QUERIES and TOGETHER, and the pivots of an event, twice
+    the root of its size; nothing that grows with an event is broadcast or sent to the
+    driver.
     """
     query, database = (df.select(F.col("event_id").cast("long").alias("event_id"), F.col("hit_id").cast("long").alias("hit_id"), F.col("v").cast("array<double>").alias("v")).dropna() for df in (query, database))
-    pivots = cut(_pivots(database))
-    rows = cut(database.join(pivots, "event_id").mapInArrow(_celled, "event_id long, dst long, w array<double>, cell int, far double"))
-    cells = cut(rows.groupBy("event_id", "cell").agg(F.max("far").alias("far"), F.ceil(F.count("*") / ROWS).cast("int").alias("blocks")))
-    parts = query.groupBy("event_id").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    balls = cells.groupBy("event_id").agg(F.collect_list(F.struct("cell", "far")).alias("balls"))  # PIVOTS at most
-    routed = query.join(pivots.join(balls, "event_id"), "event_id").mapInArrow(_routed(r_max), "event_id long, src long, v array<double>, cells array<int>")
-    routed = routed.select("event_id", "src", "v", F.explode("cells").alias("cell"))
-    sizes = cells.select("event_id", "cell", "blocks").join(parts, "event_id")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = routed.join(sizes, ["event_id", "cell"]).withColumn("part", F.pmod(F.xxhash64("src"), F.col("parts")).cast("int")).withColumn("block", spread("blocks"))
-    right = rows.join(sizes, ["event_id", "cell"]).withColumn("block", F.pmod(F.xxhash64("dst"), F.col("blocks")).cast("int")).withColumn("part", spread("parts"))
+    sizes = database.groupBy("event_id").agg(F.count("*").alias("n"))
+    left, right = query.select("event_id", F.lit(0).cast("long").alias("cell"), F.col("hit_id").alias("src"), "v"), database.select("event_id", F.lit(0).cast("long").alias("cell"), F.col("hit_id").alias("dst"), F.col("v").alias("w"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) > ROWS:
+        sizes = stored(sizes)
+        small, large = sizes.where(F.col("n") <= ROWS).select("event_id"), sizes.where(F.col("n") > ROWS)
+        routed, celled = _celled_events(query, database, large, r_max)
+        left = stored(left.join(small, "event_id").select(*left.columns).unionByName(routed))
+        right = right.join(small, "event_id").select(*right.columns).unionByName(celled)
+    # as many parts as queries and points together ask for; a part of one side meets every part of the other
+    counted = lambda df, most, name: df.groupBy("event_id", "cell").agg(F.ceil(F.count("*") / most).alias(name))
+    cells = counted(left, QUERIES, "parts").join(counted(right, ROWS, "blocks"), ["event_id", "cell"])
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = left.join(cells, ["event_id", "cell"]).withColumn("part", place("src", "parts")).withColumn("block", _spread("blocks"))
+    right = right.join(cells, ["event_id", "cell"]).withColumn("block", place("dst", "blocks")).withColumn("part", _spread("parts"))
     keys = ("event_id", "cell", "block", "part")
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:

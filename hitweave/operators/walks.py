@@ -24,8 +24,8 @@ from hitweave.operators.chains import contracted, expanded
 from hitweave.session import stored
 
 Neighbours = dict[int, dict[int, float]]
-#: Edges of a component that one task takes, some 100 MB as Python objects, and edges of all components of a task.
-BOUND, SHARE = 200_000, 100_000
+#: Edges of a component that one task takes, some 400 MB as Python objects, and edges of all components of a task.
+BOUND, SHARE = 1_000_000, 100_000
 #: Comparisons of lists that are remembered.
 COMPARED = 500_000
 SCHEMA = "event_id long, component long, ord int, hits array<long>, score double"

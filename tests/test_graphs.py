@@ -3,7 +3,11 @@
 import random
 from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from hitweave.operators import edges as E
 from hitweave.operators import neighbours, tracks, truth, walks, waves
@@ -235,11 +239,11 @@ def test_row_numbers_of_a_large_group(spark):
     assert {(r["k"], r["v"]): r["n"] for r in got} == {**{(k, v): v for k in (1, None) for v in range(3000)}, (2, 5): 0, (3, 0): 0, (3, 1): 1}
 
 
-@pytest.mark.parametrize("k_max", [None, 3])
-def test_radius_join_equals_brute_force(spark, k_max, monkeypatch):
-    monkeypatch.setattr(neighbours, "ROWS", 20)
+@pytest.mark.parametrize("k_max,small", [(None, 20), (3, 20), (3, 4096)])
+def test_radius_join_equals_brute_force(spark, k_max, small, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROWS", small)
     monkeypatch.setattr(neighbours, "QUERIES", 30)
-    monkeypatch.setattr(neighbours, "POINTS_A_PIVOT", 16)
+    monkeypatch.setattr(neighbours, "TOGETHER", 40)
     rng = random.Random(6)
     rows = [(e, i, [rng.randrange(-8, 9) / 4 for _ in range(3)]) for e, n in ((0, 150), (1, 40), (2, 1)) for i in range(n)]
     asked = [r for r in rows if r[1] % 2 == 0] + [(3, 0, [0.0, 0.0, 0.0]), (0, 999, None)]
@@ -250,3 +254,25 @@ def test_radius_join_equals_brute_force(spark, k_max, monkeypatch):
         near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), j) for f, j, w in rows if f == e and v is not None) if v else []
         want |= {(e, i, j, d) for d, j in [x for x in near if x[0] <= 1.0][:k_max]}
     assert {(r["event_id"], r["src"], r["dst"], r["d2"]) for r in got} == want and len(got) == len(want)
+
+
+def embedded(n, seed=0):
+    """Points like embedded hits: near a surface of four dimensions in a space of eight, ten to a track."""
+    rng = np.random.default_rng(seed)
+    places, turn, bend = rng.random((n // 10, 4)), rng.normal(size=(4, 8)) * 1.5, rng.normal(size=(8, 8)) * 0.3
+    return np.repeat(np.tanh(places @ turn) + np.sin(3 * places @ turn) @ bend, 10, axis=0) + rng.normal(scale=0.02, size=(n // 10 * 10, 8))
+
+
+def test_radius_join_of_a_large_event(spark, tmp_path):
+    n, r = 20_000, 0.12
+    v = embedded(n)
+    pq.write_table(pa.table({"event_id": np.zeros(n, np.int64), "hit_id": np.arange(n), "v": list(v)}), tmp_path / "hits.parquet")
+    hits = spark.read.parquet(str(tmp_path / "hits.parquet"))
+    routed, celled = neighbours._celled_events(hits, hits, hits.groupBy("event_id").agg(F.count("*").alias("n")), r)
+    pairs = routed.groupBy("cell").count().join(celled.groupBy("cell").agg(F.count("*").alias("m")), "cell").agg(F.sum(F.col("count") * F.col("m"))).first()[0]
+    assert pairs < n**1.7
+    got = neighbours.radius_join(hits, hits, r).select("src", "dst").toArrow()
+    got = np.sort(got["src"].to_numpy() * n + got["dst"].to_numpy())
+    want = [np.flatnonzero(((v - v[i]) ** 2).sum(axis=1) <= r * r) + i * n for i in range(n)]
+    want = np.concatenate(want)
+    assert (got == want[want // n != want % n]).all()
