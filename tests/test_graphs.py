@@ -31,8 +31,9 @@ def union_find(edges):
     return {n: root(n) for n in parent}
 
 
+@pytest.mark.parametrize("bound", [0, 15, 500_000])
 @pytest.mark.parametrize("kind", ["path", "random", "star", "tree"])
-def test_components(spark, kind):
+def test_components(spark, kind, bound):
     rng = random.Random(4)
     if kind == "path":
         ids = rng.sample(range(1000), 60)
@@ -45,7 +46,7 @@ def test_components(spark, kind):
         ids = rng.sample(range(1000), 100)
         edges = [(ids[i], ids[rng.randrange(i)]) for i in range(1, 100)]
     df = spark.createDataFrame(edges + edges[:3] + [(None, 1)], "src long, dst long")
-    got = {r["node"]: r["component"] for r in connected_components(df).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(df, bound=bound).collect()}
     assert got == union_find(edges)
 
 
@@ -53,7 +54,7 @@ def test_components(spark, kind):
 def test_components_of_rising_ids(spark, kind):
     width = 1 if kind == "path" else 10
     edges = [(i, i + k) for i in range(3000) for k in range(1, width + 1) if i + k < 3000]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), bound=50).collect()}
     assert got == dict.fromkeys(range(3000), 0)
 
 
@@ -62,6 +63,13 @@ def test_components_stay_within_events(spark):
     got = {(r["event_id"], r["node"], r["component"]) for r in tracks.components(df).collect()}
     assert got == {(1, 1, 1), (1, 2, 1), (2, 2, 2), (2, 3, 2), (2, 4, 2)}
     assert tracks.components(df.limit(0)).count() == 0
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 2, 3, 3, 3, None]), f"n{rng.randrange(40)}", f"n{rng.randrange(40)}") for _ in range(120)]
+    want = {(e, n, c) for e in (1, 2, 3) for n, c in union_find([r[1:] for r in rows if r[0] == e]).items()}
+    want |= {(None, n, n) for r in rows if r[0] is None for n in r[1:]}
+    for bound in (0, 20, 500_000):
+        found = connected_components(spark.createDataFrame(rows, "e int, src string, dst string").repartition(3), within=("e",), bound=bound)
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
 
 
 GRAPHS = {
