@@ -1,8 +1,9 @@
 """Exact top-k search by vector-approximation files.
 
-The file holds a cell number of one byte for each component: vectors are cut into
-equally wide cells between the smallest and the largest value of that component. It is
-made once, an eighth of the size of the vectors, and scanned in pairs of blocks, rows
+The file holds a cell number of one byte for each component. Cells are equally wide
+where nearly all values of a bounded sample of the vectors lie; the two outer ones hold
+the rest, up to the smallest and the largest value there is, so that a few values far
+out leave the others' cells narrow. The file is made once, an eighth of the size of the vectors, and scanned in pairs of blocks, rows
 by queries, of bounded size; the cells give a lower and an upper bound of every score,
 and only rows whose upper bound reaches the k-th lower bound leave a block. Then exact
 vectors are read by a join, in the order of the bounds and in two waves: the k rows
@@ -26,6 +27,8 @@ from hitweave.session import cut
 K = 20
 SCALE = 64
 CELLS = 256
+#: Rows that the inner cells are fitted on, at most, and the share of values that they leave out at either end.
+SAMPLE, TAIL = 4096, 0.002
 #: Rows and queries of a pair of blocks.
 ROWS, QUERIES = 1 << 15, 1 << 12
 _CHUNK = 128
@@ -53,36 +56,68 @@ def extent(vectors: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def cell_numbers(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """[n, d] bytes: the cell that each component is in."""
-    width = np.where(high > low, (high - low) / CELLS, 1.0)
-    return np.clip((x - low) / width, 0, CELLS - 1).astype(np.uint8)
+def grids(vectors: DataFrame) -> dict[int, Grid]:
+    """The cells for each dimension, from exact extremes and a sample of SAMPLE rows by a hash of their number."""
+    chosen = vectors.orderBy(F.xxhash64("row"), "row").limit(SAMPLE).select("dim", "v").toArrow().combine_chunks()
+    sample = {d: matrix(chosen["v"].take(pa.array(at))).astype(float) for batch in chosen.to_batches() for d, at in by_dimension(batch)}
+    return {d: Grid(low, high, sample.get(d, np.zeros((0, d)))) for d, (low, high) in extent(vectors).items()}
 
 
-def bounds_of(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """[queries, rows] scores of the cells' centres, and how far each query's exact scores can be from them.
+class Grid:
+    """The cells of vectors of one dimension."""
 
-    The centre of a cell is linear in its number, so looking up the parts of a score
-    for all cells is one product with the bytes. The slack covers half a cell, and the
-    rounding of the product in single precision and of the cell borders.
-    """
-    width = np.where(high > low, (high - low) / CELLS, 1.0)
-    slope, start = queries * width, queries @ (low + width / 2)
-    middle = (slope.astype(np.float32) @ cells.T.astype(np.float32, copy=False)).astype(np.float64) + start[:, None]
-    size = np.abs(slope).sum(axis=1) * CELLS + np.abs(queries) @ (np.abs(low) + width)
-    return middle, np.abs(queries) @ (width / 2) * (1 + 1e-6) + size * (queries.shape[1] + 4) * 2.0**-23 + 1e-30
+    def __init__(self, low: np.ndarray, high: np.ndarray, sample: np.ndarray):
+        """`low` and `high` are the extremes, `sample` [n, d] some of the vectors."""
+        a, b = np.quantile(sample, [TAIL, 1 - TAIL], axis=0) if len(sample) else (low, high)
+        self.start = np.maximum(a - (b - a) / 4, low)
+        end = np.minimum(b + (b - a) / 4, high)
+        self.width = np.where(end > self.start, (end - self.start) / (CELLS - 2), 1.0)
+        inner = self.start[:, None] + self.width[:, None] * (np.arange(1, CELLS - 1) - 0.5)
+        rest = self.start + self.width * (CELLS - 2)
+        below, above = np.minimum(low, self.start), np.maximum(high, rest)
+        #: [d, cells] middle of each cell, and how far values can be from it, with room for the rounding of borders
+        self.middle = np.column_stack([(below + self.start) / 2, inner, (rest + above) / 2])
+        half = np.column_stack([(self.start - below) / 2, np.repeat(self.width[:, None] / 2, CELLS - 2, axis=1), (above - rest) / 2])
+        room = np.maximum(np.abs(below), np.abs(above))[:, None] * 2.0**-50
+        self.half = half * (1 + 1e-6) + np.where(np.arange(CELLS) % (CELLS - 1) == 0, room, 1e-14 * (np.abs(self.start) + CELLS * self.width)[:, None])
+
+    def numbers(self, x: np.ndarray) -> np.ndarray:
+        """[n, d] bytes: the cell that each component is in."""
+        return np.clip(np.floor((x - self.start) / self.width) + 1, 0, CELLS - 1).astype(np.uint8)
 
 
-def scan(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarray, row_ids: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
+def bounds_of(queries: np.ndarray, cells: np.ndarray, grid: Grid) -> tuple[np.ndarray, np.ndarray]:
+    """[queries, rows] scores of the cells' middles, and how far the exact scores can be from them.
+
+    The slack covers half a cell for each component and the rounding of the product in
+    single precision. Rows with inner cells alone share the slack of a query; the few
+    others have their own.
+    """
+    d = queries.shape[1]
+    place = np.arange(d)
+    rounding = (d + 4) * 2.0**-22
+    size = np.abs(queries)
+    middle = (queries.astype(np.float32) @ grid.middle.astype(np.float32)[place, cells].T).astype(np.float64)
+    inner = grid.half[:, 1:-1].max(axis=1) + np.abs(grid.middle[:, 1:-1]).max(axis=1) * rounding if d else np.zeros(0)
+    slack = np.repeat((size @ inner + 1e-30)[:, None], len(cells), axis=1)
+    outer = np.flatnonzero(((cells == 0) | (cells == CELLS - 1)).any(axis=1))
+    if len(outer):
+        own = (grid.half + np.abs(grid.middle) * rounding)[place, cells[outer]]
+        slack[:, outer] = size @ own.T + 1e-30
+    return middle, slack
+
+
+def scan(queries: np.ndarray, query_ids: np.ndarray, cells: np.ndarray, row_ids: np.ndarray, grid: Grid, k: int):
     """(query id, row place, upper bound, lower bound) of what may be among the k best rows of a block."""
-    out, cells = [], cells.astype(np.float32)
+    out = []
     for at in range(0, len(queries), _CHUNK):
         ids = query_ids[at : at + _CHUNK]
-        middle, slack = bounds_of(queries[at : at + _CHUNK], cells, low, high)
-        middle[ids[:, None] == row_ids[None, :]] = -np.inf
-        sure = np.partition(middle, -k, axis=1)[:, -k] - slack if len(cells) > k else np.full(len(ids), -np.inf)
-        q, r = np.nonzero((middle + slack[:, None] >= sure[:, None]) & (middle > -np.inf))
-        out.append((ids[q], r, middle[q, r] + slack[q], middle[q, r] - slack[q]))
+        middle, slack = bounds_of(queries[at : at + _CHUNK], cells, grid)
+        lower, upper = middle - slack, middle + slack
+        lower[ids[:, None] == row_ids[None, :]] = -np.inf
+        sure = np.partition(lower, -k, axis=1)[:, -k] if len(cells) > k else np.full(len(ids), -np.inf)
+        q, r = np.nonzero((upper >= sure[:, None]) & (lower > -np.inf))
+        out.append((ids[q], r, upper[q, r], lower[q, r]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -104,11 +139,18 @@ def _exact(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFram
 def _few_copies(vectors: DataFrame, k: int) -> DataFrame:
     """Of rows with equal vectors, whose scores are equal, those that can be among the first k: the smallest k + 1 ids, k rows of each.
 
+    Only hashes are counted; where some repeat, the rows that have them are compared.
     Each task keeps as many before the shuffle, so a very common vector is a few rows.
     """
-    same = Window.partitionBy("v", "vec_id").orderBy("vec_id")
-    rows = vectors.withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k)
-    return rows.withColumn("copy", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1).drop("copy")
+    hashed = vectors.select("row", F.xxhash64("v").alias("h"))
+    common = cut(hashed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    if common.isEmpty():
+        return vectors
+    repeated = cut(hashed.join(common, "h", "left_semi").select("row"))
+    same = Window.partitionBy("v", "vec_id").orderBy("row")
+    rows = vectors.join(repeated, "row", "left_semi").withColumn("copy", F.row_number().over(same)).where(F.col("copy") <= k)
+    few = rows.withColumn("copy", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("copy") <= k + 1)
+    return vectors.join(repeated, "row", "left_anti").select(*vectors.columns).unionByName(few.select(*vectors.columns))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, rows: int = ROWS, query_rows: int = QUERIES) -> DataFrame:
@@ -121,9 +163,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, rows: int = ROWS,
     vec_id that occurs twice is two candidates, also where its rows are equal. Empty
     tables give an empty table.
     """
-    vectors = cut(_few_copies(vectors, k).withColumn("row", F.monotonically_increasing_id()))  # numbers of a written table: the same whenever it is read
+    vectors = cut(vectors.withColumn("row", F.monotonically_increasing_id()))  # numbers of a written table: the same whenever it is read
+    few = _few_copies(vectors, k)
+    vectors = vectors if few is vectors else cut(few)
     queries = cut(queries)
-    grid = extent(vectors)
+    grid = grids(vectors)
     counts = vectors.agg(F.count("*").alias("n")).first()["n"], queries.count()
     row_blocks, query_blocks = max(1, -(-counts[0] // rows)), max(1, -(-counts[1] // query_rows))
 
@@ -131,7 +175,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, rows: int = ROWS,
         for batch in batches:
             cells = [b""] * batch.num_rows
             for dim, at in by_dimension(batch):
-                numbers = cell_numbers(matrix(batch.column("v").take(pa.array(at))), *grid[dim])
+                numbers = grid[dim].numbers(matrix(batch.column("v").take(pa.array(at))))
                 for i, row in zip(at.tolist(), numbers, strict=True):
                     cells[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "vec_id", "dim")), pa.array(cells, pa.binary())], names=["row", "vec_id", "dim", "cells"])
@@ -146,15 +190,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, rows: int = ROWS,
         row = vec = np.zeros(0, np.int64)
         if a.num_rows and b.num_rows:
             dim, row, vec = a["dim"][0].as_py(), a["row"].to_numpy(), a["vec_id"].to_numpy()
-            found = scan(matrix(b["v"]), b["vec_id"].to_numpy(), codes(a["cells"], dim), vec, *grid[dim], k)
+            found = scan(matrix(b["v"]), b["vec_id"].to_numpy(), codes(a["cells"], dim), vec, grid[dim], k)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(vec[found[1]], pa.int64()), "row": pa.array(row[found[1]], pa.int64()), "upper": pa.array(found[2]), "lower": pa.array(found[3])})
 
     keys = ("dim", "query_block", "row_block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, row long, upper double, lower double")
-    # bounds of a query have one width, so the order by upper bounds is that by lower bounds
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "row"))
-    sure = F.max(F.when(F.col("place") == k, F.col("lower"))).over(Window.partitionBy("query_id"))
-    bounded = cut(found.withColumn("place", place).withColumn("sure", sure).where("sure IS NULL OR upper >= sure").drop("lower", "sure"))
+    by = lambda c: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(c), "row"))
+    sure = F.max(F.when(F.col("low_place") == k, F.col("lower"))).over(Window.partitionBy("query_id"))
+    bounded = found.withColumn("low_place", by("lower")).withColumn("sure", sure).where("sure IS NULL OR upper >= sure")
+    bounded = cut(bounded.withColumn("place", by("upper")).select("query_id", "vec_id", "row", "upper", "place"))
     first = cut(_exact(bounded.where(F.col("place") <= k), queries, vectors))
     kth = first.groupBy("query_id").agg(F.min("score").alias("kth"))
     second = bounded.where(F.col("place") > k).join(kth, "query_id").where(F.col("upper") >= F.col("kth").cast("double"))  # the slack covers this rounding too
