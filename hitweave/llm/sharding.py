@@ -15,14 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from hitweave.session import cut, shared_folder
+from hitweave.llm.ties import dealt
+from hitweave.session import shared_folder
 
 SHARDS = 40
 SEED = 7
-#: Bytes of text in a bucket, about.
-BUCKET_BYTES = 8 << 20
-#: Buckets that a task of the second pass has, about.
-TASK_BUCKETS = 2
+#: Bytes of text in a bucket, about; a task holds one, with a few copies of it.
+BUCKET_BYTES = 32 << 20
+#: Most tasks of the second pass; beyond, each has more buckets, one after the other.
+TASKS = 20_000
 OVERHEAD = 16
 
 
@@ -37,24 +38,6 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return np.random.default_rng(seed).permutation(n)
 
 
-def _dealt(records: DataFrame, size: Column, seed: int, bucket_bytes: int) -> DataFrame:
-    """Adds __hw_tie, which deals rows over buckets: a hash of all columns and, where equal rows would fill a bucket, their number.
-
-    Such rows are counted before the shuffle, kept once and made again with numbers,
-    so the dealing is the same in every run.
-    """
-    plain = [F.col(f"`{c}`") for c in records.columns]
-    tied = records.withColumn("__hw_tie", F.xxhash64(*plain, F.lit(seed)))
-    heavy = tied.groupBy("__hw_tie").agg(F.count("*").alias("n"), F.max(size).alias("size")).where((F.col("n") > 1) & (F.col("n") * F.col("size") > bucket_bytes))
-    heavy = cut(heavy.select("__hw_tie"))  # one row for each bucket of bytes at most
-    if heavy.isEmpty():
-        return tied
-    light = tied.join(heavy, "__hw_tie", "left_anti")
-    again = tied.join(heavy, "__hw_tie", "left_semi").groupBy(*plain, "__hw_tie").agg(F.count("*").alias("__hw_n"))
-    again = again.withColumn("__hw_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__hw_n")))).withColumn("__hw_tie", F.xxhash64("__hw_tie", "__hw_i"))
-    return light.select(*plain, "__hw_tie").unionByName(again.select(*plain, "__hw_tie"))
-
-
 def external_shuffle(records: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Adds shard, bucket and slot to whole records, moved and shuffled.
 
@@ -78,8 +61,8 @@ def external_shuffle(records: DataFrame, key: str = "doc_id", text: str = "text"
     size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + OVERHEAD
     total = records.agg(F.sum(size)).first()[0] or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    tasks = max(1, -(-total // (TASK_BUCKETS * bucket_bytes)))
-    placed = _dealt(records, size, seed, bucket_bytes).withColumn("shard", shard_of(own, shards, seed)).withColumn("bucket", F.pmod("__hw_tie", F.lit(buckets)).cast("int"))
+    tasks = min(TASKS, shards * buckets)
+    placed = dealt(records, size, seed, bucket_bytes).withColumn("shard", shard_of(own, shards, seed)).withColumn("bucket", F.pmod("__hw_tie", F.lit(buckets)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = placed.groupBy("shard", "bucket").count().select(F.col("shard").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
 
@@ -101,12 +84,19 @@ def external_shuffle(records: DataFrame, key: str = "doc_id", text: str = "text"
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Writes a folder for each shard and in it one for each bucket, whose file holds the records in slot order.
+    """Writes a folder for each shard; each task adds one file to it, with the buckets that it has shuffled, in slot order.
 
-    Tasks write the buckets that they have shuffled; nothing moves again. Reading a
-    shard's buckets one after the other gives the shuffled stream.
+    Nothing moves again, and there are as many folders as shards, whatever the number
+    of buckets. Slots of a bucket follow each other, so a reader that takes a shard's
+    buckets by number, or its rows by slot, gets the shuffled stream; `contents` says
+    where each bucket begins.
     """
-    shuffled.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard", "bucket").parquet(path)
+    shuffled.sortWithinPartitions("shard", "bucket", "slot").write.partitionBy("shard").parquet(path)
+
+
+def contents(shards: DataFrame) -> DataFrame:
+    """(shard, bucket, file, first, rows): where the slots of each bucket are, from the columns of numbers of `read_shards` alone."""
+    return shards.groupBy("shard", "bucket", F.input_file_name().alias("file")).agg(F.min("slot").alias("first"), F.count("*").alias("rows"))
 
 
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -118,6 +108,8 @@ def op8_sharding(documents: DataFrame) -> DataFrame:
     """Every document's shard and slot, by the law of keys, and its shard with one more.
 
     The shards are written to the shared folder; the rows are those of the files.
+    Null texts are empty, repeated rows and null ids stay, an empty table gives an
+    empty table.
     """
     spark = documents.sparkSession
     path = shared_folder(spark, "shards")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from hitweave.llm import sharding, vafile
@@ -77,12 +78,30 @@ def test_exact_top_k_of_ragged_rows_and_repeated_ids(spark):
     assert got == {q: x for q, x in want.items() if x} and {0, 20, 40} <= set(got)
 
 
-def test_cells_bound_scores():
+@pytest.mark.parametrize("whole", [False, True])
+def test_cells_bound_scores(whole):
     rng = np.random.default_rng(3)
     rows, queries = rng.normal(size=(500, 9)) * 50, rng.normal(size=(40, 9)) * 1e4
-    low, high = rows.min(axis=0), rows.max(axis=0)
-    middle, slack = vafile.bounds_of(queries, vafile.cell_numbers(rows, low, high), low, high)
-    assert (np.abs(queries @ rows.T - middle) <= slack[:, None]).all()
+    rows[7], rows[8, 3], rows[:, 5] = 1e7, -1e9, 2.5
+    if whole:
+        rows, queries = np.floor(rows), np.floor(queries)
+    for sample in (rows[:100], rows[20:400], rows[:0], rows[7:9]):
+        grid = vafile.Grid(rows.min(axis=0), rows.max(axis=0), sample)
+        middle, slack = vafile.bounds_of(queries, grid.numbers(rows), grid)
+        assert (np.abs(queries @ rows.T - middle) <= slack).all()
+
+
+def test_values_far_out_leave_the_others_apart(spark):
+    rows = [r for r in vectors(1000, 32, seed=2) if r[0] is not None and r[0] < 1000]
+    rows = [(i, v if not 500 <= i < 700 else (np.random.default_rng(i).normal(size=32) / 6).tolist()) for i, v in rows] + [(1001, [1000.0] * 32), (1002, [-1e6] + [0.0] * 31)]
+    x = np.floor(64 * np.array([v for _, v in rows], dtype=np.float32).astype(float))
+    ids = np.array([i for i, _ in rows])
+    grid = vafile.Grid(x.min(axis=0), x.max(axis=0), x[::2])
+    asked = ids % 20 == 0
+    left = vafile.scan(x[asked], ids[asked], grid.numbers(x), ids, grid, 20)
+    assert len(left[0]) <= 0.05 * asked.sum() * len(x)
+    want = {q: [(i, int(s)) for i, s in found] for q, found in brute(list(zip(ids.tolist(), x, strict=True))).items()}
+    assert lists(vafile.op6_topk(frame(spark, rows))) == want
 
 
 def test_shards(spark):
@@ -147,5 +166,19 @@ def test_shuffle_is_repeatable_mixes_and_keeps_columns(spark, tmp_path):
     sharding.write_shards(one, str(tmp_path / "shards"))
     assert key(sharding.read_shards(spark, str(tmp_path / "shards"), one.schema)) == rows
     for file in (tmp_path / "shards").rglob("*.parquet"):
-        slots = pq.read_table(file, columns=["slot"], partitioning=None)["slot"].to_pylist()
-        assert slots == list(range(slots[0], slots[0] + len(slots)))
+        buckets = {}
+        for r in pq.read_table(file, columns=["bucket", "slot"], partitioning=None).to_pylist():
+            buckets.setdefault(r["bucket"], []).append(r["slot"])
+        assert list(buckets) == sorted(buckets)
+        assert all(slots == list(range(slots[0], slots[0] + len(slots))) for slots in buckets.values())
+    assert len([f for f in (tmp_path / "shards").rglob("*") if f.is_dir()]) == 2
+    listed = sharding.contents(sharding.read_shards(spark, str(tmp_path / "shards"), one.schema)).collect()
+    assert Counter({s: n for s, n in Counter(r[0] for r in rows).items()}) == sum((Counter({r["shard"]: r["rows"]}) for r in listed), Counter())
+
+
+def test_a_text_larger_than_a_bucket(spark):
+    df = spark.createDataFrame([(i, "x" * (50_000 if i == 3 else 10)) for i in range(200)], "doc_id long, text string")
+    rows = sharding.external_shuffle(df, shards=2, bucket_bytes=1000).collect()
+    assert sorted((r["doc_id"], len(r["text"])) for r in rows) == sorted((r["doc_id"], len(r["text"])) for r in df.collect())
+    for shard in (0, 1):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
