@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from hitweave.llm import ties
 from hitweave.session import cut
 
 CAPACITY = 4096
@@ -106,7 +107,7 @@ def pieces_of(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + ids])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -185,9 +186,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = (), capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset: the pieces of a sequence lie in it without gaps or overlaps.
 
-    `order` names columns that, with the length, tell pieces apart; it makes the result
-    the same in every run. Pieces alike in all of them may change places. Lengths have
-    to be from 1 to capacity. Only the counts by length come to the driver, capacity
+    `order` names columns that, with the length, tell pieces apart; with it the result
+    is the same in every run. Without it, and where pieces are alike in it, all columns
+    tell them apart; equal pieces may change places, and many of them are dealt over
+    parts by number. Lengths have to be from 1 to capacity. Only the counts by length come to the driver, capacity
     rows at most, and only tables bounded by them are broadcast. Columns named with the
     prefix `__hw_` are reserved. An empty table gives an empty table.
     """
@@ -195,11 +197,11 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = (),
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}
     places, _ = plan(counts, capacity)
     sizes = spark.createDataFrame([(n, -(-c // RANKED)) for n, c in counts.items()], f"`{length}` long, __hw_parts int")
-    part = F.pmod(F.xxhash64(*order), F.col("__hw_parts")) if order else F.lit(0)
-    dealt = pieces.join(F.broadcast(sizes), length).withColumn("__hw_part", part).drop("__hw_parts")
+    dealt = ties.dealt(pieces, F.lit(1), 0, RANKED).join(F.broadcast(sizes), length)
+    dealt = dealt.withColumn("__hw_part", F.pmod("__hw_tie", F.col("__hw_parts"))).drop("__hw_parts")
     before = Window.partitionBy(length).orderBy("__hw_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = dealt.groupBy(length, "__hw_part").count().select(length, "__hw_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__hw_first"))
-    ranked = dealt.withColumn("__hw_rank", F.row_number().over(Window.partitionBy(length, "__hw_part").orderBy(*(order or [length]))) - 1)
+    ranked = dealt.withColumn("__hw_rank", F.row_number().over(Window.partitionBy(length, "__hw_part").orderBy(*order, "__hw_tie")) - 1)
     ranked = ranked.join(firsts, [length, "__hw_part"]).withColumn("__hw_rank", F.col("__hw_rank") + F.col("__hw_first"))
     table = spark.createDataFrame(places or [(0, 0, 0, 0, 1, 0)], f"`{length}` long, __hw_from long, __hw_number long, __hw_seq long, __hw_each long, __hw_offset long")
     table = table.groupBy(length).agg(F.sort_array(F.collect_list(F.struct("__hw_from", "__hw_number", "__hw_seq", "__hw_each", "__hw_offset"))).alias("__hw_places"))
@@ -226,7 +228,11 @@ def pack_documents(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 
 def sequences(documents: DataFrame, **options) -> DataFrame:
-    """(sequence_id, ids): the packed sequences themselves, each at most the capacity long."""
+    """(sequence_id, ids): the packed sequences themselves, each at most the capacity long.
+
+    Null texts are the end token alone, repeated rows are packed as often as they occur,
+    an empty table gives an empty table.
+    """
     capacity = options.get("capacity", CAPACITY)
     pieces = cut(pieces_of(documents, ids=True, **options))
     placed = pack(pieces, "length", ("doc_id", "piece", "ids_crc32"), capacity)

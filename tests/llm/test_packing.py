@@ -3,9 +3,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from hitweave.llm import packing
+from hitweave.llm import packing, ties
 
 
 def first_fit_decreasing(lengths, capacity):
@@ -91,3 +92,18 @@ def test_special_tokens_in_documents(spark):
     assert [list(got[i]["ids"]) for i in range(len(texts))] == want
     crcs = {r["doc_id"]: (r["start"], r["length"], r["ids_crc32"]) for r in packing.op10_packing(df).collect()}
     assert crcs == {i: (0, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for i, ids in enumerate(want)}
+
+
+def test_equal_pieces_are_dealt_by_number(spark):
+    rows = [(5, 0, 300)] * 3000 + [(i, 0, 300) for i in range(400)] + [(None, None, 4096)] * 3
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long")
+    dealt = ties.dealt(pieces, F.lit(1), 0, packing.RANKED)
+    assert dealt.count() == len(rows) and max(r["count"] for r in dealt.groupBy("__hw_tie").count().collect()) < 5
+    for order in (("doc_id", "piece"), ()):
+        placed = packing.pack(pieces, order=order).collect()
+        assert sorted(map(repr, ((r["doc_id"], r["piece"], r["length"]) for r in placed))) == sorted(map(repr, rows))
+        by_seq = {}
+        for r in placed:
+            by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all([o for o, _ in sorted(x)] == [300 * i for i in range(len(x))] or x == [(0, 4096)] for x in by_seq.values())
+        assert len(by_seq) == -(-3400 // 13) + 3
