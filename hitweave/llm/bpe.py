@@ -376,7 +376,7 @@ def encode(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", pat
     def columns(codec: Codec, texts: pa.Array) -> list[pa.Array]:
         return [pa.array([codec.encode(t.as_py() or "").astype(np.int32) for t in texts], pa.list_(pa.int32()))]
 
-    return _mapped(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id long, ids array<int>", rank_file(path), pattern, columns)
+    return _mapped(documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), "doc_id long, ids array<int>", rank_file(path), pattern, columns)
 
 
 def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -385,7 +385,7 @@ def decode(tokens: DataFrame, doc_id: str = "doc_id", ids: str = "ids", path: st
     def columns(codec: Codec, lists: pa.Array) -> list[pa.Array]:
         return [pa.array(["".join(codec.decode(np.asarray(x.as_py() or [], dtype="<u4"))) for x in lists], pa.string())]
 
-    return _mapped(tokens.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")), "doc_id long, text string", rank_file(path), public_tokenizers.PATTERN, columns)
+    return _mapped(tokens.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{ids}`").alias("ids")), "doc_id long, text string", rank_file(path), public_tokenizers.PATTERN, columns)
 
 
 def round_trip(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -407,7 +407,7 @@ def round_trip(documents: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _mapped(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), schema, rank_file(path), pattern, columns)
+    return _mapped(documents.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), schema, rank_file(path), pattern, columns)
 
 
 def op2_bpe(documents: DataFrame) -> DataFrame:

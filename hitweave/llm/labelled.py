@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows that no classifier may learn from: a fifth, by their id's checksum. A null id is not held out."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def learnable(labels: DataFrame, label: str) -> DataFrame:

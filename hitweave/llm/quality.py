@@ -192,7 +192,8 @@ def fit(documents: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> tup
     """Word vectors from all documents; a network from up to `each` labelled rows of either class.
 
     Held-out labels are not read. Of an id's several texts the one with the least
-    features counts. Without any label the network is an untrained one.
+    features counts. Unless there are rows of both classes, the scores are constant: the
+    share of good labels, or almost 1 if there are no labels.
     """
     both = np.hstack([index_vectors(), context_vectors(documents)])
     chosen = training_rows(labels, "quality", each)
@@ -200,9 +201,18 @@ def fit(documents: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> tup
     rows = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.max("label").alias("label")).collect()
     rows.sort(key=lambda r: (zlib.crc32(f"{r['doc_id']}!".encode()), str(r["doc_id"])))
     share = labels.where(~held_out()).agg(F.avg("quality")).first()[0]
-    if not rows:
-        return both, train(np.zeros((1, FEATURES)), np.ones(1), 0.5, 0)
-    return both, train(np.array([r["x"] for r in rows]), np.array([float(r["label"]) for r in rows]), 0.5 if share is None else share)
+    y = np.array([float(r["label"]) for r in rows])
+    if not 0 < y.sum() < len(y):
+        return both, constant_model(1.0 if share is None else share)
+    return both, train(np.array([r["x"] for r in rows]), y, share)
+
+
+def constant_model(share: float) -> dict[str, np.ndarray]:
+    """A model that scores every text alike."""
+    model = train(np.zeros((1, FEATURES)), np.ones(1), 0.5, 0)
+    model["w2"][:], model["offset"], model["temperature"] = 0, np.array(0.0), np.array(1.0)
+    model["b2"] = np.array([np.clip(np.log(max(share, 1e-9) / max(1 - share, 1e-9)), -6, 6)])
+    return model
 
 
 def score(documents: DataFrame, both: np.ndarray, model: dict[str, np.ndarray], out: str = "score", text: str = "text") -> DataFrame:

@@ -18,8 +18,7 @@ from hitweave.session import cut, table
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; it learns from docs and their labels.
 
-    A score that ties with the limit keeps its document. Without labels the network is
-    untrained, and what it rejects means nothing.
+    A score that ties with the limit keeps its document. Without labels all are kept.
     """
     both, model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, both, model, "__hw_score").where(F.col("__hw_score") >= quality.LEAST).drop("__hw_score")

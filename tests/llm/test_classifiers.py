@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from hitweave.llm import quality, toxicity
 
@@ -183,3 +184,44 @@ def test_odd_columns(spark, tables, which):
         assert len({r["score"] for r in rows}) == 1 and len({r["score"] for r in op(again, labels.limit(0)).collect()}) == 1
     text_ids = again.selectExpr("concat('d', doc_id) doc_id", "text")
     assert op(text_ids, labels.selectExpr("concat('d', doc_id) doc_id", "quality", "toxic")).count() == 50
+
+
+def test_thresholds_weigh_rows_by_the_true_share():
+    rng = np.random.default_rng(0)
+    labels = np.array([0.0, 1.0] * 300)
+    scores = np.clip(rng.normal(0.2 + 0.25 * labels, 0.12), 0, 1)
+    langs = ["en", "en", "de", "de"] * 150 + []
+    for share in (0.5, 0.1, 0.01):
+        got = toxicity.thresholds_by_language(scores, labels, langs, share)
+        for lang in ("en", "de"):
+            mine = np.array([x == lang for x in langs])
+            s, y = scores[mine], labels[mine]
+            w = np.where(y == 1, 2 * share, 2 * (1 - share))
+            f1 = lambda t: 2 * w[(s >= t) & (y == 1)].sum() / (w[s >= t].sum() + w[y == 1].sum())  # noqa: B023, E731
+            assert f1(got[lang]) >= max(f1(t) for t in np.linspace(0.05, 0.95, 19)) - 1e-9
+    low, high = (toxicity.thresholds_by_language(scores, labels, langs, share) for share in (0.5, 0.01))
+    assert all(high[k] > low[k] for k in low)
+    assert toxicity.thresholds_by_language(scores[::2], labels[::2], langs[::2], 0.1) == {"en": 0.5, "de": 0.5}
+
+
+def test_flagged_follows_thresholds(spark, tables):
+    docs, labels = tables
+    model, limits = toxicity.fit(docs, labels)
+    got = toxicity.op4_toxicity(docs, labels).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    assert got and all(r["flagged"] == int(r["score"] >= limits.get(r["lang"], 0.5)) for r in got)
+
+
+def test_long_labelled_texts_are_learnt_in_windows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_SIGNS", 40)
+    rows = [(i, ("grob " if i % 2 else "fein ") * 30 + str(i)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    got = toxicity.op4_toxicity(docs, labels).collect()
+    assert all(r["predicted"] == r["doc_id"] % 2 for r in got) and len({round(r["score"], 3) for r in got}) > 1
+
+
+def test_quality_without_labels_keeps_all(spark, tables):
+    docs, labels = tables
+    for none in (labels.limit(0), labels.withColumn("quality", F.lit(None).cast("int"))):
+        assert all(r["predicted"] == 1 for r in quality.op5_quality(docs, none).collect())
+    assert all(r["predicted"] == 0 for r in quality.op5_quality(docs, labels.withColumn("quality", F.lit(0))).collect())
