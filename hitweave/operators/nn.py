@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hitweave.functions.scalars import l2_normalised, layer_norm
 from hitweave.operators.edges import gathered
+from hitweave.operators.neighbours import matrix
 from hitweave.session import stored
 
 def _erf(x, exp, absolute, sign):
@@ -41,8 +43,8 @@ COLUMN_ACTIVATIONS = {
     "GELU": lambda x: 0.5 * x * (1 + _erf(x * 2**-0.5, F.exp, F.abs, F.signum)),
     "SiLU": lambda x: x / (1 + F.exp(-x)),
 }
-#: Layers with so many weights at most are written as expressions.
-SMALL = 256
+#: Layers with so many weights, and sums with so many components, are written as expressions; larger ones run in Arrow.
+SMALL, WIDE = 256, 32
 #: Added to the variance by batch normalisation.
 BATCH_EPS = 6e-5
 
@@ -99,15 +101,14 @@ def _rowwise(df: DataFrame, column: str, layers: list[dict]) -> DataFrame:
             x = ACTIVATIONS[layer.get("activation")](x)
         return x
 
-    @F.pandas_udf("array<double>")
-    def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in parts:
-            there = np.flatnonzero(series.notna())
-            result = np.full(len(series), None, dtype=object)
-            if len(there):
-                for i, row in zip(there, applied(np.stack(series.iloc[there].to_numpy())), strict=True):
-                    result[i] = row
-            yield pd.Series(result)
+    @F.arrow_udf("array<double>")
+    def apply(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in parts:
+            there = pc.is_valid(lists)
+            x = matrix(lists.filter(there))
+            y = applied(x) if len(x) else x
+            ends = np.r_[0, np.cumsum(np.where(there.to_numpy(zero_copy_only=False), y.shape[1], 0))]
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(y.ravel(), pa.float64()), mask=pc.invert(there))
 
     return df.withColumn(column, apply(column))
 
@@ -159,8 +160,71 @@ def embed_both(hits: DataFrame, features: list[str], trunk: list[dict], source:
     return df.drop("__x", "__t")
 
 
+def _segments(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the keys, and where in it each of their combinations begins."""
+    order = np.lexsort(keys[::-1])
+    sorted_keys = [k[order] for k in keys]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in sorted_keys:
+        new[1:] |= k[1:] != k[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _wide_sum(rows: DataFrame, keys: list[str], column: str, mean: bool) -> DataFrame:
+    """Sums of long vectors: segments of sorted keys are added up in each batch before the shuffle, and once more after it."""
+    count = len(keys)
+    names = [*keys, column, "__n"]
+
+    def added(keys: list[np.ndarray], x: np.ndarray, n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        order, first = _segments(keys)
+        return [k[order][first] for k in keys], np.add.reduceat(x[order], first, axis=0), np.add.reduceat(n[order], first)
+
+    def made(keys: list[np.ndarray], x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel(), pa.float64()))
+        return pa.RecordBatch.from_arrays([*map(pa.array, keys), lists, pa.array(n)], names=names)
+
+    def own(batch: pa.RecordBatch) -> list[np.ndarray]:
+        return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(count)]
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield made(*added(own(batch), matrix(batch.column(count)), np.ones(batch.num_rows, np.int64)))
+
+    def after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple | None = None  # the last segment may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = own(batch), matrix(batch.column(count)), batch.column(count + 1).to_numpy()
+            if rest is not None:
+                now = [np.concatenate(k) for k in zip(rest[0], now[0], strict=True)], np.concatenate([rest[1], now[1]]), np.concatenate([rest[2], now[2]])
+            k, x, n = added(*now)
+            rest = [c[-1:] for c in k], x[-1:], n[-1:]
+            if len(n) > 1:
+                yield finished([c[:-1] for c in k], x[:-1], n[:-1])
+        if rest is not None:
+            yield finished(*rest)
+
+    def finished(keys: list[np.ndarray], x: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return made(keys, x / n[:, None] if mean else x, n)
+
+    source = rows.select(*(F.col(k).cast("long").alias(k) for k in keys), column).dropna()
+    schema = ", ".join(f"`{k}` long" for k in keys) + f", `{column}` array<double>, __n long"
+    partial = source.mapInArrow(before, schema).repartition(*keys).sortWithinPartitions(*keys)
+    return partial.mapInArrow(after, schema).drop("__n")
+
+
 def vector_sum(rows: DataFrame, keys: list[str], column: str, size: int, mean: bool = False) -> DataFrame:
-    """Sums (or means) of vectors by key, component by component."""
+    """Sums (or means) of vectors by key.
+
+    Short vectors are added component by component in an aggregate. Longer ones than
+    WIDE, for which that plan would be too long, are added as segments in Arrow; their
+    keys are long, and rows with a null in any column are left out.
+    """
+    if size > WIDE:
+        return _wide_sum(rows, keys, column, mean)
     merge = F.avg if mean else F.sum
     return rows.groupBy(*keys).agg(F.array(*(merge(F.get(column, F.lit(i))) for i in range(size))).alias(column))
 
@@ -169,7 +233,10 @@ def sage_layer(nodes: DataFrame, edges: DataFrame, column: str, size: int, neigh
     """neighbour @ mean of the in-neighbours + root @ own + bias."""
     sent = edges.join(nodes.select("event_id", F.col("hit_id").alias("src"), F.col(column).alias("m")), ["event_id", "src"])
     means = vector_sum(sent.select("event_id", F.col("dst").alias("hit_id"), "m"), ["event_id", "hit_id"], "m", size, True)
-    df = nodes.join(means, ["event_id", "hit_id"], "left").withColumn("m", F.coalesce("m", F.array(*[F.lit(0.0)] * size)))
+    df = nodes.join(means, ["event_id", "hit_id"], "left").withColumn("m", F.coalesce("m", F.array_repeat(F.lit(0.0), size)))
+    if size > WIDE:
+        both = {"weight": np.hstack([np.array(neighbour, float), np.array(root, float)]).tolist(), "bias": bias, "activation": activation}
+        return mlp(df.withColumn("__x", F.concat("m", column)), "__x", [both], column).drop("m", "__x")
     df = df.withColumn("__n", linear(F.col("m"), neighbour, [0.0] * len(bias))).withColumn("__r", linear(F.col(column), root, bias))
     return df.withColumn(column, F.transform(F.zip_with("__n", "__r", lambda a, b: a + b), COLUMN_ACTIVATIONS[activation])).drop("m", "__n", "__r")
 
@@ -207,7 +274,7 @@ def interaction_round(nodes: DataFrame, edges: DataFrame, edge_net: list[dict],
     joined = gathered(edges, nodes, ["x"])
     rest = [c for c in edges.columns if c != "e"]
     edges = mlp(joined.withColumn("__x", F.concat("e", "s_x", "d_x")), "__x", edge_net, "__e").select(*rest, F.col("__e").alias("e"))
-    zero = F.array(*[F.lit(0.0)] * size)
+    zero = F.array_repeat(F.lit(0.0), size)
     df = nodes
     for end, name in (("dst", "__in"), ("src", "__out")):
         sums = vector_sum(edges.select("event_id", F.col(end).alias("hit_id"), F.col("e").alias(name)), ["event_id", "hit_id"], name, size, aggregate == "mean")

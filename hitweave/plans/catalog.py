@@ -328,6 +328,34 @@ def gnn_round(spark, sf_dir):
     return nodes.select("hit_id", F.transform("x", lambda x: F.round(x, 6)).alias("x"))
 
 
+WIDTH = 64  # components of the embeddings
+
+
+def _wide(outputs: int, inputs: int, salt: int, v: str) -> str:
+    """The linear part of `layer` with its weights as a formula."""
+    product = f"(((i * 7 + j * 3 + {salt * 5}) % 11 - 5) / 10) * {v}[j + 1]"
+    return f"list_transform(range({outputs}), lambda i: ((i * 5 + {salt * 3}) % 7 - 3) / 10 + list_sum(list_transform(range({inputs}), lambda j: {product})))"
+
+
+def _wide_sums(end: str) -> str:
+    return f"SELECT {end} AS hit_id, list(s ORDER BY i) AS m FROM (SELECT {end}, i, sum(m[i]) AS s FROM messages, range(1, {WIDTH + 1}) AS t(i) GROUP BY ALL) GROUP BY 1"
+
+
+@query(
+    f"""SELECT hit_id, {_rounded(_wide(WIDTH, 3 * WIDTH, 7, 'z'))} AS x FROM (
+    SELECT p.hit_id, list_concat(coalesce(i.m, list_transform(range({WIDTH}), lambda k: 0.0::DOUBLE)), list_concat(coalesce(o.m, list_transform(range({WIDTH}), lambda k: 0.0::DOUBLE)), p.v)) AS z FROM hits_e p
+    LEFT JOIN ({_wide_sums('dst')}) i USING (hit_id) LEFT JOIN ({_wide_sums('src')}) o USING (hit_id))""",
+    X.HITS_E, X.NEAR_E, X.EDGES_E, f"""messages AS (SELECT src, dst, {_relu(_wide(WIDTH, 3 * WIDTH, 6, 'z'))} AS m FROM (
+        SELECT e.src, e.dst, list_concat(list_transform(range({WIDTH}), lambda k: e.score), list_concat(s.v, d.v)) AS z FROM edges_e e JOIN hits_e s ON s.hit_id = e.src JOIN hits_e d ON d.hit_id = e.dst))""",
+)
+def gnn_wide(spark, sf_dir):
+    """A round on vectors of 64 components, the whole embedding."""
+    nodes = X.hits_e(spark, sf_dir).select("event_id", "hit_id", F.col("v").alias("x"))
+    edges = cut(X.edges_e(spark, sf_dir).select("event_id", "src", "dst", F.array_repeat("score", WIDTH).alias("e")))
+    nodes, _ = nn.interaction_round(nodes, edges, [layer(WIDTH, 3 * WIDTH, 6, "ReLU")], [layer(WIDTH, 3 * WIDTH, 7)], WIDTH)
+    return nodes.select("hit_id", F.transform("x", lambda x: F.round(x, 6)).alias("x"))
+
+
 # components, paths, walks
 
 REACH = W.reach("live_u")
