@@ -9,6 +9,7 @@ from hitweave import session
 from hitweave.plans import catalog, pipeline
 from hitweave.schema import HIT_COLUMNS, PIXEL_COLUMNS, PRESETS, StageSpec, hits_schema
 from hitweave.sources import readers
+from hitweave.sources import weights as W
 from hitweave.streaming import requests
 
 
@@ -101,3 +102,72 @@ def test_a_cluster_has_to_name_its_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+@pytest.mark.parametrize("preset", ["pixel", "pixel_v2", "metric_v4", "double_v3"])
+def test_weights_table_comes_back(spark, tmp_path, preset):
+    config = PRESETS[preset]
+    weights = catalog.demo_weights(config)
+    W.write_weights(spark, weights | {"src_network.x": [catalog.layer(1, 2)], "aggregate": "mean", "recurrent": True}, str(tmp_path / "weights"))
+    back = W.read_weights(spark, str(tmp_path / "weights"), config)
+    plain = lambda x: json.loads(json.dumps(x))
+    assert plain(back) == plain(weights | {"aggregate": "mean", "recurrent": True})
+
+
+def test_weights_that_do_not_fit_are_told(spark, tmp_path):
+    config = PRESETS["metric_v4"]
+    good = catalog.demo_weights(config)
+    W.check_weights(good, config)
+    layer = catalog.layer
+    wrong = [
+        ({"embedding": [layer(8, 36), layer(4, 8)]}, "takes .36. components and gets 37"),
+        ({"embedding": [layer(8, 37), layer(4, 9)]}, "layer 1 of embedding"),
+        ({"embedding": [layer(8, 37, activation="Swish")]}, "no activation Swish"),
+        ({"filter": [layer(4, 8), layer(2, 4)]}, "gives 2 components, not 1"),
+        ({"filter": [layer(4, 2 * 37), layer(1, 4)]}, "layer 0 of filter"),
+        ({"filter": [layer(4, 8) | {"batch_norm": {"gamma": [1.0]}}, layer(1, 4)]}, "gamma of batch norm"),
+        ({"filter": [layer(4, 8) | {"bias": [0.0]}, layer(1, 4)]}, "a bias of 1"),
+        ({"node_encoder": [layer(5, 12)]}, "node_encoder gives 5"),
+        ({"edge_encoder": [layer(4, 7)]}, "edge_encoder"),
+        ({"concat": False}, "rounds/0/edge"),
+        ({"in_out_diff": False}, "rounds/0/node"),
+        ({"size": 5}, "node_encoder gives 4"),
+        ({"aggregate": "max"}, "no aggregate max"),
+        ({"recurrent": True, "rounds": [good["rounds"][0], ([layer(4, 24, 1)], [layer(4, 16, 1)])]}, "recurrent but differ"),
+        ({"decoder": [layer(1, 5)]}, "decoder"),
+    ]
+    for change, words in wrong:
+        with pytest.raises(ValueError, match=words):
+            W.check_weights(good | change, config)
+    with pytest.raises(ValueError, match="no weights"):
+        W.check_weights({k: v for k, v in good.items() if k != "filter"}, config)
+    W.weights_table(spark, good).where("NOT (model = 'filter' AND kind = 'weight' AND i = 1 AND j = 2)").write.parquet(str(tmp_path / "gaps"))
+    with pytest.raises(ValueError, match="gaps"):
+        W.read_weights(spark, str(tmp_path / "gaps"))
+
+
+def test_events_over_several_files(spark, tmp_path):
+    hits = readers.random_hits(spark, 36, PIXEL_COLUMNS).withColumn("event_id", F.col("hit_id") % 3).select("event_id", "hit_id", *PIXEL_COLUMNS)
+    run = lambda df: df.groupBy("event_id").agg(F.sort_array(F.collect_list(F.round(F.col("r") * 1000 + F.col("hit_id")).cast("long"))).alias("labels"))
+    parts = hits.withColumn("n_hits", F.lit(12).cast("long"))
+    out, state, source = str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "in")
+
+    def arrives(name, condition):
+        parts.where(condition).coalesce(1).write.parquet(f"{source}/{name}")
+        stream = requests.whole_events(requests.hits_stream(spark, f"{source}/*", PIXEL_COLUMNS, announced=True), patience)
+        requests.serve(stream, run, out, state).awaitTermination()
+        return sorted((r["event_id"], list(r["labels"])) for r in spark.read.parquet(out).collect())
+
+    patience = 600_000
+    want = {r["event_id"]: list(r["labels"]) for r in run(hits).collect()}
+    answers = lambda *events: [(e, want[e]) for e in events]
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert arrives("a", "hit_id < 12") == []
+    assert arrives("b", "hit_id < 12 AND event_id < 2 OR hit_id BETWEEN 12 AND 23") == []  # some rows come again
+    assert arrives("c", "hit_id >= 24 AND event_id = 1") == answers(1)
+    assert arrives("d", "event_id = 1 OR hit_id >= 24 AND event_id = 0") == answers(0, 1)  # all of event 1 comes again
+    patience = 1
+    assert arrives("e", "event_id = 2 AND hit_id = 2") == answers(0, 1)
+    got = arrives("f", "event_id = 0 AND hit_id = 0")
+    assert got == [*answers(0, 1), (2, [-1])]
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
