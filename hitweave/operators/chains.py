@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.session import stored
+from hitweave.session import discard, stored
 
 KEYS = ["event_id", "component"]
 
@@ -32,7 +32,8 @@ def chain_places(links: DataFrame) -> DataFrame:
     while sight <= 2 * most:
         back = state.select("event_id", F.col("node").alias("head"), F.col("head").alias("__head"), F.col("pos").alias("__pos"), F.col("inner").alias("__inner"))
         both = state.join(back, ["event_id", "head"], "left")
-        state = stored(both.select("event_id", "node", F.coalesce("__head", "head").alias("head"), (F.col("pos") + F.coalesce("__pos", F.lit(0))).alias("pos"), (F.col("inner") + F.coalesce("__inner", F.lit(0.0))).alias("inner"), F.col("__head").isNotNull().alias("on")))
+        before, state = state, stored(both.select("event_id", "node", F.coalesce("__head", "head").alias("head"), (F.col("pos") + F.coalesce("__pos", F.lit(0))).alias("pos"), (F.col("inner") + F.coalesce("__inner", F.lit(0.0))).alias("inner"), F.col("__head").isNotNull().alias("on")))
+        discard(before)
         if state.where("on").isEmpty():
             break
         sight *= 2

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hitweave.session import cut, stored
+from hitweave.session import cut, discard, stored
 
 #: Different edges of a group that one task takes, some 100 MB, and edges of all groups of a task.
 BOUND, SHARE = 500_000, 250_000
@@ -65,7 +65,8 @@ def _contracted(start: DataFrame, keys: list[str], bound: int) -> DataFrame:
         up_b = parent.select(*keys, F.col("node").alias("b"), F.col("to").alias("pb"))
         step = live.join(up_a, [*keys, "a"]).select(*keys, F.col("pa").alias("a"), "b")
         step = step.distinct().join(up_b, [*keys, "b"]).select(*keys, "a", F.col("pb").alias("b"))
-        live = stored(_tidy(step.where("a <> b"), keys))
+        before, live = live, stored(_tidy(step.where("a <> b"), keys))
+        discard(before)
 
     root = cut(_labelled(live, keys, total).withColumnRenamed("component", "to"))
     for parent in reversed(maps):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hitweave.functions.scalars import l2_normalised, layer_norm
 from hitweave.operators.edges import gathered
 from hitweave.operators.neighbours import matrix
-from hitweave.session import stored
+from hitweave.session import discard, stored
 
 def _erf(x, exp, absolute, sign):
     """The error function to 1.5e-7 (Abramowitz and Stegun, 7.1.26)."""
@@ -294,10 +294,13 @@ def interaction_gnn(nodes: DataFrame, edges: DataFrame, rounds: list[tuple[list[
     """
     if concat:
         nodes, edges = nodes.withColumn("x0", F.col("x")), edges.withColumn("e0", F.col("e"))
+    before: tuple[DataFrame, ...] = ()
     for edge_net, node_net in rounds:
         if concat:
             nodes, edges = nodes.withColumn("x", F.concat("x", "x0")), edges.withColumn("e", F.concat("e", "e0"))
         nodes, edges = interaction_round(nodes, edges, edge_net, node_net, size, aggregate, in_out_diff)
         nodes, edges = stored(nodes), stored(edges)
+        discard(*before)
+        before = nodes, edges
     logits = mlp(edges, "e", decoder, "__y")
     return logits.withColumn("score", 1 / (1 + F.exp(-F.get("__y", F.lit(0))))).drop("__y", "e", *(["e0"] if concat else []))

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.session import cut, stored
+from hitweave.session import cut, discard, stored
 
 NODE = ["event_id", "node"]
 
@@ -36,29 +36,33 @@ def _without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def start_order(edges: DataFrame, by_id: bool = False) -> DataFrame:
     """(event_id, component, node, rank): the order in which nodes are settled once all that point at them are, first come first served.
 
-    A rank is (depth, key); the key of a node is that of the last node that pointed at
-    it, then its own id. Nodes that nothing points at come by the first of their
-    targets, or `by_id`. Nodes on cycles or behind them are not there.
+    A rank is (depth, place): nodes of one depth are settled one after the other, by the
+    place of the last node that pointed at them, then by their own id. Nodes that
+    nothing points at come by the first of their targets, or `by_id`. Nodes on cycles or
+    behind them are not there. A round only touches nodes that have been pointed at;
+    those still waiting are carried on, and each settled node is written once.
     """
     waiting = edges.groupBy("event_id", F.col("dst").alias("node")).agg(F.count("*").alias("waiting"))
-    first = edges.groupBy("event_id", F.col("src").alias("node")).agg(F.min("dst").alias("first"))
-    rank = lambda depth, key: F.struct(depth.cast("int").alias("depth"), key.alias("key"))
-    key = F.array("node") if by_id else F.array("first", "node")
-    nodes = _nodes(edges).join(waiting, NODE, "left").join(first, NODE, "left")
-    left = stored(nodes.select("event_id", "component", "node", F.coalesce("waiting", F.lit(0)).alias("waiting"), F.when(F.col("waiting").isNull(), rank(F.lit(0), key)).alias("rank")))
-    settled = []
-    while True:
-        new = left.where("waiting = 0").drop("waiting")
-        if new.isEmpty():
-            break
-        settled.append(new)
-        told = new.select("event_id", "node", "rank").join(_at(edges, "src"), NODE).select("event_id", F.col("to").alias("node"), rank(F.col("rank.depth") + 1, F.concat("rank.key", F.array("to"))).alias("told"))
-        told = told.groupBy(*NODE).agg(F.count("*").alias("n"), F.max("told").alias("told"))
-        left = stored(left.where("waiting > 0").join(told, NODE, "left").select("event_id", "component", "node", (F.col("waiting") - F.coalesce("n", F.lit(0))).alias("waiting"), F.greatest("rank", "told").alias("rank")))
-    out = left.limit(0).drop("waiting")
-    for part in settled:
-        out = out.unionByName(part)
-    return cut(out)
+    first = edges.groupBy("event_id", F.col("src").alias("node")).agg(F.min("dst").alias("told"))
+    ways = cut(edges.select("event_id", "component", F.col("src").alias("from"), F.col("dst").alias("node")).join(waiting, NODE))
+    place = F.row_number().over(Window.partitionBy("event_id", "component").orderBy("told", "node"))
+    settle = lambda df, depth: stored(df.select("event_id", "component", "node", F.struct(F.lit(depth).alias("depth"), place.alias("place")).alias("rank")))
+    sources = _nodes(edges).join(waiting, NODE, "left_anti").join(first, NODE)
+    new = settle(sources.withColumn("told", F.lit(0)) if by_id else sources, 0)
+    paths, open_nodes, depth = [], None, 0
+    while not new.isEmpty():
+        paths.append(new.stored_at)
+        depth += 1
+        told = ways.join(new.select("event_id", F.col("node").alias("from"), F.col("rank.place").alias("told")), ["event_id", "from"])
+        told = told.select("event_id", "component", "node", "waiting", F.lit(1).cast("long").alias("n"), "told")
+        if open_nodes is not None:  # what was told in earlier rounds came from nodes that are settled earlier
+            told = told.unionByName(open_nodes.withColumn("told", F.lit(0)))
+        state = stored(told.groupBy("event_id", "component", "node", "waiting").agg(F.sum("n").alias("n"), F.max("told").alias("told")))
+        if open_nodes is not None:
+            discard(before)
+        before, open_nodes = state, state.where("n < waiting").drop("told")
+        new = settle(state.where("n = waiting"), depth)
+    return edges.sparkSession.read.schema(new.schema).parquet(*(paths or [new.stored_at]))
 
 
 def spread(values: DataFrame, edges: DataFrame, end: str = "src") -> DataFrame:
@@ -67,13 +71,17 @@ def spread(values: DataFrame, edges: DataFrame, end: str = "src") -> DataFrame:
     Only nodes whose value has just fallen pass it on.
     """
     state = front = cut(values.select("event_id", "node", "value"))
+    before = None
     while True:
         told = front.join(_at(edges, end), NODE).select("event_id", F.col("to").alias("node"), F.col("value").alias("new")).groupBy(*NODE).agg(F.min("new").alias("new"))
         both = stored(state.join(told, NODE, "full"))
+        if before is not None:
+            discard(before)
+        before = both
+        state = both.select("event_id", "node", F.least("value", "new").alias("value"))
         front = both.where("new IS NOT NULL AND (value IS NULL OR new < value)").select("event_id", "node", F.col("new").alias("value"))
         if front.isEmpty():
             return state
-        state = both.select("event_id", "node", F.least("value", "new").alias("value"))
 
 
 def _ready(starts: DataFrame, edges: DataFrame, alone: bool = False) -> DataFrame:

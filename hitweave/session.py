@@ -48,8 +48,40 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Folders of the tables that `stored` has written and nothing has discarded, by application.
+_written: dict[str, dict[str, None]] = {}
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in shared storage and read it again, with the size that it really has."""
+    """Write `df` as a table in shared storage and read it again, with the size that it really has.
+
+    Loops discard the tables of the rounds before. The last ones are still read by what
+    the loop returns; they stay until `discard_all`, or until the shared folder is cleared.
+    """
     path = shared_folder(df.sparkSession, "stored")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, {})[path] = None
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stored` returned, once nothing reads them or what was derived from them without being stored."""
+    for df in tables:
+        if path := getattr(df, "stored_at", None):
+            _delete(df.sparkSession, path)
+            _written.get(df.sparkSession.sparkContext.applicationId, {}).pop(path, None)
+
+
+def discard_all(spark: SparkSession) -> int:
+    """Delete all tables that this application has stored, once their results have been written or collected; how many there were."""
+    paths = _written.pop(spark.sparkContext.applicationId, {})
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
