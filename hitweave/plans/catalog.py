@@ -342,7 +342,7 @@ def _wide_sums(end: str) -> str:
 
 
 @query(
-    f"""SELECT hit_id, {_rounded(_wide(WIDTH, 3 * WIDTH, 7, 'z'))} AS x FROM (
+    f"""SELECT hit_id, list_transform({_wide(WIDTH, 3 * WIDTH, 7, 'z')}, lambda x: round(x, 3)) AS x FROM (
     SELECT p.hit_id, list_concat(coalesce(i.m, list_transform(range({WIDTH}), lambda k: 0.0::DOUBLE)), list_concat(coalesce(o.m, list_transform(range({WIDTH}), lambda k: 0.0::DOUBLE)), p.v)) AS z FROM hits_e p
     LEFT JOIN ({_wide_sums('dst')}) i USING (hit_id) LEFT JOIN ({_wide_sums('src')}) o USING (hit_id))""",
     X.HITS_E, X.NEAR_E, X.EDGES_E, f"""messages AS (SELECT src, dst, {_relu(_wide(WIDTH, 3 * WIDTH, 6, 'z'))} AS m FROM (
@@ -353,7 +353,7 @@ def gnn_wide(spark, sf_dir):
     nodes = X.hits_e(spark, sf_dir).select("event_id", "hit_id", F.col("v").alias("x"))
     edges = cut(X.edges_e(spark, sf_dir).select("event_id", "src", "dst", F.array_repeat("score", WIDTH).alias("e")))
     nodes, _ = nn.interaction_round(nodes, edges, [layer(WIDTH, 3 * WIDTH, 6, "ReLU")], [layer(WIDTH, 3 * WIDTH, 7)], WIDTH)
-    return nodes.select("hit_id", F.transform("x", lambda x: F.round(x, 6)).alias("x"))
+    return nodes.select("hit_id", F.transform("x", lambda x: F.round(x, 3)).alias("x"))
 
 
 # components, paths, walks
@@ -647,3 +647,5 @@ def _preset(name: str, preset: str) -> None:
 
 for _name, _kind in (("pipeline_metric", "metric_v4"), ("pipeline_double", "double_v3"), ("pipeline_pixel", "pixel"), ("pipeline_pixel_v2", "pixel_v2")):
     _preset(_name, _kind)
+for _kind in ("metric_v1", "metric_v2", "metric_v3", "double_v1", "double_v3_dp", "pixel_v1"):
+    _preset(f"pipeline_{_kind}", _kind)
