@@ -156,9 +156,7 @@ def neighbours(vectors: DataFrame, query_every: int = QUERY_EVERY, k: int = K, c
         edges[r["dim"]] = [np.array([r[str(c)][i] for i in wanted], dtype=np.int64) for c in range(curves)]
 
     rows = _placed(keyed, edges)
-    last = F.lit(0)
-    for d, n in pieces.items():
-        last = F.when(F.col("dim") == d, n - 1).otherwise(last)
+    last = F.element_at(F.map_from_arrays(F.array(*map(F.lit, pieces)), F.array(*(F.lit(n - 1) for n in pieces.values()))), F.col("dim")) if pieces else F.lit(0)
     first = F.greatest(F.lit(0), F.least(F.col("range") - beside, last - 2 * beside))
     asked = _placed(_keyed(queries, spread, curves, seed), edges).withColumn("range", F.explode(F.sequence(first, F.least(last, first + 2 * beside))))
     place = ["dim", "curve", "range"]

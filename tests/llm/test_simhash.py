@@ -141,3 +141,9 @@ def test_chain_of_rising_fingerprints(spark):
                 p, q = root(a), root(b)
                 parent[max(p, q)] = min(p, q)
     assert {(r["node"], r["component"]) for r in found} == {(v, root(v)) for v in values if sum(root(w) == root(v) for w in values) > 1}
+
+
+def test_fingerprint_of_a_very_long_text():
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["Ab", "cd", "é", "f1", "g"]) + str(rng.randrange(50)) for _ in range(70_000))
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
