@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hitweave.llm.vectors import QUERY_EVERY, by_dimension, codes, matrix, query_vectors, ranked, valid_vectors
+from hitweave.llm.vectors import QUERY_EVERY, by_dimension, codes, matrix, query_vectors, valid_vectors
 from hitweave.session import cut
 
 K = 20
