@@ -3,6 +3,8 @@
 A layer is a dict: weight (rows of outputs), bias, activation, and layer_norm. Vectors
 are array<double> columns. Small layers become SQL expressions, which stay in the JVM;
 large ones run as Arrow-batched matrix products. Weights are model files of fixed size.
+Expressions are written as one text a layer: a call to the JVM for each weight took as
+long as the jobs of a small event.
 """
 
 from __future__ import annotations
@@ -49,19 +51,29 @@ SMALL, WIDE = 256, 32
 BATCH_EPS = 6e-5
 
 
-def linear(v: Column, weight, bias) -> Column:
-    """weight @ v + bias, as an array of expressions."""
-    outputs = []
-    for row, b in zip(weight, bias, strict=True):
-        total = F.lit(float(b))
-        for i, w in enumerate(row):
-            total = total + F.lit(float(w)) * F.get(v, F.lit(i))
-        outputs.append(total)
-    return F.array(*outputs)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _double(x) -> str:
+    """A literal that reads back as the same double."""
+    return f"{float(x)!r}D" if np.isfinite(x) else f"double('{float(x)}')"
+
+
+def linear(column: str, weight, bias) -> Column:
+    """weight @ v + bias for the vectors v of a column, as an array of expressions."""
+    v = _quoted(column)
+    outputs = (" + ".join([_double(b), *(f"{_double(w)} * get({v}, {i})" for i, w in enumerate(row))]) for row, b in zip(weight, bias, strict=True))
+    return F.expr(f"array({', '.join(outputs)})")
 
 
 def _numbers(values) -> Column:
-    return F.array(*(F.lit(float(x)) for x in values))
+    return F.expr(f"array({', '.join(map(_double, values))})")
+
+
+def _merged(how: str, column: str, size: int) -> Column:
+    """An array of the aggregates of each component."""
+    return F.expr(f"array({', '.join(f'{how}(get({_quoted(column)}, {i}))' for i in range(size))})")
 
 
 def _affine(norm: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +82,7 @@ def _affine(norm: dict, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_layer(df: DataFrame, column: str, layer: dict) -> DataFrame:
     if "weight" in layer:
-        df = df.withColumn(column, linear(F.col(column), layer["weight"], layer["bias"]))
+        df = df.withColumn(column, linear(column, layer["weight"], layer["bias"]))
     if layer.get("layer_norm"):
         df = df.withColumn(column, layer_norm(F.col(column)))
     if norm := layer.get("batch_norm"):  # statistics that were kept: the same for every row
@@ -116,8 +128,7 @@ def _rowwise(df: DataFrame, column: str, layers: list[dict]) -> DataFrame:
 def batch_normed(df: DataFrame, column: str, size: int, norm: dict, within: tuple[str, ...] = ("event_id",)) -> DataFrame:
     """Each component to zero mean and unit (biased) variance over the rows of an event, then gamma and beta."""
     df = stored(df)
-    parts = [F.get(column, F.lit(i)) for i in range(size)]
-    moments = df.groupBy(*within).agg(F.array(*map(F.avg, parts)).alias("__mean"), F.array(*map(F.var_pop, parts)).alias("__var"))
+    moments = df.groupBy(*within).agg(_merged("avg", column, size).alias("__mean"), _merged("var_pop", column, size).alias("__var"))
     gamma, beta = _affine(norm, size)
     unit = F.zip_with(F.zip_with(column, "__mean", lambda x, m: x - m), "__var", lambda x, v: x / F.sqrt(v + norm.get("eps", BATCH_EPS)))
     shifted = F.zip_with(F.zip_with(unit, _numbers(gamma), lambda x, g: x * g), _numbers(beta), lambda x, b: x + b)
@@ -225,8 +236,7 @@ def vector_sum(rows: DataFrame, keys: list[str], column: str, size: int, mean: b
     """
     if size > WIDE:
         return _wide_sum(rows, keys, column, mean)
-    merge = F.avg if mean else F.sum
-    return rows.groupBy(*keys).agg(F.array(*(merge(F.get(column, F.lit(i))) for i in range(size))).alias(column))
+    return rows.groupBy(*keys).agg(_merged("avg" if mean else "sum", column, size).alias(column))
 
 
 def sage_layer(nodes: DataFrame, edges: DataFrame, column: str, size: int, neighbour: list, root: list, bias: list, activation: str | None = None) -> DataFrame:
@@ -237,7 +247,7 @@ def sage_layer(nodes: DataFrame, edges: DataFrame, column: str, size: int, neigh
     if size > WIDE:
         both = {"weight": np.hstack([np.array(neighbour, float), np.array(root, float)]).tolist(), "bias": bias, "activation": activation}
         return mlp(df.withColumn("__x", F.concat("m", column)), "__x", [both], column).drop("m", "__x")
-    df = df.withColumn("__n", linear(F.col("m"), neighbour, [0.0] * len(bias))).withColumn("__r", linear(F.col(column), root, bias))
+    df = df.withColumn("__n", linear("m", neighbour, [0.0] * len(bias))).withColumn("__r", linear(column, root, bias))
     return df.withColumn(column, F.transform(F.zip_with("__n", "__r", lambda a, b: a + b), COLUMN_ACTIVATIONS[activation])).drop("m", "__n", "__r")
 
 
@@ -265,41 +275,63 @@ def edge_scores(nodes: DataFrame, edges: DataFrame, column: str, layers: list[di
     return df.withColumn(out, 1 / (1 + F.exp(-F.get("__y", F.lit(0))))).select(*edges.columns, out)
 
 
+def _edge_round(nodes: DataFrame, edges: DataFrame, net: list[dict]) -> DataFrame:
+    joined = gathered(edges, nodes, ["x"])
+    rest = [c for c in edges.columns if c != "e"]
+    return mlp(joined.withColumn("__x", F.concat("e", "s_x", "d_x")), "__x", net, "__e").select(*rest, F.col("__e").alias("e"))
+
+
+def _messages(edges: DataFrame, size: int, mean: bool) -> list[DataFrame]:
+    """Tables by (event_id, hit_id) of __in and __out, the sums or means of e over the edges into and out of a node.
+
+    Short vectors take one pass over the edges, and one join for both.
+    """
+    if 2 * size > WIDE:
+        ends = (("dst", "__in"), ("src", "__out"))
+        return [vector_sum(edges.select("event_id", F.col(end).alias("hit_id"), F.col("e").alias(name)), ["event_id", "hit_id"], name, size, mean) for end, name in ends]
+    ends = edges.select("event_id", "e", F.expr("explode(array(struct(dst AS hit_id, true AS into), struct(src AS hit_id, false AS into))) AS end"))
+    how = "avg" if mean else "sum"
+    sums = {name: ", ".join(f"coalesce({how}(get(e, {i})) FILTER (WHERE {side}), 0.0D)" for i in range(size)) for name, side in (("__in", "end.into"), ("__out", "NOT end.into"))}
+    return [ends.groupBy("event_id", "end.hit_id").agg(*(F.expr(f"array({parts}) AS {name}") for name, parts in sums.items()))]
+
+
+def _node_round(nodes: DataFrame, edges: DataFrame, net: list[dict], size: int, aggregate: str, in_out_diff: bool) -> DataFrame:
+    df, zero = nodes, F.array_repeat(F.lit(0.0), size)
+    for sums in _messages(edges, size, aggregate == "mean"):
+        df = df.join(sums, ["event_id", "hit_id"], "left")
+    df = df.withColumns({c: F.coalesce(c, zero) for c in ("__in", "__out")})
+    message = F.concat("__in", "__out") if in_out_diff else F.zip_with("__in", "__out", lambda a, b: a + b)
+    rest = [c for c in nodes.columns if c != "x"]
+    return mlp(df.withColumn("__x", F.concat(message, "x")), "__x", net, "__y").select(*rest, F.col("__y").alias("x"))
+
+
 def interaction_round(nodes: DataFrame, edges: DataFrame, edge_net: list[dict], node_net: list[dict], size: int, aggregate: str = "sum", in_out_diff: bool = True) -> tuple[DataFrame, DataFrame]:
     """One round: e = edge_net(e, x_src, x_dst); x = node_net(messages in, messages out, x).
 
     `nodes` hold x and `edges` hold e, vectors of `size`. Without `in_out_diff` the
     two messages are added instead of put side by side.
     """
-    joined = gathered(edges, nodes, ["x"])
-    rest = [c for c in edges.columns if c != "e"]
-    edges = mlp(joined.withColumn("__x", F.concat("e", "s_x", "d_x")), "__x", edge_net, "__e").select(*rest, F.col("__e").alias("e"))
-    zero = F.array_repeat(F.lit(0.0), size)
-    df = nodes
-    for end, name in (("dst", "__in"), ("src", "__out")):
-        sums = vector_sum(edges.select("event_id", F.col(end).alias("hit_id"), F.col("e").alias(name)), ["event_id", "hit_id"], name, size, aggregate == "mean")
-        df = df.join(sums, ["event_id", "hit_id"], "left").withColumn(name, F.coalesce(name, zero))
-    message = F.concat("__in", "__out") if in_out_diff else F.zip_with("__in", "__out", lambda a, b: a + b)
-    rest = [c for c in nodes.columns if c != "x"]
-    nodes = mlp(df.withColumn("__x", F.concat(message, "x")), "__x", node_net, "__y").select(*rest, F.col("__y").alias("x"))
-    return nodes, edges
+    edges = _edge_round(nodes, edges, edge_net)
+    return _node_round(nodes, edges, node_net, size, aggregate, in_out_diff), edges
 
 
 def interaction_gnn(nodes: DataFrame, edges: DataFrame, rounds: list[tuple[list[dict], list[dict]]], decoder: list[dict], size: int, aggregate: str = "sum", in_out_diff: bool = True, concat: bool = False) -> DataFrame:
     """Edge scores after the rounds. One pair of nets repeated is the recurrent form, different ones the chained form.
 
     With `concat`, each round sees the first encodings besides those of the round
-    before, of nodes and of edges. Each round is materialised, so that a lost executor
-    costs one round.
+    before, of nodes and of edges. The edges of each round are written before its nodes,
+    which are made of them, so that a lost executor costs one round and no net runs
+    twice; the nodes of the last round, which no score depends on, are not made.
     """
     if concat:
         nodes, edges = nodes.withColumn("x0", F.col("x")), edges.withColumn("e0", F.col("e"))
     before: tuple[DataFrame, ...] = ()
-    for edge_net, node_net in rounds:
+    for number, (edge_net, node_net) in enumerate(rounds, 1):
         if concat:
             nodes, edges = nodes.withColumn("x", F.concat("x", "x0")), edges.withColumn("e", F.concat("e", "e0"))
-        nodes, edges = interaction_round(nodes, edges, edge_net, node_net, size, aggregate, in_out_diff)
-        nodes, edges = stored(nodes), stored(edges)
+        edges = stored(_edge_round(nodes, edges, edge_net))
+        if number < len(rounds):
+            nodes = stored(_node_round(nodes, edges, node_net, size, aggregate, in_out_diff))
         discard(*before)
         before = nodes, edges
     logits = mlp(edges, "e", decoder, "__y")
