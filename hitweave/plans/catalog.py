@@ -342,14 +342,14 @@ def _wide_sums(end: str) -> str:
 
 
 @query(
-    f"""SELECT hit_id, list_transform({_wide(WIDTH, 3 * WIDTH, 7, 'z')}, lambda x: round(x, 3)) AS x FROM (
+    f"""SELECT hit_id, list_transform({_wide(WIDTH, 3 * WIDTH, 7, 'z')}, lambda x: round(x, 3) + 0.0) AS x FROM (
     SELECT p.hit_id, list_concat(coalesce(i.m, list_transform(range({WIDTH}), lambda k: 0.0::DOUBLE)), list_concat(coalesce(o.m, list_transform(range({WIDTH}), lambda k: 0.0::DOUBLE)), p.v)) AS z FROM hits_e p
     LEFT JOIN ({_wide_sums('dst')}) i USING (hit_id) LEFT JOIN ({_wide_sums('src')}) o USING (hit_id))""",
     X.HITS_E, X.NEAR_E, X.EDGES_E, f"""messages AS (SELECT src, dst, {_relu(_wide(WIDTH, 3 * WIDTH, 6, 'z'))} AS m FROM (
         SELECT e.src, e.dst, list_concat(list_transform(range({WIDTH}), lambda k: e.score), list_concat(s.v, d.v)) AS z FROM edges_e e JOIN hits_e s ON s.hit_id = e.src JOIN hits_e d ON d.hit_id = e.dst))""",
 )
 def gnn_wide(spark, sf_dir):
-    """A round on vectors of 64 components, the whole embedding."""
+    """A round on vectors of 64 components, the whole embedding. The SQL adds 0.0, as its rounding may give -0.0."""
     nodes = X.hits_e(spark, sf_dir).select("event_id", "hit_id", F.col("v").alias("x"))
     edges = cut(X.edges_e(spark, sf_dir).select("event_id", "src", "dst", F.array_repeat("score", WIDTH).alias("e")))
     nodes, _ = nn.interaction_round(nodes, edges, [layer(WIDTH, 3 * WIDTH, 6, "ReLU")], [layer(WIDTH, 3 * WIDTH, 7)], WIDTH)
