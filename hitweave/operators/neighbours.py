@@ -7,13 +7,18 @@ it, and only if the plane half-way between the cell's pivot and the query's own
 beyond it that pivot would not be the nearest. So a query goes to those cells alone.
 Points and queries meet the pivots in blocks, each of which gets them once. Cells with
 many points are dealt out in blocks of bounded size, their queries in parts, and a pair
-of block and part is one matrix product.
+of block and part is one matrix product. Where only the nearest points are asked for, a
+query first meets the cells of its nearest pivots; how far its k-th point there is
+bounds how far it has to look in the others.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +26,8 @@ from hitweave.session import stored
 
 #: Database points of an event or a cell, and queries of a cell, that meet in one product; points that meet the pivots together.
 ROWS, QUERIES, TOGETHER = 4096, 4096, 16384
+#: Cells that a query meets before its k-th distance is taken as a bound.
+FIRST = 3
 _CHUNK = 256
 
 
@@ -30,10 +37,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def within(queries: np.ndarray, rows: np.ndarray, r_max: float, k_max: int | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, squared distance) of the pairs within r_max, the k_max nearest rows of each query if asked.
+def within(queries: np.ndarray, rows: np.ndarray, reach: np.ndarray, k_max: int | None, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, squared distance) of the pairs within reach, the k_max nearest rows of each query if asked.
 
-    The product only proposes pairs, with room for its rounding; distances that decide
+    `reach` is a squared radius for each query, inclusive. The product only proposes pairs, with room for its rounding; distances that decide
     are sums of squared differences.
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -44,13 +51,13 @@ def within(queries: np.ndarray, rows: np.ndarray, r_max: float, k_max: int | Non
         part = queries[at : at + _CHUNK]
         own = (part * part).sum(axis=1)
         room = 1e-12 * (own.max(initial=0.0) + square.max(initial=0.0) + 1)
-        q, r = np.nonzero(own[:, None] + square[None, :] - 2 * (part @ rows.T) <= r_max * r_max + room * part.shape[1])
+        q, r = np.nonzero(own[:, None] + square[None, :] - 2 * (part @ rows.T) <= reach[at : at + _CHUNK, None] + room * part.shape[1])
         d2 = np.zeros(len(q))
         for begin in range(0, len(q), 1 << 17):
             piece = slice(begin, begin + (1 << 17))
             gap = part[q[piece]] - rows[r[piece]]
             d2[piece] = np.add.accumulate(gap * gap, axis=1)[:, -1] if gap.shape[1] else 0.0
-        inside = d2 <= r_max * r_max
+        inside = d2 <= reach[at + q]
         q, r, d2 = q[inside], r[inside], d2[inside]
         if k_max is not None and len(q):
             order = np.lexsort((ids[r], d2, q))
@@ -84,33 +91,59 @@ def _celled(points: pa.Table, pivots: pa.Table) -> pa.Table:
     return pa.table({"event_id": points["event_id"], "dst": points["dst"], "w": points["v"], "cell": pa.array(cell), "far": pa.array(far)})
 
 
-def _routed(r_max: float):
-    def run(points: pa.Table, pivots: pa.Table) -> pa.Table:
-        """A row for each query and each cell that may hold points near it."""
-        v, at, far = matrix(points["v"]), matrix(pivots["p"]), pivots["far"].to_numpy()
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for begin in range(0, len(v) if len(at) else 0, _CHUNK):
-            own = v[begin : begin + _CHUNK]
-            d2, slack = _squares(own, at), _slack(v, at)
-            near = d2.argmin(axis=1)
-            apart = np.sqrt(_squares(at[near], at) + slack)
-            ball = d2 <= (r_max + far) ** 2 * (1 + 1e-9) + slack
-            plane = d2 - d2[np.arange(len(near)), near][:, None] <= 2 * r_max * apart * (1 + 1e-9) + 4 * slack
-            q, c = np.nonzero(ball & plane)
-            found.append((q + begin, c))
-        q, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
-        rows = points.take(pa.array(q))
-        return pa.table({"event_id": rows["event_id"], "src": rows["src"], "v": rows["v"], "cell": pa.array(pivots["cell"].to_numpy()[c], pa.int64())})
-
-    return run
+def _reachable(points: pa.Table, pivots: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For chunks of the points: where they begin, the squared distances to the pivots, and which cells may hold points within reach."""
+    v, at, far, radius = matrix(points["v"]), matrix(pivots["p"]), pivots["far"].to_numpy(), np.sqrt(points["reach"].to_numpy())
+    for begin in range(0, len(v) if len(at) else 0, _CHUNK):
+        own, r = v[begin : begin + _CHUNK], radius[begin : begin + _CHUNK, None]
+        d2, slack = _squares(own, at), _slack(v, at)
+        near = d2.argmin(axis=1)
+        apart = np.sqrt(_squares(at[near], at) + slack)
+        ball = d2 <= (r + far) ** 2 * (1 + 1e-9) + slack
+        plane = d2 - d2[np.arange(len(near)), near][:, None] <= 2 * r * apart * (1 + 1e-9) + 4 * slack
+        yield begin, d2, ball & plane
+
+
+def _first(points: pa.Table, pivots: pa.Table) -> pa.Table:
+    """The points with `cells`, those of their nearest pivots that they can reach."""
+    numbers, cells = pivots["cell"].to_numpy(), []
+    for _, d2, reached in _reachable(points, pivots):
+        d2 = np.where(reached, d2, np.inf)
+        best = np.argpartition(d2, FIRST - 1, axis=1)[:, :FIRST] if d2.shape[1] > FIRST else np.broadcast_to(np.arange(d2.shape[1]), d2.shape)
+        cells += [numbers[b[np.isfinite(d)]] for b, d in zip(best, np.take_along_axis(d2, best, axis=1), strict=True)]
+    cells = cells or [[]] * points.num_rows
+    return points.select(["event_id", "src", "v", "reach"]).append_column("cells", pa.array(cells, pa.list_(pa.int64())))
+
+
+def _routed(points: pa.Table, pivots: pa.Table) -> pa.Table:
+    """A row for each query and each cell, but for its `cells`, that may hold points near it."""
+    numbers = pivots["cell"].to_numpy()
+    order = np.argsort(numbers)
+    lists = points["cells"].combine_chunks()
+    many, met = pc.list_value_length(lists).to_numpy(), order[np.searchsorted(numbers[order], lists.flatten().to_numpy())] if len(order) else np.zeros(0, np.int64)
+    ends = np.r_[0, np.cumsum(many)]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for begin, _, reached in _reachable(points, pivots):
+        own = many[begin : begin + len(reached)]
+        reached[np.repeat(np.arange(len(own)), own), met[ends[begin] : ends[begin + len(own)]]] = False
+        q, c = np.nonzero(reached)
+        found.append((q + begin, c))
+    q, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    rows = points.take(pa.array(q))
+    return pa.table({**{name: rows[name] for name in ("event_id", "src", "v", "reach")}, "cell": pa.array(numbers[c], pa.int64())})
 
 
 def _spread(n: str):
     return F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
 
 
-def _celled_events(query: DataFrame, database: DataFrame, sizes: DataFrame, r_max: float) -> tuple[DataFrame, DataFrame]:
-    """Query rows (event_id, cell, src, v) and database rows (event_id, cell, dst, w) of events with pivots; `sizes` is (event_id, n)."""
+def _cells(query: DataFrame, database: DataFrame, sizes: DataFrame, r_max: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of events with pivots: queries and cells by the blocks in which they meet, and points by cell; `sizes` is (event_id, n).
+
+    Queries are (event_id, block, src, v, reach, cells), reach a squared radius and cells
+    those that need not be met; cells are (event_id, block, cell, p, far), and points
+    (event_id, cell, dst, w).
+    """
     sizes = sizes.select("event_id", F.ceil(2 * F.sqrt("n")).alias("slots"), F.ceil(F.col("n") / TOGETHER).alias("blocks"))
     draw = F.xxhash64("event_id", "hit_id")
     rows = database.join(sizes, "event_id")
@@ -124,9 +157,55 @@ def _celled_events(query: DataFrame, database: DataFrame, sizes: DataFrame, r_ma
     asked = query.join(sizes.select("event_id"), "event_id")
     parts = asked.groupBy("event_id").agg(F.ceil(F.count("*") / TOGETHER).alias("blocks"))
     asked = asked.join(parts, "event_id").select("event_id", F.pmod(F.xxhash64("hit_id", F.lit(1)), F.col("blocks")).cast("int").alias("block"), F.col("hit_id").alias("src"), "v")
+    asked = asked.withColumns({"reach": F.lit(float(r_max) * float(r_max)), "cells": F.array().cast("array<bigint>")})
     near = pivots.drop("blocks").join(balls, ["event_id", "cell"]).join(parts, "event_id").withColumn("block", _spread("blocks")).select(*keys, "cell", "p", "far")
-    routed = asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_routed(r_max), "event_id long, src long, v array<double>, cell long")
-    return routed, celled.drop("far")
+    return asked, near, celled.drop("far")
+
+
+def _routes(asked: DataFrame, near: DataFrame) -> DataFrame:
+    """Query rows (event_id, src, v, reach, cell)."""
+    keys = ("event_id", "block")
+    return asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_routed, "event_id long, src long, v array<double>, reach double, cell long")
+
+
+def _celled_events(query: DataFrame, database: DataFrame, sizes: DataFrame, r_max: float, k_max: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Query rows, database rows (event_id, cell, dst, w) and, with k_max, the pairs of a first wave, which the query rows do not meet again."""
+    asked, near, celled = _cells(query, database, sizes, r_max)
+    if k_max is None:
+        return _routes(asked, near), celled, None
+    keys = ("event_id", "block")
+    first = asked.groupBy(*keys).cogroup(near.groupBy(*keys)).applyInArrow(_first, "event_id long, src long, v array<double>, reach double, cells array<long>")
+    first = stored(first.withColumn("block", F.lit(0)))
+    found = stored(_nearest(_met(first.select("event_id", "src", "v", "reach", F.explode("cells").alias("cell")), celled, k_max), k_max))
+    bounds = found.groupBy("event_id", "src").agg(F.count("*").alias("n"), F.max("d2").alias("bound")).where(F.col("n") >= k_max)
+    rest = first.drop("block").join(bounds.drop("n"), ["event_id", "src"], "left").withColumn("reach", F.coalesce("bound", "reach")).drop("bound")
+    blocks = near.groupBy("event_id").agg((F.max("block") + 1).alias("blocks"))
+    rest = rest.join(blocks, "event_id").withColumn("block", F.pmod(F.xxhash64("src", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
+    return _routes(rest, near), celled, found
+
+
+def _nearest(found: DataFrame, k_max: int) -> DataFrame:
+    nearest = Window.partitionBy("event_id", "src").orderBy("d2", "dst")
+    return found.withColumn("__k", F.row_number().over(nearest)).where(F.col("__k") <= k_max).drop("__k")
+
+
+def _met(left: DataFrame, right: DataFrame, k_max: int | None) -> DataFrame:
+    """(event_id, src, dst, d2) of the queries (event_id, cell, src, v, reach) and the points (event_id, cell, dst, w) of the same cells."""
+    # as many parts as queries and points together ask for; a part of one side meets every part of the other
+    counted = lambda df, most, name: df.groupBy("event_id", "cell").agg(F.ceil(F.count("*") / most).alias(name))
+    cells = counted(left, QUERIES, "parts").join(counted(right, ROWS, "blocks"), ["event_id", "cell"])
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    left = left.join(cells, ["event_id", "cell"]).withColumn("part", place("src", "parts")).withColumn("block", _spread("blocks"))
+    right = right.join(cells, ["event_id", "cell"]).withColumn("block", place("dst", "blocks")).withColumn("part", _spread("parts"))
+    keys = ("event_id", "cell", "block", "part")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        src, dst = (t[c].to_numpy() if t.num_rows else np.zeros(0, np.int64) for t, c in ((a, "src"), (b, "dst")))
+        q, r, d2 = within(matrix(a["v"]), matrix(b["w"]), a["reach"].to_numpy(), k_max, dst) if len(src) and len(dst) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        event = (a if a.num_rows else b)["event_id"][0].as_py()
+        return pa.table({"event_id": pa.array(np.full(len(q), event), pa.int64()), "src": pa.array(src[q], pa.int64()), "dst": pa.array(dst[r], pa.int64()), "d2": pa.array(d2, pa.float64())})
+
+    return left.select(*keys, "src", "v", "reach").groupBy(*keys).cogroup(right.select(*keys, "dst", "w").groupBy(*keys)).applyInArrow(meet, "event_id long, src long, dst long, d2 double")
 
 
 def radius_join(query: DataFrame, database: DataFrame, r_max: float, k_max: int | None = None, loops: bool = False) -> DataFrame:
@@ -142,31 +221,19 @@ def radius_join(query: DataFrame, database: DataFrame, r_max: float, k_max: int
     """
     query, database = (df.select(F.col("event_id").cast("long").alias("event_id"), F.col("hit_id").cast("long").alias("hit_id"), F.col("v").cast("array<double>").alias("v")).dropna() for df in (query, database))
     sizes = database.groupBy("event_id").agg(F.count("*").alias("n"))
-    left, right = query.select("event_id", F.lit(0).cast("long").alias("cell"), F.col("hit_id").alias("src"), "v"), database.select("event_id", F.lit(0).cast("long").alias("cell"), F.col("hit_id").alias("dst"), F.col("v").alias("w"))
+    left, right = query.select("event_id", F.lit(0).cast("long").alias("cell"), F.col("hit_id").alias("src"), "v", F.lit(float(r_max) * float(r_max)).alias("reach")), database.select("event_id", F.lit(0).cast("long").alias("cell"), F.col("hit_id").alias("dst"), F.col("v").alias("w"))
+    first = None
     if (sizes.agg(F.max("n")).first()[0] or 0) > ROWS:
         sizes = stored(sizes)
         small, large = sizes.where(F.col("n") <= ROWS).select("event_id"), sizes.where(F.col("n") > ROWS)
-        routed, celled = _celled_events(query, database, large, r_max)
+        routed, celled, first = _celled_events(query, database, large, r_max, k_max)
         left = stored(left.join(small, "event_id").select(*left.columns).unionByName(routed))
         right = right.join(small, "event_id").select(*right.columns).unionByName(celled)
-    # as many parts as queries and points together ask for; a part of one side meets every part of the other
-    counted = lambda df, most, name: df.groupBy("event_id", "cell").agg(F.ceil(F.count("*") / most).alias(name))
-    cells = counted(left, QUERIES, "parts").join(counted(right, ROWS, "blocks"), ["event_id", "cell"])
-    place = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    left = left.join(cells, ["event_id", "cell"]).withColumn("part", place("src", "parts")).withColumn("block", _spread("blocks"))
-    right = right.join(cells, ["event_id", "cell"]).withColumn("block", place("dst", "blocks")).withColumn("part", _spread("parts"))
-    keys = ("event_id", "cell", "block", "part")
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        src, dst = (t[c].to_numpy() if t.num_rows else np.zeros(0, np.int64) for t, c in ((a, "src"), (b, "dst")))
-        q, r, d2 = within(matrix(a["v"]), matrix(b["w"]), r_max, k_max, dst) if len(src) and len(dst) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        event = (a if a.num_rows else b)["event_id"][0].as_py()
-        return pa.table({"event_id": pa.array(np.full(len(q), event), pa.int64()), "src": pa.array(src[q], pa.int64()), "dst": pa.array(dst[r], pa.int64()), "d2": pa.array(d2, pa.float64())})
-
-    found = left.select(*keys, "src", "v").groupBy(*keys).cogroup(right.select(*keys, "dst", "w").groupBy(*keys)).applyInArrow(meet, "event_id long, src long, dst long, d2 double")
+    found = _met(left, right, k_max)
+    if first is not None:
+        found = found.unionByName(first)
     if k_max is not None:
-        nearest = Window.partitionBy("event_id", "src").orderBy("d2", "dst")
-        found = found.withColumn("__k", F.row_number().over(nearest)).where(F.col("__k") <= k_max).drop("__k")
+        found = _nearest(found, k_max)
     return found if loops else found.where("src <> dst")
 
 

@@ -276,7 +276,7 @@ def test_radius_join_of_a_large_event(spark, tmp_path):
     v = embedded(n)
     pq.write_table(pa.table({"event_id": np.zeros(n, np.int64), "hit_id": np.arange(n), "v": list(v)}), tmp_path / "hits.parquet")
     hits = spark.read.parquet(str(tmp_path / "hits.parquet"))
-    routed, celled = neighbours._celled_events(hits, hits, hits.groupBy("event_id").agg(F.count("*").alias("n")), r)
+    routed, celled, _ = neighbours._celled_events(hits, hits, hits.groupBy("event_id").agg(F.count("*").alias("n")), r)
     pairs = routed.groupBy("cell").count().join(celled.groupBy("cell").agg(F.count("*").alias("m")), "cell").agg(F.sum(F.col("count") * F.col("m"))).first()[0]
     assert pairs < n**1.7
     got = neighbours.radius_join(hits, hits, r).select("src", "dst").toArrow()
@@ -284,3 +284,14 @@ def test_radius_join_of_a_large_event(spark, tmp_path):
     want = [np.flatnonzero(((v - v[i]) ** 2).sum(axis=1) <= r * r) + i * n for i in range(n)]
     want = np.concatenate(want)
     assert (got == want[want // n != want % n]).all()
+    k = 10  # two waves: hardly more rows than asked for come to the final window
+    routed, celled, first = neighbours._celled_events(hits, hits, hits.groupBy("event_id").agg(F.count("*").alias("n")), r * 3, k)
+    assert neighbours._met(routed, celled, k).count() + first.count() <= 2 * k * n
+    got = neighbours.radius_join(hits, hits, r * 3, k, loops=True).select("src", "dst").toArrow()
+    got = np.sort(got["src"].to_numpy() * n + got["dst"].to_numpy())
+    want = []
+    for i in range(n):
+        d2 = np.add.accumulate((v - v[i]) ** 2, axis=1)[:, -1]
+        near = np.flatnonzero(d2 <= r * r * 9)
+        want.append(np.sort(near[np.lexsort((near, d2[near]))[:k]]) + i * n)
+    assert (got == np.concatenate(want)).all()
