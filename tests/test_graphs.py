@@ -295,3 +295,29 @@ def test_radius_join_of_a_large_event(spark, tmp_path):
         near = np.flatnonzero(d2 <= r * r * 9)
         want.append(np.sort(near[np.lexsort((near, d2[near]))[:k]]) + i * n)
     assert (got == np.concatenate(want)).all()
+
+
+@pytest.mark.parametrize("k_max", [None, 30])
+def test_radius_join_of_directions_sends_no_row_for_each_cell(spark, tmp_path, monkeypatch, k_max):
+    n, r = 5000, 1.2
+    v = np.random.default_rng(3).normal(size=(n, 64))
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    pq.write_table(pa.table({"event_id": np.zeros(n, np.int64), "hit_id": np.arange(n), "v": list(v)}), tmp_path / "hits.parquet")
+    hits = spark.read.parquet(str(tmp_path / "hits.parquet"))
+    monkeypatch.setattr(neighbours, "_routes", lambda *_: pytest.fail("a row for each query and cell"))
+    monkeypatch.setattr(neighbours, "PAST", 2000)
+    got = neighbours.radius_join(hits, hits, r, k_max, loops=True).select("src", "dst").toArrow()
+    want = []
+    for i in range(n):
+        d2 = np.add.accumulate((v - v[i]) ** 2, axis=1)[:, -1]
+        near = np.flatnonzero(d2 <= r * r)
+        want.append(np.sort(near[np.lexsort((near, d2[near]))[:k_max]]) + i * n)
+    assert (np.sort(got["src"].to_numpy() * n + got["dst"].to_numpy()) == np.concatenate(want)).all()
+
+
+def test_routed_queries_hold_their_cells_in_a_list():
+    v = [[float(i), 0.0] for i in range(50)]
+    points = pa.table({"event_id": [0] * 50, "src": range(50), "v": v, "reach": [1e4] * 50, "cells": pa.array([[i % 7] for i in range(50)], pa.list_(pa.int64()))})
+    pivots = pa.table({"event_id": [0] * 7, "cell": range(7), "p": v[:7], "far": [1e3] * 7})
+    got = neighbours._routed(points, pivots)
+    assert got["to"].to_pylist() == [[c for c in range(7) if c != i % 7] for i in range(50)]
