@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from hitweave.functions import scalars as S
 from hitweave.operators import edges as E
 from hitweave.operators import neighbours, tracks, truth, walks, waves
 from hitweave.operators.components import connected_components
@@ -321,3 +322,14 @@ def test_routed_queries_hold_their_cells_in_a_list():
     pivots = pa.table({"event_id": [0] * 7, "cell": range(7), "p": v[:7], "far": [1e3] * 7})
     got = neighbours._routed(points, pivots)
     assert got["to"].to_pylist() == [[c for c in range(7) if c != i % 7] for i in range(50)]
+
+
+def test_layer_norm_works_its_mean_out_once(spark, capsys):
+    df = spark.createDataFrame([([3.0, 4.0],), (None,), ([],)], "v array<double>")
+    assert [r[0] for r in df.select(S.l2_normalised(F.col("v"))).collect()] == [[0.6, 0.8], None, []]
+    got = [r[0] for r in df.select(S.layer_norm(F.col("v"))).collect()]
+    assert got[0] == pytest.approx([-0.99998, 0.99998]) and got[1:] == [None, []]
+    for f, most in ((S.layer_norm, 2), (S.l2_normalised, 1)):
+        df.select(f(F.col("v")).alias("x")).explain()
+        plan = capsys.readouterr().out
+        assert plan.count("aggregate(") <= most
