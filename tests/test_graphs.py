@@ -324,6 +324,14 @@ def test_routed_queries_hold_their_cells_in_a_list():
     assert got["to"].to_pylist() == [[c for c in range(7) if c != i % 7] for i in range(50)]
 
 
+def test_decoding_deals_no_rows_anew(spark, capsys):
+    df = spark.createDataFrame([(0, [1, 2, -1, 3, -1]), (1, [-1]), (2, [4, 5]), (3, []), (4, None), (5, [-1, 7, None, -1, 8])], "event_id long, labels array<long>")
+    got = {(r["event_id"], r["ord"]): r["hits"] for r in tracks.decoded(df).collect()}
+    assert got == {(0, 0): [1, 2], (0, 1): [3], (1, 0): [], (5, 0): [], (5, 1): [7]}
+    tracks.decoded(df).explain()
+    assert "Exchange" not in capsys.readouterr().out
+
+
 def test_layer_norm_works_its_mean_out_once(spark, capsys):
     df = spark.createDataFrame([([3.0, 4.0],), (None,), ([],)], "v array<double>")
     assert [r[0] for r in df.select(S.l2_normalised(F.col("v"))).collect()] == [[0.6, 0.8], None, []]
