@@ -324,6 +324,18 @@ def test_routed_queries_hold_their_cells_in_a_list():
     assert got["to"].to_pylist() == [[c for c in range(7) if c != i % 7] for i in range(50)]
 
 
+def test_best_sums_of_events_in_a_task_equal_those_by_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(e, *rng.sample(range(n), 2), rng.randrange(1, 5) / 4) for e, n in ((0, 12), (1, 30), (2, 8)) for _ in range(n)]
+    rows += [(3, i, j, 0.25) for i in range(6) for j in range(i + 1, 6)]
+    df = spark.createDataFrame(rows, "event_id long, src long, dst long, score double")
+    want = {tuple(r) for r in waves._sums_by_rounds(df).select("event_id", "node", "best", "to").collect()}
+    some = {tuple(r) for r in waves.best_sums(df, 20).select("event_id", "node", "best", "to").collect()}
+    monkeypatch.setattr(waves, "_sums_by_rounds", lambda *_: pytest.fail("rounds of joins"))
+    got = waves.best_sums(df).select("event_id", "node", "best", "to").collect()
+    assert {tuple(r) for r in got} == want == some and len(got) == len(want)
+
+
 def test_decoding_deals_no_rows_anew(spark, capsys):
     df = spark.createDataFrame([(0, [1, 2, -1, 3, -1]), (1, [-1]), (2, [4, 5]), (3, []), (4, None), (5, [-1, 7, None, -1, 8])], "event_id long, labels array<long>")
     got = {(r["event_id"], r["ord"]): r["hits"] for r in tracks.decoded(df).collect()}
