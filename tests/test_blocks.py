@@ -94,3 +94,24 @@ def test_no_vector_of_an_edge_is_written(spark, monkeypatch):
     assert pipeline.run(hits, demo_weights(config), config).count() == 3
     assert max(n for vectors, n in written if not vectors) > 300  # edges
     assert max(n for vectors, n in written if vectors) <= 60
+
+
+@pytest.mark.parametrize("size", [4, 40])
+def test_round_equals_that_of_joined_edges(graph, size):
+    hits, pairs = graph
+    nodes = hits.select("event_id", "hit_id", F.flatten(F.array_repeat("x", size // 4)).alias("x"))
+    plain = pairs.withColumn("score", F.round(F.pmod("src", F.lit(7)) / 7.0, 3))
+    edges, parts = B.dealt(plain.withColumn("e", F.array("score")).drop("score"))
+    nets = [layer(size, 3 * size, 6, "ReLU")], [layer(size, 3 * size, 7)]
+    by_node = lambda df: {tuple(r[:2]): r[2] for r in df.select("event_id", "hit_id", "x").collect()}
+    want = by_node(nn.interaction_round(nodes, plain.withColumn("e", F.array_repeat("score", size)).drop("score"), *nets, size)[0])
+    got = by_node(B.interaction_round(nodes, edges, parts, *nets, size))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_a_block_has_the_nodes_of_two_parts(graph):
+    hits, pairs = graph
+    edges, parts = B.dealt(pairs)
+    met = B.met(edges, hits.select("event_id", "hit_id"), parts, lambda a, b: a.select(["event_id"]).slice(0, 1).append_column("n", [[b.num_rows] if a.num_rows else []]), "event_id long, n long")
+    assert parts.agg(F.min("parts")).first()[0] >= 3
+    assert met.agg(F.max("n")).first()[0] < 40  # of 40 nodes in an event
