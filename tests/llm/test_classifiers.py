@@ -225,3 +225,21 @@ def test_quality_without_labels_keeps_all(spark, tables):
     for none in (labels.limit(0), labels.withColumn("quality", F.lit(None).cast("int"))):
         assert all(r["predicted"] == 1 for r in quality.op5_quality(docs, none).collect())
     assert all(r["predicted"] == 0 for r in quality.op5_quality(docs, labels.withColumn("quality", F.lit(0))).collect())
+
+
+def test_all_labelled_rows_are_learnt_from(spark, monkeypatch):
+    """Each word that marks a toxic text is in one text of 4,000; one group of rows does not show them all."""
+    monkeypatch.setattr(toxicity, "GROUP", 700)
+    rng = random.Random(2)
+    plain = [rng.choice(SYLLABLES) + rng.choice(SYLLABLES) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(plain) for _ in range(12)) + (f" grob{i}" if i % 2 else "")) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, toxic int")
+    learnt = {r["doc_id"] for r in toxicity.labelled_rows(docs, labels).collect()}
+    assert learnt == {i for i in range(4000) if zlib.crc32(str(i).encode()) % 5}
+    training = toxicity.labelled_rows(docs, labels)
+    assert toxicity._counted(training)[1].max() == training.where("label = 1").count()  # all of them have the beginning grob
+    model, limits = toxicity.fit(docs, labels)
+    again, same = toxicity.fit(docs.repartition(3), labels.repartition(2))
+    assert limits == same and all((model[k] == again[k]).all() for k in model)
+    assert (toxicity.Scorer(model).scores(["grob", "grob7 erin", "erin"]) >= 0.5).tolist() == [True, True, False]
