@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +30,74 @@ BEGINNINGS = (4, 5)
 EPOCHS, BATCH, RATE, SEED = 12, 100, 0.08, 5
 MAX_WORDS, STRETCH = 80_000, 200_000
 GRID = np.linspace(0.05, 0.95, 19)
-_WORD = re.compile(r"[^\W_]+")
-_TABLES = 1 + len(BEGINNINGS)
+#: Words of texts that are scored together.
+TOGETHER = 1 << 14
+_WORD = re.compile(r"\w+")
+_TABLES, PAD = 1 + len(BEGINNINGS), max(WIDTHS) - 1
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Runs of letters and digits; an underscore parts words."""
+    return _WORD.findall((text or "").lower().replace("_", " "))
 
 
 def buckets_of(word: str) -> list[int]:
     """The rows of the embedding table that make up a word's vector."""
     keys = [word, *(f"{n}:{word[:n]}" for n in BEGINNINGS)]
-    return [zlib.crc32(k.encode("utf-8", "surrogatepass")) % BUCKETS + i * BUCKETS for i, k in enumerate(keys)]
+    return [_bucket(k) + i * BUCKETS for i, k in enumerate(keys)]
+
+
+def _bucket(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+class _Beginnings(dict):
+    """The bucket of each beginning of `n` signs."""
+
+    def __init__(self, n: int):
+        super().__init__()
+        self.n = n
+
+    def __missing__(self, beginning: str) -> int:
+        bucket = self[beginning] = _bucket(f"{self.n}:{beginning}")
+        return bucket
+
+
+class Words(dict):
+    """Numbers of words, from 1 on as they come; `rows` has what `buckets_of` gives for each. Word 0 is padding, whose vector stays zero."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows = np.full((1, _TABLES), _TABLES * BUCKETS, np.int32)
+        self._new: list[str] = []
+        self._beginnings = [_Beginnings(n) for n in BEGINNINGS]
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self) + 1
+        self._new.append(word)
+        return number
+
+    def ids(self, words: list[str]) -> np.ndarray:
+        """Their numbers; rows of new words follow with `settled`."""
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def settled(self) -> np.ndarray:
+        """The rows of the words that are new since the last call, which `rows` now has too, in place where there is room."""
+        new, self._new = self._new, []
+        start = len(self) + 1 - len(new)
+        if len(self) >= len(self.rows):
+            self.rows = np.vstack([self.rows[:start], np.empty((start + 2 * len(new), _TABLES), np.int32)])
+        own = self.rows[start : len(self) + 1]
+        own[:, 0] = np.fromiter(map(_bucket, new), np.int64, len(new))
+        for i, known in enumerate(self._beginnings, 1):
+            own[:, i] = np.fromiter((known[w[: known.n]] for w in new), np.int64, len(new)) + i * BUCKETS
+        return own
+
+    def clear(self) -> None:
+        super().clear()
+        self._new.clear()
+        for known in self._beginnings:
+            known.clear()
 
 
 def _segment_max(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,24 +118,20 @@ def train(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, see
     With `warm`, one component of the embeddings starts as the log-odds of the words in
     the training texts; the README gives held-out figures with and without it.
     """
-    present, known = np.zeros((2, _TABLES * BUCKETS + 1)), {}
+    present, known = np.zeros((2, _TABLES * BUCKETS + 1)), Words()
     for text, label in zip(texts, labels, strict=True):
-        present[int(label), _present(text, known)] += 1
+        present[int(label), _present(text, known)] += 1  # a row that comes twice counts once
     rng = np.random.default_rng(seed)
     return descended(started(rng, present, [int((labels == k).sum()) for k in (0, 1)], warm), texts, labels, epochs, rng)
 
 
-def _present(text: str | None, known: dict[str, list[int]] | None = None) -> np.ndarray:
-    """The rows of the embedding table that a text has; `known` keeps those of words."""
-    known = {} if known is None else known
+def _present(text: str | None, known: Words) -> np.ndarray:
+    """The rows of the embedding table that a text has, some of them more than once; `known` keeps those of words."""
     if len(known) > MAX_WORDS:
         known.clear()
-    found: set[int] = set()
-    for w in set(words_of(text)):
-        if w not in known:
-            known[w] = buckets_of(w)
-        found.update(known[w])
-    return np.fromiter(found, np.int64, len(found))
+    ids = known.ids(words_of(text))
+    known.settled()
+    return known.rows[ids].ravel()
 
 
 def started(rng: np.random.Generator, present: np.ndarray, many: list[int], warm: bool = True) -> dict[str, np.ndarray]:
@@ -99,11 +151,10 @@ def started(rng: np.random.Generator, present: np.ndarray, many: list[int], warm
 
 def descended(model: dict[str, np.ndarray], texts: list[str | None], labels: np.ndarray, epochs: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
     """The model after so many passes over the texts; it is changed in place."""
-    vocabulary: dict[str, int] = {}
-    pad = max(WIDTHS) - 1
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)), np.int64) + 1 for t in texts]
-    rows = np.array([buckets_of(w) for w in vocabulary] or np.zeros((0, _TABLES)), dtype=np.int64).reshape(-1, _TABLES)
-    rows = np.vstack([np.full((1, _TABLES), _TABLES * BUCKETS), rows])  # word 0 is padding, whose vector stays zero
+    vocabulary = Words()
+    docs = [vocabulary.ids(words_of(t)) for t in texts]
+    vocabulary.settled()
+    rows = vocabulary.rows
     power = {k: np.full(v.shape, 1e-2, np.float32) for k, v in model.items()}
 
     def step(name: str, grad: np.ndarray, at=slice(None)) -> None:
@@ -114,9 +165,9 @@ def descended(model: dict[str, np.ndarray], texts: list[str | None], labels: np.
         order = rng.permutation(len(docs))
         for begin in range(0, len(order), BATCH):
             part = order[begin : begin + BATCH]
-            padded = [np.r_[docs[i], np.zeros(pad, np.int64)] if len(docs[i]) else np.zeros(pad + 1, np.int64) for i in part]
+            padded = [np.r_[docs[i], np.zeros(PAD, np.int64)] if len(docs[i]) else np.zeros(PAD + 1, np.int64) for i in part]
             lengths, ids = np.array([len(x) for x in padded]), np.concatenate(padded)
-            x = model["table"][rows[ids]].sum(axis=1)
+            x = sum(model["table"][rows[ids, i]] for i in range(_TABLES))
             tops, places = [], []
             for k, w in enumerate(WIDTHS):
                 y = sum(np.vstack([x[j:], np.zeros((j, SIZE), np.float32)]) @ model[f"filter{w}"][j] for j in range(w)) + model["bias"][k]
@@ -151,45 +202,67 @@ def descended(model: dict[str, np.ndarray], texts: list[str | None], labels: np.
 
 
 class Scorer:
-    """Scores whole texts. Each word's response to each filter row is worked out once."""
+    """Scores whole texts. Each word's response to each filter row is worked out once; short texts are scored together."""
 
     def __init__(self, model: dict[str, np.ndarray]):
-        self.model, self.known = model, {}
-        self.rows = np.zeros((1024, sum(WIDTHS) * FILTERS), np.float32)  # word 0 is padding
+        self.model, self.known = model, Words()
+        self.rows = np.zeros((sum(WIDTHS) * FILTERS, 1024), np.float32)  # word 0 is padding
 
     def _ids(self, words: list[str]) -> np.ndarray:
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > MAX_WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            start = len(known) + 1
-            known.update(zip(new, range(start, start + len(new)), strict=True))
-            if start + len(new) > len(self.rows):
-                self.rows = np.vstack([self.rows[:start], np.zeros((start + 2 * len(new), self.rows.shape[1]), np.float32)])
-            vectors = self.model["table"][np.array([buckets_of(w) for w in new])].sum(axis=1)
-            self.rows[start : start + len(new)] = np.hstack([vectors @ self.model[f"filter{w}"][j] for w in WIDTHS for j in range(w)])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        if len(known) > MAX_WORDS:
+            known.clear()
+        start = len(known) + 1
+        ids = known.ids(words)
+        end = len(known) + 1
+        if end > start:
+            if end > self.rows.shape[1]:
+                self.rows = np.hstack([self.rows[:, :start], np.zeros((len(self.rows), max(end, min(2 * end, MAX_WORDS)) - start), np.float32)])
+            vectors = self.model["table"][known.settled()].sum(axis=1)
+            self.rows[:, start:end] = np.hstack([vectors @ self.model[f"filter{w}"][j] for w in WIDTHS for j in range(w)]).T
+        return ids
 
     def features(self, text: str | None) -> np.ndarray:
         words, best = words_of(text), np.full(len(WIDTHS) * FILTERS, -np.inf, np.float32)
-        pad = max(WIDTHS) - 1
         for at in range(0, max(len(words), 1), STRETCH):  # a long text in stretches that overlap
-            part = words[at : at + STRETCH + pad]
-            ids = np.r_[self._ids(part), np.zeros(pad if at + STRETCH + pad >= len(words) else 0, np.int64)]
-            y = self.rows[ids] if part else np.zeros((pad + 1, self.rows.shape[1]), np.float32)
-            column = 0
-            for k, w in enumerate(WIDTHS):
-                n = len(y) - w + 1
-                total = sum(y[j : j + n, column + j * FILTERS : column + (j + 1) * FILTERS] for j in range(w))
-                column += w * FILTERS
-                where = slice(k * FILTERS, (k + 1) * FILTERS)
-                best[where] = np.maximum(best[where], total.max(axis=0) + self.model["bias"][k])
+            more = at + STRETCH + PAD < len(words)
+            best = np.maximum(best, self._best([words[at : at + STRETCH + PAD]], not more)[0])
         return np.maximum(best, 0)
 
-    def scores(self, texts) -> np.ndarray:
-        features = np.array([self.features(t) for t in texts], dtype=np.float64).reshape(-1, len(WIDTHS) * FILTERS)
+    def _best(self, texts: list[list[str]], whole: bool = True) -> np.ndarray:
+        """The largest response of each filter in each text, which is followed by padding if it is whole."""
+        many = np.array([len(t) for t in texts])
+        lengths = np.where(many > 0, many + (PAD if whole else 0), PAD + 1)
+        starts = np.cumsum(lengths) - lengths
+        ids = np.zeros(lengths.sum() + PAD, np.int64)  # a place to end at, for the last one
+        ids[np.arange(many.sum()) + np.repeat(starts - np.cumsum(many) + many, many)] = self._ids([w for t in texts for w in t])
+        best, row = np.empty((len(texts), len(WIDTHS) * FILTERS), np.float32), 0
+        for k, w in enumerate(WIDTHS):
+            ends = np.column_stack([starts, starts + lengths - w + 1]).ravel()
+            for f in range(FILTERS):
+                total = sum(self.rows[row + j * FILTERS + f][ids[j : len(ids) - w + 1 + j]] for j in range(w))
+                best[:, k * FILTERS + f] = np.maximum.reduceat(total, ends)[::2] + self.model["bias"][k, f]
+            row += w * FILTERS
+        return best
+
+    def _gathered(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        waiting, many = [], 0
+        for text in texts:
+            words = words_of(text)
+            if waiting and many + len(words) > TOGETHER:
+                yield np.maximum(self._best(waiting), 0)
+                waiting, many = [], 0
+            if len(words) > STRETCH:
+                yield self.features(text)[None]
+                continue
+            waiting.append(words)
+            many += len(words)
+        if waiting:
+            yield np.maximum(self._best(waiting), 0)
+
+    def scores(self, texts: Iterable[str | None]) -> np.ndarray:
+        found = list(self._gathered(texts))
+        features = (np.vstack(found) if found else np.zeros((0, len(WIDTHS) * FILTERS))).astype(np.float64)
         return 1 / (1 + np.exp(-(features @ self.model["out"] + self.model["base"][0])))
 
 
@@ -238,7 +311,7 @@ def _counted(rows: DataFrame) -> np.ndarray:
     """For each class how many of the rows (text, label) have each row of the embedding table."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        present, known = np.zeros((2, _TABLES * BUCKETS + 1), np.int64), {}
+        present, known = np.zeros((2, _TABLES * BUCKETS + 1), np.int64), Words()
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 present[label, _present(text.as_py(), known)] += 1

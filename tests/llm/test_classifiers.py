@@ -103,6 +103,17 @@ def test_contexts_do_not_cross_texts(spark):
     assert (quality.context_vectors(df.orderBy("text").repartition(7)) == want).all()
 
 
+def test_toxicity_looks_a_beginning_up_once_and_scores_short_texts_together(monkeypatch):
+    model = toxicity.train(["a b c", "d e f"] * 20, np.array([0.0, 1.0] * 20), epochs=2)
+    texts = [f"grobe{i} a_grobe{i} b {'erin ' * (i % 7)}" if i % 10 else None for i in range(500)]
+    alone = np.concatenate([toxicity.Scorer(model).scores([t]) for t in texts])
+    hashed, crc32 = [], zlib.crc32
+    monkeypatch.setattr(toxicity.zlib, "crc32", lambda key: hashed.append(key) or crc32(key))
+    assert np.allclose(toxicity.Scorer(model).scores(texts), alone)
+    assert len(hashed) < 500  # three for each of 453 different words before
+    assert np.allclose(toxicity.Scorer(model).scores(texts[::-1]), alone[::-1])
+
+
 def test_toxicity_scores_equal_a_naive_forward_pass():
     """Sums of hashed vectors, every filter at every place with zero padding, maximum, logistic layer: written out."""
     rng = random.Random(4)
