@@ -265,6 +265,23 @@ def test_radius_join_equals_brute_force(spark, k_max, small, monkeypatch):
     assert {(r["event_id"], r["src"], r["dst"], r["d2"]) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("past", [1 << 16, 15])
+def test_nearest_pairs_of_a_scan_are_ranked_once(spark, past, monkeypatch):
+    """One block has seen all points of its event, so nothing is shuffled and ranked after it; only several tasks' pairs are. Rows of one id are one query."""
+    monkeypatch.setattr(neighbours, "PAST", past)
+    rng = random.Random(8)
+    rows = [(e, i, [rng.randrange(-8, 9) / 4 for _ in range(3)]) for e, n in ((0, 60), (1, 25)) for i in range(n)]
+    asked = [(e, i % 20, v) for e, i, v in rows]
+    schema = "event_id long, hit_id long, v array<double>"
+    found = neighbours.radius_join(spark.createDataFrame(asked, schema), spark.createDataFrame(rows, schema), 2.0, 4, loops=True)
+    assert ("Window" in found._jdf.queryExecution().optimizedPlan().toString()) == (past == 15)
+    near = {}
+    for e, i, v in asked:
+        near.setdefault((e, i), []).extend((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), j) for f, j, w in rows if f == e)
+    want = sorted((*key, j, d) for key, x in near.items() for d, j in sorted(p for p in x if p[0] <= 4.0)[:4])
+    assert sorted((r["event_id"], r["src"], r["dst"], r["d2"]) for r in found.collect()) == want
+
+
 def embedded(n, seed=0):
     """Points like embedded hits: near a surface of four dimensions in a space of eight, ten to a track."""
     rng = np.random.default_rng(seed)
