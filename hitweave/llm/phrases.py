@@ -244,11 +244,12 @@ def _of_rare_pivots(documents: DataFrame, ranks, rare: DataFrame, text: str, lan
                 new = {w: most + i for i, w in enumerate(sorted(set(words).difference(mine)))}
                 ids = np.fromiter((mine[w] if w in mine else new[w] for w in words), np.int64, len(words))
                 left, right = reach(ids)
-                for i in np.flatnonzero((left + right > 0) & (ids >= most)).tolist():
+                at = np.flatnonzero((left + right > 0) & (ids >= most))
+                for i, before, after in zip(at.tolist(), left[at].tolist(), right[at].tolist(), strict=True):
                     of.append(k)
                     pivots.append(words[i])
-                    fragments.append(words[i - left[i] : i + right[i] + 1])
-                    befores.append(int(left[i]))
+                    fragments.append(words[i - before : i + after + 1])
+                    befores.append(before)
             text_of = lambda x: pa.array(x, pa.binary()).cast(pa.string())
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, fragments)]).astype(np.int32), text_of([w for f in fragments for w in f]))
             yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), text_of(pivots), lists, pa.array(befores, pa.int32())], names=["lang", "word", "words", "before"])

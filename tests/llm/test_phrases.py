@@ -58,6 +58,14 @@ def test_equals_brute_force(spark, least, top, hot):
     assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("hot", [0, 12])
+def test_rare_pivots_far_into_a_long_text(spark, hot):
+    rows = [(0, " ".join(text or "" for _, text, lang, *_ in corpus(200) if lang == "en"), "en", "x", 1)]
+    assert len(rows[0][1].split()) > 1000
+    got = phrases.collocations(spark.createDataFrame(rows, SCHEMA), least=4, top=1000, hot=hot).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 4, 1000)
+
+
 def test_frequent_pivots_in_several_buckets(spark, monkeypatch):
     rows = corpus()
     docs = spark.createDataFrame(rows, SCHEMA)
